@@ -60,14 +60,15 @@ def score_rows(done: DataFrame) -> DataFrame:
 
 def forecast_points(done: DataFrame) -> DataFrame:
     """Long form: one row per step with the actual value beside the forecast."""
-    steps = F.posexplode(F.arrays_zip(F.col("forecast"), F.col("test").alias("actual")))
+    pairs = F.zip_with("forecast", "test", lambda p, a: F.struct(p.alias("forecast"), a.alias("actual")))
+    steps = F.posexplode(pairs)
     long = done.where(F.col("error").isNull()).select(*SCORE_KEYS, "test_start", steps.alias("step0", "p"))
     return long.select(
         *SCORE_KEYS,
         (F.col("step0") + 1).alias("step"),
         (F.col("test_start") + F.col("step0")).alias("t"),
         F.col("p.forecast").alias("forecast"),
-        F.col("p.test").alias("actual"),
+        F.col("p.actual").alias("actual"),
     )
 
 

@@ -112,8 +112,9 @@ def keep_flags(profile: DataFrame, calendar: Calendar, max_gap: int = 2) -> Data
     return profile.withColumn("complete", complete).withColumn("edges", edges).withColumn("kept", kept)
 
 
-def interpolate_inside(dense: DataFrame, keys: Sequence[str]) -> DataFrame:
+def interpolate_inside(dense: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Linear by position between the nearest known cells; edges stay NULL."""
+    dense = dense.withColumn("raw", F.col("y"))
     back = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("y").isNotNull(), F.struct("t", "y"))
@@ -124,7 +125,7 @@ def interpolate_inside(dense: DataFrame, keys: Sequence[str]) -> DataFrame:
     line = F.col("_b.y") + (F.col("_a.y") - F.col("_b.y")) * share
     filled = F.col("y").isNull() & line.isNotNull()
     return around.select(
-        *keys, "t", "month", F.coalesce("y", line).alias("y"), filled.alias("filled")
+        *keys, "t", "month", F.coalesce("y", line).alias("y"), filled.alias("filled"), *extra
     )
 
 
@@ -146,44 +147,30 @@ def clean_arrays(
 ) -> DataFrame:
     """The cleaned panel as arrays: ``keys, y, raw``.
 
-    Same rule as the long form, folded over one array so that no window is needed. With
-    ``keep_all`` the rejected series stay, holes included, for callers that report them.
+    Windows fill the holes, one aggregate on the same keys packs the series: no shuffle
+    beyond the one that formed the series. With ``keep_all`` the rejected series stay,
+    holes included, for callers that report them.
     """
-    arrays = series_arrays(panel, keys, calendar).withColumnRenamed("y", "raw")
+    dense = densify(panel, keys, calendar)
     n = calendar.n_months
-    # positions of known cells, then for each pair of neighbours the size of the hole
-    spots = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.get(F.col("raw"), t).isNotNull())
-    marked = arrays.withColumn("_k", spots)
-    count = F.size("_k")
-    holes = F.when(
-        count >= 2,
-        F.array_max(F.zip_with(F.slice("_k", 2, count - 1), F.slice("_k", 1, count - 1), lambda b, a: b - a - 1)),
-    ).otherwise(F.lit(0))
-    marked = marked.withColumn("_hole", holes)
-    edges = F.get("raw", F.lit(0)).isNotNull() & F.get("raw", F.lit(n - 1)).isNotNull()
-    kept = (count == n) | (edges & (F.col("_hole") <= max_gap))
-    if keep_all:
-        marked = marked.withColumn("kept", kept)
-    else:
-        marked = marked.where(kept)
-
-    # one straight run per pair of neighbouring known cells, plus the unknown ends
-    def run(b: Column, a: Column) -> Column:
-        low, high = F.get("raw", a), F.get("raw", b)
-        return F.transform(F.sequence(a, b - 1), lambda t: low + (high - low) * ((t - a) / (b - a)))
-
-    pairs = F.zip_with(F.slice("_k", 2, count - 1), F.slice("_k", 1, count - 1), run)
-    first, last = F.array_min("_k"), F.array_max("_k")
-    unknown = F.lit(None).cast("double")
-    inner = F.concat(
-        F.array_repeat(unknown, first),
-        F.when(count >= 2, F.flatten(pairs)).otherwise(F.array().cast("array<double>")),
-        F.array(F.get("raw", last)),
-        F.array_repeat(unknown, n - 1 - last),
+    by_t = Window.partitionBy(*keys).orderBy("t")
+    known_t = F.when(F.col("y").isNotNull(), F.col("t"))
+    before = F.last(known_t, ignorenulls=True).over(by_t.rowsBetween(Window.unboundedPreceding, -1))
+    filled = interpolate_inside(dense.withColumn("_gap", known_t - before - 1), keys, extra=["_gap", "raw"])
+    packed = filled.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("t", "y", "raw"))).alias("c"),
+        F.count("raw").alias("_known"),
+        F.count(F.when(F.col("t").isin(0, n - 1), F.col("raw"))).alias("_edges"),
+        F.max("_gap").alias("_hole"),
+    )
+    kept = (F.col("_known") == n) | ((F.col("_edges") == 2) & (F.col("_hole") <= max_gap))
+    packed = packed.withColumn("kept", kept) if keep_all else packed.where(kept)
+    return packed.select(
+        *keys,
+        F.transform("c", lambda x: x["y"]).alias("y"),
+        F.transform("c", lambda x: x["raw"]).alias("raw"),
+        *(["kept"] if keep_all else []),
     )
-    extra = ["kept"] if keep_all else []
-    filled = F.when(F.col("_hole") == 0, F.col("raw")).otherwise(inner)
-    return marked.select(*keys, filled.alias("y"), "raw", *extra)
 
 
 def panel_report(raw: DataFrame, profile: DataFrame, calendar: Calendar, category: str, max_gap: int = 2) -> DataFrame:
