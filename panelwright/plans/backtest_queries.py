@@ -7,6 +7,7 @@ from panelwright.operators import backtest, compare, folds as guard, metrics
 from panelwright.plans import inputs as I, oracle as O
 from panelwright.plans.oracle import r
 from panelwright.plans.registry import query
+from panelwright.plans.rounding import rnd, rounded
 from panelwright.session import work_path
 from panelwright.sources import readers, sinks
 
@@ -15,10 +16,6 @@ SH = O.CAT_SCORES_H
 FC = O.CATEGORY + "," + O.cleaned("catpanel", "category") + "," + O.forecasts()
 
 
-def rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def _points_of(model):
     def run(spark, sf):
         return rounded(I.points(spark, sf).where(F.col("model") == model)
@@ -37,9 +34,9 @@ SCORE_COLUMNS = f"""model, CAST(horizon AS INTEGER) AS horizon, fold, train_end,
 
 
 def _scores(df):
-    wide = {c: F.round(c, 3) for c in ("sse", "sst", "y_sq")}
-    fine = {c: F.round(c, 6) for c in ("r2", "smape", "mase", "y_sum")}
-    return df.withColumns({**wide, **fine, "mae": F.round("mae", 7)})
+    wide = {c: rnd(c, 3) for c in ("sse", "sst", "y_sq")}
+    fine = {c: rnd(c, 6) for c in ("r2", "smape", "mase", "y_sum")}
+    return df.withColumns({**wide, **fine, "mae": rnd("mae", 7)})
 
 
 @query("fc_9_score_series", f"WITH {SH} SELECT {SCORE_COLUMNS} FROM scores")
@@ -288,7 +285,7 @@ q AS (SELECT model, quantile_cont(cv, 0.1) AS cut FROM c GROUP BY 1)
 SELECT model, count(*) FILTER (WHERE cv <= cut) AS n_flat, {r('avg(r2) FILTER (WHERE cv <= cut)', 5)} AS r2_flat,
        {r('avg(r2) FILTER (WHERE cv > cut)')} AS r2_rest, {r('sum(r2) FILTER (WHERE cv <= cut) / sum(r2)')} AS share_of_sum FROM c JOIN q USING (model) GROUP BY 1""")
 def flat_windows(spark, sf):
-    return rounded(compare.flat_windows(I.scores(spark, sf))).withColumn("r2_flat", F.round("r2_flat", 5))
+    return rounded(compare.flat_windows(I.scores(spark, sf)), r2_flat=5)
 
 
 DECOMP = """

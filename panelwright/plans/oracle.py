@@ -1,10 +1,12 @@
 """SQL fragments shared by the checks. Plain definitions, written for DuckDB."""
 from __future__ import annotations
 
+from panelwright.plans.rounding import SHIFT
+
 
 def r(expr: str, digits: int = 6) -> str:
     """Rounded, without a negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(({expr}) + {SHIFT}, {digits}) + 0.0)"
 
 
 def t_of(month: str) -> str:

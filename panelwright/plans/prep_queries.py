@@ -7,6 +7,7 @@ from panelwright.operators import prep, regions as geo
 from panelwright.plans import inputs as I, oracle as O
 from panelwright.plans.oracle import r
 from panelwright.plans.registry import query
+from panelwright.plans.rounding import rnd
 from panelwright.protocol import dense_origins, fold_array
 from panelwright.sources import readers
 
@@ -23,7 +24,7 @@ def _profile(spark, sf):
 
 
 def _round(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: rnd(c, digits) for c in columns})
 
 
 # --- entities -------------------------------------------------------------------------
@@ -60,7 +61,7 @@ def named_panel(spark, sf):
 @query("prep_1_rebuild_entities", f"WITH {NAMED} SELECT mo, category, month, entity_no, series_id, {r('value')} AS value FROM entities")
 def rebuild_entities(spark, sf):
     out = prep.rebuild_entities(named_panel(spark, sf), "pos", block_rows=5000)
-    return out.select("mo", "category", "month", "entity_no", "series_id", F.round("value", 6).alias("value"))
+    return out.select("mo", "category", "month", "entity_no", "series_id", rnd("value", 6).alias("value"))
 
 
 @query("prep_2_densify", f"WITH {DENSE} SELECT series_id, category, t, month, {r('y')} AS y FROM dense")
@@ -349,7 +350,7 @@ UNION ALL SELECT 'price', CAST(date_trunc('month', o_orderdate) AS DATE), {r('av
 UNION ALL SELECT 'rate', CAST(date_trunc('month', l_shipdate) AS DATE), {r('avg(l_tax)')} FROM lineitem WHERE l_returnflag = 'N' GROUP BY 2""")
 def read_external(spark, sf):
     return external_frame(spark, sf).withColumn(
-        "value", F.when(F.col("name") == "price", F.round("value", 4)).otherwise(F.round("value", 6)))
+        "value", F.when(F.col("name") == "price", rnd("value", 4)).otherwise(rnd("value", 6)))
 
 
 def external_frame(spark, sf):
@@ -405,8 +406,8 @@ def fold_slices(spark, sf):
     from panelwright.operators.backtest import fold_rows
 
     rows = fold_rows(I.total_arrays(spark, sf), I.folds())
-    return rows.select("series_id", "fold", F.round(total(F.col("train")), 6).alias("train_sum"),
-                       F.round(total(F.col("test")), 6).alias("test_sum"))
+    return rows.select("series_id", "fold", rnd(total(F.col("train")), 6).alias("train_sum"),
+                       rnd(total(F.col("test")), 6).alias("test_sum"))
 
 
 @query("fold_3_horizon_plan", f"""WITH {O.TOTAL_CLEAN}, {O.FOLDSH}
@@ -429,7 +430,7 @@ def origins(spark, sf):
 
     series, folds = _with_calendar(spark, sf, lambda n: fold_array({3: dense_origins(n, 3)}))
     return fold_rows(series, folds).groupBy("train_end").agg(
-        F.sum(F.size("train")).alias("n_train"), F.round(F.sum(total(F.col("test"))), 6).alias("test_sum"))
+        F.sum(F.size("train")).alias("n_train"), rnd(F.sum(total(F.col("test"))), 6).alias("test_sum"))
 
 
 @query("fold_5_target_month_coverage", f"""WITH {O.TOTAL_CLEAN}, {O.FOLDS3},
