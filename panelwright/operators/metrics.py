@@ -60,21 +60,11 @@ def refused() -> Column:
     return F.col("error").isNotNull() | F.col("mae").isNull()
 
 
-def pooled_r2(sse_: Column, sst_: Column, n: Column, y_sum: Column, mean: Column) -> Column:
-    """``1 - SSE / SST`` with SST around the pooled mean, in the stable form."""
-    between = F.sum(n * (y_sum / n - mean) * (y_sum / n - mean))
-    spread = F.sum(sst_) + between
-    return F.when(spread > 0, 1.0 - F.sum(sse_) / spread)
-
-
 def summarise(scores: DataFrame, keys: Sequence[str] = ("model",), exact_median: bool = True) -> DataFrame:
     """Means over scored rows, refusals counted, models with nothing but refusals kept."""
     keys = list(keys)
     rows = scores.withColumn("_ok", ~refused())
     ok = F.col("_ok")
-    pooled = ok & F.col("sse").isNotNull()
-    # mean of the pool first (one row per group), then the squares around it
-    means = rows.where(pooled).groupBy(*keys).agg((F.sum("y_sum") / F.sum("n")).alias("_mean"))
     base = rows.groupBy(*keys).agg(
         F.avg(F.when(ok, F.col("mae"))).alias("mae"),
         F.avg(F.when(ok, F.col("mase"))).alias("mase"),
@@ -82,25 +72,36 @@ def summarise(scores: DataFrame, keys: Sequence[str] = ("model",), exact_median:
         F.count_distinct(F.when(ok, F.col("series_id"))).alias("n_series"),
         F.count(F.when(~ok, 1)).alias("n_refused"),
     )
-    pool = (
-        rows.where(pooled)
-        .join(means, keys)
-        .groupBy(*keys)
-        .agg(pooled_r2(F.col("sse"), F.col("sst"), F.col("n"), F.col("y_sum"), F.col("_mean")).alias("r2_pool"))
-    )
-    out = base.join(pool, keys, "left")
+    out = base.join(r2_pool(scores, keys), keys, "left")
     if exact_median:
         out = out.join(r2_median(scores, keys), keys, "left")
     return out
 
 
 def r2_pool(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``1 - SSE / SST`` with SST around the pooled mean.
+
+    One pass: inside a window length the spread of window means is a plain variance, which
+    Spark merges without cancellation; the few window lengths are combined afterwards.
+    """
     keys = list(keys)
     rows = scores.where(~refused() & F.col("sse").isNotNull())
-    means = rows.groupBy(*keys).agg((F.sum("y_sum") / F.sum("n")).alias("_mean"))
-    return rows.join(means, keys).groupBy(*keys).agg(
-        pooled_r2(F.col("sse"), F.col("sst"), F.col("n"), F.col("y_sum"), F.col("_mean")).alias("r2_pool")
+    by_length = rows.groupBy(*keys, "n").agg(
+        F.sum("sse").alias("sse"),
+        F.sum("sst").alias("sst"),
+        (F.col("n") * F.count(F.lit(1))).alias("w"),
+        F.avg(F.col("y_sum") / F.col("n")).alias("m"),
+        F.var_pop(F.col("y_sum") / F.col("n")).alias("v"),
+    )
+    lengths = by_length.groupBy(*keys).agg(
+        F.sum("sse").alias("sse"),
+        F.sum(F.col("sst") + F.col("w") * F.col("v")).alias("within"),
+        (F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("mean"),
+        F.collect_list(F.struct("w", "m")).alias("parts"),
     )
+    away = A.total(F.transform("parts", lambda p: p["w"] * (p["m"] - F.col("mean")) * (p["m"] - F.col("mean"))))
+    spread = F.col("within") + away
+    return lengths.select(*keys, F.when(spread > 0, 1.0 - F.col("sse") / spread).alias("r2_pool"))
 
 
 def r2_median(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
