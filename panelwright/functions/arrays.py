@@ -5,33 +5,43 @@ row is bounded by the protocol, not by the data.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def mean(arr: Column) -> Column:
-    return F.when(F.size(arr) > 0, total(arr) / F.size(arr))
+    return let(arr, lambda a: F.when(F.size(a) > 0, total(a) / F.size(a)))
 
 
 def sum_of_squares(arr: Column, centre: Column | None = None) -> Column:
-    c = F.lit(0.0) if centre is None else centre
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - c) * (x - c))
+    if centre is None:
+        return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x)
+    return let(centre, lambda c: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - c) * (x - c)))
 
 
 def variance_pop(arr: Column) -> Column:
-    return sum_of_squares(arr, mean(arr)) / F.size(arr)
+    return let(arr, lambda a: sum_of_squares(a, mean(a)) / F.size(a))
 
 
 def median(arr: Column) -> Column:
     """Median of an array without NULLs, mean of the two middle values when even."""
-    s = F.array_sort(arr)
-    n = F.size(arr)
-    low = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2.0)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        low = F.get(s, F.floor((n - 1) / 2).cast("int"))
+        high = F.get(s, F.floor(n / 2).cast("int"))
+        return F.when(n > 0, (low + high) / 2.0)
+
+    return let(F.array_sort(arr), middle)
 
 
 def at(arr: Column, position: Column | int) -> Column:
@@ -55,8 +65,9 @@ def has_null(arr: Column) -> Column:
 
 
 def diffs(arr: Column) -> Column:
-    n = F.size(arr)
-    return F.when(
-        n >= 2,
-        F.zip_with(F.slice(arr, 2, n - 1), F.slice(arr, 1, n - 1), lambda b, a: b - a),
-    ).otherwise(F.array().cast("array<double>"))
+    def steps(a: Column) -> Column:
+        n = F.size(a)
+        moved = F.zip_with(F.slice(a, 2, F.greatest(n - 1, F.lit(0))), F.slice(a, 1, F.greatest(n - 1, F.lit(0))), lambda y, x: y - x)
+        return F.when(n >= 2, moved).otherwise(F.array().cast("array<double>"))
+
+    return let(arr, steps)

@@ -43,7 +43,7 @@ def seasonal_drift(y: Column, horizon: Column, season: int = 12) -> Column:
     earlier = A.mean(F.slice(y, n - season - k + 1, k))
     step = F.when(k >= 1, (recent - earlier) / season).otherwise(F.lit(0.0))
     base = seasonal_naive(y, horizon, season)
-    moved = F.transform(base, lambda v, i: v + step * (i + 1))
+    moved = A.let(step, lambda d: F.transform(base, lambda v, i: v + d * (i + 1)))
     return F.when(n < season, naive_last(y, horizon)).otherwise(moved)
 
 

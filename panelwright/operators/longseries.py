@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions import arrays as A
 
-Candidate = Callable[[Column, int], Column]
+Candidate = Callable[[Column, Column], Column]
 
 
 def cut_at(series: DataFrame, origin: Column) -> DataFrame:
@@ -28,39 +28,34 @@ def log_history(series: DataFrame, keys: Sequence[str] = ("series_key",)) -> Dat
     )
 
 
-def random_walk(h: Column, horizon: int) -> Column:
+def _steps(horizon: Column) -> Column:
+    return F.sequence(F.lit(0), horizon - 1)
+
+
+def random_walk(h: Column, horizon: Column) -> Column:
     return F.array_repeat(A.at(h, F.size(h) - 1), horizon)
 
 
-def seasonal_naive(h: Column, horizon: int) -> Column:
+def seasonal_naive(h: Column, horizon: Column) -> Column:
     """Last value plus the change seen over the same months a year earlier."""
     n = F.size(h)
     last, anchor = A.at(h, n - 1), A.at(h, n - 13)
-    moved = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda k: last + (F.get(h, n - 12 + k % 12) - anchor))
+    moved = F.transform(_steps(horizon), lambda k: last + (F.get(h, n - 12 + k % 12) - anchor))
     return F.when(n < 13, random_walk(h, horizon)).otherwise(moved)
 
 
-def seasonal_median(h: Column, horizon: int) -> Column:
+def seasonal_median(h: Column, horizon: Column) -> Column:
     """Cumulative median of the log changes seen in the same position of the year."""
-    n = F.size(h)
-    changes = F.transform(A.diffs(h), lambda d, i: F.struct(((i + 1) % 12).alias("m"), d.alias("d")))
-    overall = A.median(A.diffs(h))
-
-    def typical(k: Column) -> Column:
-        same = F.transform(F.filter(changes, lambda c: c["m"] == (n + k) % 12), lambda c: c["d"])
-        return F.coalesce(A.median(same), overall)
-
-    level = A.at(h, n - 1)
-    path = F.aggregate(
-        F.sequence(F.lit(0), F.lit(horizon - 1)),
-        F.struct(level.alias("level"), F.array().cast("array<double>").alias("out")),
-        lambda acc, k: F.struct(
-            (acc["level"] + typical(k)).alias("level"),
-            F.concat(acc["out"], F.array(acc["level"] + typical(k))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(n < 25, seasonal_naive(h, horizon)).otherwise(path)
+    def walk(changes: Column) -> Column:
+        n = F.size(changes) + 1  # points of the history
+        typical = F.transform(
+            _steps(horizon),
+            lambda k: F.coalesce(A.median(F.filter(changes, lambda d, i: (i + 1) % 12 == (n + k) % 12)), A.median(changes)),
+        )
+        start = A.at(h, F.size(h) - 1)
+        return A.let(typical, lambda m: F.transform(m, lambda _, i: start + A.total(F.slice(m, 1, i + 1))))
+
+    return F.when(F.size(h) < 25, seasonal_naive(h, horizon)).otherwise(A.let(A.diffs(h), walk))
 
 
 # order matters: the first of equal scores wins
@@ -79,66 +74,77 @@ def candidate(name: str) -> Candidate:
 
 def forecast_all(
     histories: DataFrame,
-    horizon: int,
+    horizon: int | Column,
     candidates: Mapping[str, Candidate] | None = None,
     solvers: Sequence[str] = (),
 ) -> DataFrame:
-    """``histories`` (with ``h``) x candidate -> ``model, path`` (NULL where a candidate failed).
+    """``histories`` (with ``h``) x candidate -> ``model, ord, path`` (NULL where a candidate failed).
 
+    ``horizon`` may be a column, so histories with different horizons share one job.
     ``solvers`` names iterative candidates; all of them run in one Arrow-batched pass.
     """
     from panelwright.operators import solvers as S
 
+    ahead = F.lit(horizon) if isinstance(horizon, int) else horizon
     known = SQL_CANDIDATES if candidates is None else candidates
     rows = histories
-    runs = [F.struct(F.lit(k).alias("model"), fn(F.col("h"), horizon).alias("path")) for k, fn in known.items()]
+    paths = {k: fn(F.col("h"), ahead) for k, fn in known.items()}
     if solvers:
-        rows = rows.withColumn("_s", S.forecast_columns(F.col("h"), F.lit(horizon), tuple(solvers)))
-        # keep the registration order: naive, median, solvers, walk
-        extra = [F.struct(F.lit(k).alias("model"), F.col("_s")[k]["forecast"].alias("path")) for k in solvers]
-        runs = runs[:-1] + extra + runs[-1:]
-    numbered = [F.struct(F.lit(i).alias("ord"), run["model"].alias("model"), run["path"].alias("path")) for i, run in enumerate(runs)]
-    out = rows.select("*", F.explode(F.array(*numbered)).alias("c")).select("*", "c.*").drop("c")
+        rows = rows.withColumn("_s", S.forecast_columns(F.col("h"), ahead, tuple(solvers)))
+        walk = paths.pop("random_walk")  # registration order: naive, median, solvers, walk
+        paths |= {k: F.col("_s")[k]["forecast"] for k in solvers}
+        paths["random_walk"] = walk
+    runs = [
+        F.struct(F.lit(i).alias("ord"), F.lit(k).alias("model"), path.alias("path")) for i, (k, path) in enumerate(paths.items())
+    ]
+    out = rows.select("*", F.explode(F.array(*runs)).alias("c")).select("*", "c.*").drop("c")
     return out.drop("_s") if solvers else out
 
 
-def inner_origins(history: DataFrame, horizon: int, n_origins: int = 24) -> DataFrame:
-    """Back-test origins of every history: from ``max(36 + horizon, n - 24)`` to ``n - horizon``."""
+def inner_origins(history: DataFrame, horizon: Column, n_origins: int = 24) -> DataFrame:
+    """Each history once whole (``inner`` NULL) and once per back-test origin.
+
+    Origins run from ``max(36 + horizon, n - 24)`` to ``n - horizon``.
+    """
     n = F.size("h")
-    first, last = F.greatest(F.lit(36 + horizon), n - n_origins), n - horizon
-    spread = history.withColumn(
-        "inner", F.explode_outer(F.when(first <= last, F.sequence(first, last)))
-    )
-    return spread.withColumn("full", F.col("h")).withColumn(
-        "h", F.when(F.col("inner").isNotNull(), A.head(F.col("full"), F.col("inner"))).otherwise(F.col("full"))
-    )
+    first, last = F.greatest(F.lit(36) + horizon, n - n_origins), n - horizon
+    origins = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    spread = history.withColumn("inner", F.explode(F.concat(origins, F.array(F.lit(None).cast("int")))))
+    return spread.withColumn("full", F.col("h")).withColumn("h", A.head(F.col("full"), F.coalesce("inner", n)))
 
 
-def choose_model(
+def forecast_best(
     histories: DataFrame,
     keys: Sequence[str],
-    horizon: int,
+    horizon: int | Column,
     n_origins: int = 24,
     candidates: Mapping[str, Candidate] | None = None,
     solvers: Sequence[str] = (),
 ) -> DataFrame:
-    """Winner per key by the squared error of the log change, and the share it explains.
+    """``keys, model, explained, path, last``: back-test and final forecast in one pass.
 
-    No origin, no random walk score or a perfect random walk gives ``random_walk, 0``.
+    The winner has the least squared error of the log change. No origin, no random walk
+    score or a perfect random walk gives ``random_walk, 0``.
     """
-    rows = inner_origins(histories, horizon, n_origins)
-    tried = forecast_all(rows, horizon, candidates, solvers)
-    last = A.at(F.col("h"), F.size("h") - 1)
-    actual = A.window(F.col("full"), F.col("inner"), horizon)
-    squares = F.zip_with("path", actual, lambda p, a: (p - a) * (p - a))
-    scored = tried.withColumn(
-        "sq", F.when(F.col("inner").isNotNull() & F.col("path").isNotNull() & last.isNotNull(), A.total(squares))
+    ahead = F.lit(horizon) if isinstance(horizon, int) else horizon
+    tried = forecast_all(inner_origins(histories, ahead, n_origins), ahead, candidates, solvers)
+    final = F.col("inner").isNull()
+    actual = A.window(F.col("full"), F.col("inner"), ahead)
+    squares = A.total(F.zip_with("path", actual, lambda p, a: (p - a) * (p - a)))
+    scored = tried.withColumn("sq", F.when(~final & F.col("path").isNotNull(), squares)).withColumn(
+        "k", F.when(F.col("sq").isNotNull(), ahead)
+    )
+    by_model = scored.groupBy(*keys, "model", "ord").agg(
+        (F.sum("sq") / F.sum("k")).alias("mse"),
+        F.max(F.when(final, F.col("path"))).alias("path"),
+        F.max(F.when(final, A.at(F.col("h"), F.size("h") - 1))).alias("last"),
     )
-    by_model = scored.groupBy(*keys, "model", "ord").agg((F.sum("sq") / (F.count("sq") * horizon)).alias("mse"))
-    usable = F.col("mse").isNotNull()
+    walk = F.col("model") == "random_walk"
     best = by_model.groupBy(*keys).agg(
-        F.min(F.when(usable, F.struct("mse", "ord", "model"))).alias("b"),
-        F.max(F.when(F.col("model") == "random_walk", F.col("mse"))).alias("rw"),
+        F.min(F.when(F.col("mse").isNotNull(), F.struct("mse", "ord", "model", "path"))).alias("b"),
+        F.max(F.when(walk, F.col("mse"))).alias("rw"),
+        F.max(F.when(walk, F.col("path"))).alias("rw_path"),
+        F.max("last").alias("last"),
     )
     none = F.col("b").isNull() | F.col("rw").isNull() | (F.col("rw") <= 0)
     explained = 1.0 - F.col("b.mse") / F.col("rw")
@@ -146,21 +152,21 @@ def choose_model(
         *keys,
         F.when(none, F.lit("random_walk")).otherwise(F.col("b.model")).alias("model"),
         F.when(none, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), explained))).alias("explained"),
+        F.when(none, F.col("rw_path")).otherwise(F.col("b.path")).alias("path"),
+        "last",
     )
 
 
-def forecast_best(
+def choose_model(
     histories: DataFrame,
     keys: Sequence[str],
-    horizon: int,
+    horizon: int | Column,
+    n_origins: int = 24,
     candidates: Mapping[str, Candidate] | None = None,
     solvers: Sequence[str] = (),
 ) -> DataFrame:
-    """``keys, model, explained, path, last``: the chosen model run from the end of each history."""
-    chosen = choose_model(histories, keys, horizon, candidates=candidates, solvers=solvers)
-    every = forecast_all(histories, horizon, candidates, solvers)
-    joined = every.join(chosen, [*keys, "model"])
-    return joined.select(*keys, "model", "explained", "path", A.at(F.col("h"), F.size("h") - 1).alias("last"), "months", "h")
+    """Winner per key and the share of the random-walk error it explains."""
+    return forecast_best(histories, keys, horizon, n_origins, candidates, solvers).select(*keys, "model", "explained")
 
 
 def origins_of(series: DataFrame, keys: Sequence[str], origins: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions import arrays as A
-from panelwright.functions.frames import union_all, with_scalars
+from panelwright.functions.frames import with_scalars
 from panelwright.operators import longseries as L
 from panelwright.operators.backtest import fold_rows
 from panelwright.protocol import Calendar, Fold, fold_array
@@ -15,55 +15,53 @@ SHARE_RULES = {"last": 1, "median3": 3, "median6": 6}
 Plan = dict[int, Sequence[Fold]]
 
 
-def _origins(calendar: Calendar, horizon: int, folds: Sequence[Fold], inner: bool) -> Column:
+def _origins(calendar: Calendar, plan: Plan, inner: bool) -> Column:
+    """Literal array of all origins: every fold end and, with ``inner``, the month a horizon earlier."""
     entries = []
-    for fold in folds:
-        for part, end in (("origin", fold.train_end), ("inner", fold.train_end - horizon)):
-            if part == "origin" or (inner and end >= 1):
-                entries.append(F.struct(
-                    F.lit(calendar.month(end - 1)).alias("origin"), F.lit(fold.index).alias("fold"), F.lit(part).alias("part")
-                ))
+    for horizon, folds in plan.items():
+        for fold in folds:
+            for part, end in (("origin", fold.train_end), ("inner", fold.train_end - horizon)):
+                if part == "origin" or (inner and end >= 1):
+                    entries.append(F.struct(
+                        F.lit(calendar.month(end - 1)).alias("origin"), F.lit(horizon).alias("horizon"),
+                        F.lit(fold.index).alias("fold"), F.lit(part).alias("part"),
+                    ))
     return F.array(*entries)
 
 
+PATH_KEYS = ("horizon", "fold", "part", "origin")
+
+
 def aggregate_paths(aggregate: DataFrame, calendar: Calendar, plan: Plan, solvers: Sequence[str] = (), inner: bool = True) -> DataFrame:
     """Forecast of the aggregate from every fold origin and from the inner origin a horizon earlier.
 
     ``horizon, fold, part, origin, model, explained, path`` (levels), ``log_path``, ``last_log``.
-    A few rows per fold: the plan bounds them.
+    A few rows per fold: the plan bounds them. All horizons and folds are one job.
     """
     keyed = aggregate.select(F.lit("aggregate").alias("series_key"), "month", "value")
-    parts = []
-    for horizon, folds in plan.items():
-        cut = L.origins_of(keyed, ["series_key"], _origins(calendar, horizon, folds, inner))
-        keys = ["fold", "part", "origin"]
-        best = L.forecast_best(cut, keys, horizon, solvers=solvers)
-        parts.append(best.select(
-            F.lit(horizon).alias("horizon"), *keys, "model", "explained",
-            F.transform("path", lambda v: F.exp(v)).alias("path"), F.col("path").alias("log_path"),
-            F.col("last").alias("last_log"), F.lit(None).cast("string").alias("error"),
-        ))
-    return union_all(parts)
+    cut = L.origins_of(keyed, ["series_key"], _origins(calendar, plan, inner))
+    best = L.forecast_best(cut, PATH_KEYS, F.col("horizon"), solvers=solvers)
+    return best.select(
+        *PATH_KEYS, "model", "explained", F.transform("path", lambda v: F.exp(v)).alias("path"),
+        F.col("path").alias("log_path"), F.col("last").alias("last_log"), F.lit(None).cast("string").alias("error"),
+    )
 
 
 def known_paths(aggregate: DataFrame, calendar: Calendar, plan: Plan) -> DataFrame:
     """The published aggregate of the horizon months. A missing month is an error of that fold."""
     whole = aggregate.agg(F.map_from_entries(F.collect_list(F.struct("month", "value"))).alias("m"))
-    parts = []
-    for horizon, folds in plan.items():
-        o = whole.select("m", F.explode(_origins(calendar, horizon, folds, True)).alias("o")).select("m", "o.*")
-        path = F.transform(
-            F.sequence(F.lit(1), F.lit(horizon)), lambda k: F.try_element_at("m", F.add_months("origin", k))
-        )
-        o = o.withColumn("path", path).withColumn("_bad", A.has_null(F.col("path")))
-        text = F.lit("ValueError: the aggregate of the horizon months is not known")
-        parts.append(o.select(
-            F.lit(horizon).alias("horizon"), "fold", "part", "origin", F.lit("known aggregate").alias("model"),
-            F.lit(None).cast("double").alias("explained"), F.when(~F.col("_bad"), F.col("path")).alias("path"),
-            F.when(~F.col("_bad"), F.transform("path", lambda v: F.log(v))).alias("log_path"),
-            F.log(F.try_element_at("m", F.col("origin"))).alias("last_log"), F.when(F.col("_bad"), text).alias("error"),
-        ))
-    return union_all(parts)
+    o = whole.select("m", F.explode(_origins(calendar, plan, True)).alias("o")).select("m", "o.*")
+    path = F.transform(
+        F.sequence(F.lit(1), F.col("horizon")), lambda k: F.try_element_at("m", F.add_months("origin", k))
+    )
+    o = o.withColumn("path", path).withColumn("_bad", A.has_null(F.col("path")))
+    text = F.lit("ValueError: the aggregate of the horizon months is not known")
+    return o.select(
+        *PATH_KEYS, F.lit("known aggregate").alias("model"),
+        F.lit(None).cast("double").alias("explained"), F.when(~F.col("_bad"), F.col("path")).alias("path"),
+        F.when(~F.col("_bad"), F.transform("path", lambda v: F.log(v))).alias("log_path"),
+        F.log(F.try_element_at("m", F.col("origin"))).alias("last_log"), F.when(F.col("_bad"), text).alias("error"),
+    )
 
 
 def aggregate_array(aggregate: DataFrame, calendar: Calendar) -> DataFrame:

@@ -47,7 +47,7 @@ trial AS (
   JOIN lp a ON a.series_key = c.series_key AND a.pos = p.n + p.k GROUP BY 1, 2, 3, 4, 5),
 choice AS (
   SELECT c.series_key, c.n, hz.hz, coalesce(t.model, 'random_walk') AS model,
-         coalesce(greatest(0, least(1, 1 - t.mse / t.rw)), 0) AS explained
+         CASE WHEN t.model IS NULL THEN 0 ELSE greatest(0, least(1, 1 - t.mse / t.rw)) END AS explained
   FROM cuts c CROSS JOIN hz LEFT JOIN (
     SELECT *, max(CASE WHEN model = 'random_walk' THEN mse END) OVER (PARTITION BY series_key, n, hz) AS rw
     FROM trial QUALIFY row_number() OVER (PARTITION BY series_key, n, hz ORDER BY mse, ord) = 1) t
