@@ -13,6 +13,7 @@ from panelwright.functions import arrays as A
 from panelwright.functions.frames import null_safe
 from panelwright.operators import detectors as D
 from panelwright.protocol import BenchConfig
+from panelwright.session import cut_lineage
 
 SETTING = ("detector", "mode", "penalty")
 CURVE = ("kind", "magnitude", "position")
@@ -199,8 +200,14 @@ def score(flagged: DataFrame, max_delay: int | None, twin_rule: bool) -> DataFra
 def run_bench(
     sample: DataFrame, config: BenchConfig, kernel_grid: dict[str, Sequence[float]] | None = None, partitions: int | None = None
 ) -> DataFrame:
+    """Bench rows of every curve and setting.
+
+    The flags are the costly part and are read three times (twins, clean, spoiled), so they
+    are written once to the shared folder.
+    """
     rows = prepared(curves(sample, config, partitions), config.modes)
     flagged = flag_sets(rows, config.detectors, config.penalties, kernel_grid).drop("ordinal")
+    flagged = cut_lineage(flagged, "flags")
     return score(flagged, config.max_delay, config.twin_rule)
 
 

@@ -98,7 +98,8 @@ def offline_breaks(series: DataFrame, detector: str, mode: str, penalties: Seque
         packed = rows.select("series_id", "offset", D.break_column(F.col("z"), detector, penalties).alias("b"))
         values = F.array(*[F.lit(float(p)) for p in penalties])
         each = packed.select("series_id", "offset", F.posexplode("b").alias("i", "at"))
-        found = each.select("series_id", F.get(values, F.col("i")).alias("penalty"), (F.explode("at") + F.col("offset")).alias("t"))
+        moved = F.transform("at", lambda b: b + F.col("offset"))
+        found = each.select("series_id", F.get(values, F.col("i")).alias("penalty"), F.explode(moved).alias("t"))
     return found.withColumn("month", calendar.month_at(F.col("t")))
 
 

@@ -49,9 +49,9 @@ zed AS (
   SELECT series_id, kind, magnitude, position, 'deseason', 0, t,
          y - coalesce(avg(y) OVER (PARTITION BY series_id, kind, magnitude, position, t % 12 ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
                       avg(y) OVER (PARTITION BY series_id, kind, magnitude, position ORDER BY t ROWS UNBOUNDED PRECEDING)) FROM curve),
-ids AS (SELECT row_number() OVER () AS cid, * FROM (SELECT DISTINCT series_id, kind, magnitude, position, mode, off FROM zed)),
-zz AS (SELECT cid, t, z FROM zed JOIN ids ON zed.series_id = ids.series_id AND zed.kind = ids.kind AND zed.magnitude = ids.magnitude
-  AND zed.position IS NOT DISTINCT FROM ids.position AND zed.mode = ids.mode),
+cids AS (SELECT row_number() OVER () AS cid, * FROM (SELECT DISTINCT series_id, kind, magnitude, position, mode, off FROM zed)),
+zz AS (SELECT cid, t, z FROM zed JOIN cids ON zed.series_id = cids.series_id AND zed.kind = cids.kind AND zed.magnitude = cids.magnitude
+  AND zed.position IS NOT DISTINCT FROM cids.position AND zed.mode = cids.mode),
 mu AS (SELECT cid, median(z) AS mu, stddev_pop(z) AS sd FROM zz WHERE t < 6 GROUP BY 1),
 sc AS (SELECT cid, mu, CASE WHEN mad > 0 THEN 1.4826 * mad WHEN sd > 0 THEN sd ELSE 1.0 END AS sigma
   FROM (SELECT mu.cid, any_value(mu) AS mu, any_value(sd) AS sd, median(abs(z - mu)) AS mad FROM mu JOIN zz ON zz.cid = mu.cid AND t < 6 GROUP BY 1)),
@@ -62,13 +62,13 @@ run AS (
   FROM run JOIN zz ON zz.cid = run.cid AND zz.t = run.t + 1 JOIN sc ON sc.cid = run.cid),
 alarm AS (SELECT run.cid, min(run.t) AS a FROM run JOIN sc ON sc.cid = run.cid WHERE run.t >= 6 AND (pos > 5 * sigma OR -neg > 5 * sigma) GROUP BY 1),
 flags AS (
-  SELECT ids.*, CAST(t AS INTEGER) AS t FROM alarm JOIN ids USING (cid) CROSS JOIN range(8, 79) AS g(t)
+  SELECT cids.*, CAST(t AS INTEGER) AS t FROM alarm JOIN cids USING (cid) CROSS JOIN range(8, 79) AS g(t)
   WHERE t >= greatest(8, 7 + off, a + off) AND t <= a + off + 3)"""
 ONE = CURVES.replace("UNION ALL SELECT 'none', 0.0, NULL", "UNION ALL SELECT 'none', 0.0, NULL")
 BENCH = CURVES + ZED + """,
 sig1 AS (SELECT cid, min(t) AS signal FROM flags GROUP BY 1),
 tw AS (SELECT series_id, mode, t FROM flags WHERE kind = 'none'),
-b0 AS (SELECT ids.*, signal, EXISTS (SELECT 1 FROM tw WHERE tw.series_id = ids.series_id AND tw.mode = ids.mode AND tw.t = signal) AS twin FROM ids LEFT JOIN sig1 USING (cid)),
+b0 AS (SELECT cids.*, signal, EXISTS (SELECT 1 FROM tw WHERE tw.series_id = cids.series_id AND tw.mode = cids.mode AND tw.t = signal) AS twin FROM cids LEFT JOIN sig1 USING (cid)),
 bench AS (
   SELECT 'cusum' AS detector, mode, kind, magnitude, position, series_id, CAST(signal AS INTEGER) AS signal,
          CASE WHEN kind = 'none' THEN FALSE ELSE coalesce(signal >= position AND signal - position <= 3 AND NOT twin, FALSE) END AS detected,
@@ -119,7 +119,7 @@ def discrepancy(spark, sf):
     return rounded(rows.where(F.col("k") == 6).select("series_id", "t", value.alias("discrepancy")))
 
 
-@query("cp_9_detect_cusum", with_sql(CLEANONLY, "SELECT series_id, mode, CAST(a AS INTEGER) AS alarm FROM ids LEFT JOIN alarm USING (cid)"))
+@query("cp_9_detect_cusum", with_sql(CLEANONLY, "SELECT series_id, mode, CAST(a AS INTEGER) AS alarm FROM cids LEFT JOIN alarm USING (cid)"))
 def cusum(spark, sf):
     rows = B.prepared(_series(spark, sf), FULL.modes)
     return rows.select("series_id", "mode", D.cusum(F.col("z")).alias("alarm"))
@@ -151,7 +151,7 @@ def flag_months_all(spark, sf):
     return flagged.select("series_id", "mode", "detector", "penalty", F.explode("months").alias("t"))
 
 
-@query("cp_12_streaming_signal", with_sql(CLEANONLY, "SELECT ids.series_id, ids.mode, min(t) AS signal FROM ids LEFT JOIN flags USING (cid) GROUP BY 1, 2"))
+@query("cp_12_streaming_signal", with_sql(CLEANONLY, "SELECT cids.series_id, cids.mode, min(t) AS signal FROM cids LEFT JOIN flags USING (cid) GROUP BY 1, 2"))
 def streaming_signal(spark, sf):
     flagged = B.flag_sets(B.prepared(_series(spark, sf), FULL.modes), ["cusum"], [])
     return flagged.select("series_id", "mode", F.get("months", F.lit(0)).alias("signal"))
@@ -264,7 +264,7 @@ def warnings(spark, sf):
 # --- breaks of the whole series -----------------------------------------------------------
 
 OFF = CLEANONLY + """,
-br AS (SELECT series_id, CAST(a + off AS INTEGER) AS t FROM alarm JOIN ids USING (cid) WHERE mode = 'ratio'),
+br AS (SELECT series_id, CAST(a + off AS INTEGER) AS t FROM alarm JOIN cids USING (cid) WHERE mode = 'ratio'),
 ns AS (SELECT count(DISTINCT series_id) AS n FROM clean),
 osh AS (SELECT CAST(g.t AS INTEGER) AS t, count(br.series_id) AS n_breaks, count(br.series_id) * 100.0 / any_value(n) AS share
   FROM ns CROSS JOIN range(0, 79) AS g(t) LEFT JOIN br ON br.t = g.t GROUP BY 1)"""
