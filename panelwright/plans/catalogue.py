@@ -5,7 +5,9 @@ import importlib
 
 from panelwright.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("prep_queries", "backtest_queries", "factor_queries", "break_queries", "text_queries")
+MODULES = (
+    "prep_queries", "backtest_queries", "factor_queries", "break_queries", "text_queries", "stream_queries", "tree_queries",
+)
 
 
 def _load() -> None:
