@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwright.functions.frames import with_scalars
+from panelwright.functions.stats import pearson
 from panelwright.functions.tdist import t_interval, t_quantile, two_sided_p
 
 
@@ -129,9 +129,9 @@ def design_stats(rows: DataFrame, alpha: float, keys: Sequence[str] = ("feature"
     """Pearson r, degrees of freedom, t, p and critical r: within months and pooled."""
     used = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     months = used.groupBy(*keys).agg(F.count_distinct("month").alias("n_months"))
-    inner = within_month(used, x, y, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("xd", "yd").alias("r"))
+    inner = within_month(used, x, y, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("xd", "yd").alias("r"))
     inner = inner.join(months, list(keys)).select(F.lit("within_month").alias("design"), *keys, "n", (F.col("n") - F.col("n_months") - 1).alias("df"), "r")
-    pooled = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r")).select(
+    pooled = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(x, y).alias("r")).select(
         F.lit("pooled").alias("design"), *keys, "n", (F.col("n") - 2).alias("df"), "r"
     )
     both = inner.unionByName(pooled)

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions import text as T
-from panelwright.functions.frames import union_all, with_scalars
+from panelwright.functions.frames import union_all
+from panelwright.functions.stats import pearson
 
 Topics = Mapping[str, Sequence[str]]
 
@@ -68,7 +69,7 @@ def dictionary_diff(headlines: DataFrame, old: Topics, new: Topics, compound: Se
     )
     out = monthly.groupBy("topic").agg(
         *[F.sum(c).alias(c) for c in ("before", "after", "removed", "added")],
-        F.corr(F.col("before") / F.col("n"), F.col("after") / F.col("n")).alias("share_corr"),
+        pearson(F.col("before") / F.col("n"), F.col("after") / F.col("n")).alias("share_corr"),
     )
     return out.withColumn("removed_pct", F.col("removed") / F.when(F.col("before") > 0, F.col("before")) * 100)
 
@@ -185,5 +186,5 @@ def share_residual_corr(sources: Mapping[str, DataFrame], residuals: DataFrame,
         parts.append(frame.select("month", F.lit(label).alias("source"), cells))
     rows = union_all(parts).join(residuals.select("month", "step", "residual"), "month")
     return rows.groupBy("source", "topic", "step").agg(
-        F.corr("x", "residual").alias("corr"), F.count(F.when(F.col("x").isNotNull(), 1)).alias("n_months")
+        pearson("x", "residual").alias("corr"), F.count(F.when(F.col("x").isNotNull(), 1)).alias("n_months")
     )

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.functions.frames import average_rank, union_all
+from panelwright.functions.stats import pearson
 from panelwright.operators import backtest
 from panelwright.operators.metrics import refused
 from panelwright.protocol import Fold, fold_array
@@ -25,7 +26,7 @@ def length_correlation(table: DataFrame) -> DataFrame:
     """Spearman correlation of each model's gain with the training length. One row per origin."""
     rows = table.where(F.col("gain").isNotNull())
     ranked = rows.withColumn("_g", average_rank("gain", ["horizon", "model"])).withColumn("_n", average_rank("train_end", ["horizon", "model"]))
-    return ranked.groupBy("horizon", "model").agg(F.count(F.lit(1)).alias("n_origins"), F.corr("_g", "_n").alias("spearman"))
+    return ranked.groupBy("horizon", "model").agg(F.count(F.lit(1)).alias("n_origins"), pearson("_g", "_n").alias("spearman"))
 
 
 def length_sweep(ctx, names: Sequence[str], plan: Mapping[int, Sequence[Fold]], config) -> DataFrame:

@@ -14,14 +14,15 @@ from panelwright.streaming import jobs
 
 # windows that the watermark (latest event minus an hour) has passed
 @query("str_1_rollup", f"""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-SELECT event_type AS key, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", count(*) AS n, {r('CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)', 2)} AS total
-FROM events GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT wm FROM w)""")
+SELECT event_type AS key, CAST(date_trunc('day', ts) AS DATE) AS start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS DATE) AS "end", count(*) AS n, {r('CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)', 2)} AS total
+FROM events GROUP BY event_type, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT wm FROM w)""")
 def rollup(spark, sf):
     path = work_path(spark, "rollup")
     schema = I.table(spark, sf, "events").schema
     events = jobs.read_stream(spark, sf, schema, glob="events.parquet")
     jobs.run_available(jobs.rollup(events, "event_type"), path, path + "-state")
-    return rounded(spark.read.parquet(path), 2)
+    out = spark.read.parquet(path)
+    return rounded(out.withColumn("start", F.to_date("start")).withColumn("end", F.to_date("end")), 2)
 
 
 def points(spark, sf):

@@ -314,6 +314,21 @@ TSR = RESID.replace("mdl AS (SELECT model FROM choice WHERE series_key = 'aggreg
 TSN = O.FOLDS3 + "," + NATIONAL + "," + TSR
 
 
+# one more monthly feature that does carry a signal: the change of the line count a month ahead
+LEAD = """
+cnt AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS k FROM lineitem GROUP BY 1),
+lead AS (SELECT a.month, ln(b.k * 1.0 / a.k) AS t_lead FROM cnt a JOIN cnt b ON b.month = CAST(a.month + to_months(1) AS DATE)),
+nat2 AS (SELECT nat.*, t_lead FROM nat JOIN lead USING (month))"""
+LEADS = [*COLUMNS, "t_lead"]
+
+
+def leading(spark, sf):
+    counts = I.table(spark, sf, "lineitem").groupBy(readers.to_month("l_shipdate").alias("month")).agg(F.count(F.lit(1)).alias("k"))
+    ahead = counts.select(F.add_months("month", -1).alias("month"), F.col("k").alias("k1"))
+    lead = counts.join(ahead, "month").select("month", F.log(F.col("k1") / F.col("k")).alias("t_lead"))
+    return national(spark, sf).join(lead, "month")
+
+
 def _paths3(spark, sf):
     return TS.aggregate_paths(I.aggregate(spark, sf), I.CALENDAR, PLAN3)
 
@@ -323,7 +338,7 @@ def aggregate_residuals(spark, sf):
     return rounded(TS.aggregate_residuals(I.aggregate(spark, sf), national(spark, sf), _paths3(spark, sf), 3).drop("origin"))
 
 
-LOO = TSN + ",\nlx AS (" + " UNION ALL ".join(f"SELECT fold, train_end, step, month, '{c}' AS topic, {i} AS ord, {c} AS x, residual AS y FROM resid JOIN nat USING (month)" for i, c in enumerate(COLUMNS)) + """),
+LOO = TSN + "," + LEAD + ",\nlx AS (" + " UNION ALL ".join(f"SELECT fold, train_end, step, month, '{c}' AS topic, {i} AS ord, {c} AS x, residual AS y FROM resid JOIN nat2 USING (month)" for i, c in enumerate(LEADS)) + """),
 leave AS (
   SELECT a.fold, a.train_end, a.step, a.topic, a.ord, a.month, a.y, a.y - (regr_intercept(b.y, b.x) + regr_slope(b.y, b.x) * a.x) AS e
   FROM lx a JOIN lx b ON a.fold = b.fold AND a.step = b.step AND a.topic = b.topic AND a.month <> b.month GROUP BY a.fold, a.train_end, a.step, a.topic, a.ord, a.month, a.y, a.x),
@@ -331,9 +346,9 @@ gain AS (SELECT fold, train_end, step, topic, ord, count(*) AS n_months, avg(y *
 
 
 def _gains(spark, sf):
-    agg, news = I.aggregate(spark, sf), national(spark, sf)
+    agg, news = I.aggregate(spark, sf), leading(spark, sf)
     res = TS.aggregate_residuals(agg, news, _paths3(spark, sf), 3)
-    long = S.unpivot(news, ["month"], COLUMNS, "topic", "x")
+    long = S.unpivot(news, ["month"], LEADS, "topic", "x")
     return TS.loo_gains(res.join(long, "month"), ["fold", "step", "topic"], "x", "residual")
 
 
@@ -345,20 +360,20 @@ def loo_gain(spark, sf):
 @query("ts_8_news_correction", f"""WITH {LOO},
 best AS (SELECT * FROM gain WHERE n_months >= 8 AND gain > 0 QUALIFY row_number() OVER (PARTITION BY fold, step ORDER BY gain DESC, ord) = 1),
 fit AS (SELECT fold, step, topic, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM lx GROUP BY 1, 2, 3),
-here AS ({' UNION ALL '.join(f"SELECT month, '{c}' AS topic, {c} AS x0 FROM nat" for c in COLUMNS)})
+here AS ({' UNION ALL '.join(f"SELECT month, '{c}' AS topic, {c} AS x0 FROM nat2" for c in LEADS)})
 SELECT best.fold, best.step, best.topic, {r('gain * 1000')} AS gain, {r('a + b * x0')} AS correction FROM best JOIN fit USING (fold, step, topic)
 JOIN here ON here.topic = best.topic AND here.month = CAST(DATE '1995-01-01' + to_months(CAST(train_end - 1 AS INTEGER)) AS DATE)""")
 def news_correction(spark, sf):
-    news = national(spark, sf)
+    news = leading(spark, sf)
     res = TS.aggregate_residuals(I.aggregate(spark, sf), news, _paths3(spark, sf), 3)
-    out = TS.news_correction(res, news, COLUMNS)
+    out = TS.news_correction(res, news, LEADS)
     return rounded(out.select("fold", "step", "topic", (F.col("gain") * 1000).alias("gain"), "correction"))
 
 
 @query("ts_8_two_stage_news")
 def two_stage_news(spark, sf):
-    agg, news, paths = I.aggregate(spark, sf), national(spark, sf), _paths3(spark, sf)
-    fix = TS.news_correction(TS.aggregate_residuals(agg, news, paths, 3), news, COLUMNS)
+    agg, news, paths = I.aggregate(spark, sf), leading(spark, sf), _paths3(spark, sf)
+    fix = TS.news_correction(TS.aggregate_residuals(agg, news, paths, 3), news, LEADS)
     moved = TS.corrected_paths(paths, fix, 3)
     series = I.total_arrays(spark, sf).select("series_id", "y")
     done = TS.two_stage(series, PLAN3, moved, TS.aggregate_array(agg, I.CALENDAR), name="two_stage_news")

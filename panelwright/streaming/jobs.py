@@ -43,7 +43,7 @@ def rollup(events: DataFrame, key: str, window: str = "1 day", delay: str = "1 h
     The aggregate combines map-side, so a hot key costs one row per task and window.
     """
     return (
-        events.withWatermark("ts", delay)
+        events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
         .groupBy(F.window("ts", window).alias("w"), F.col(key).alias("key"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
         .select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.col("total").cast("double").alias("total"))
