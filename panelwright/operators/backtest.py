@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions import arrays as A
 from panelwright.operators import forecasters
-from panelwright.operators.metrics import row_metrics
+from panelwright.operators.metrics import naive_scale, row_metrics, target_sums
 
 SCORE_KEYS = ("model", "horizon", "fold", "train_end", "series_id")
 
@@ -17,9 +17,16 @@ def fold_rows(series: DataFrame, folds: Column) -> DataFrame:
     exploded = series.select("*", F.explode(folds).alias("f")).select(
         "*", *[F.col(f"f.{c}").alias(c) for c in ("horizon", "fold", "train_end", "test_start", "test_end")]
     )
-    return exploded.drop("f").withColumn("train", A.head(F.col("y"), F.col("train_end"))).withColumn(
+    sliced = exploded.drop("f").withColumn("train", A.head(F.col("y"), F.col("train_end"))).withColumn(
         "test", A.window(F.col("y"), F.col("test_start"), F.col("horizon"))
     )
+    # the same for every model, so before the models multiply the rows; unused columns are pruned
+    return sliced.withColumns({
+        "train_hole": A.has_null(F.col("train")),
+        "test_hole": A.has_null(F.col("test")),
+        "scale": naive_scale(F.col("train")),
+        "target": target_sums(F.col("test")),
+    })
 
 
 def forecast_series(rows: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -27,7 +34,7 @@ def forecast_series(rows: DataFrame, models: Sequence[str]) -> DataFrame:
 
     A series with a hole cannot be fitted: it becomes a row with a reason, not a gap.
     """
-    bad = A.has_null(F.col("train"))
+    bad = F.col("train_hole") if "train_hole" in rows.columns else A.has_null(F.col("train"))
     reason = F.when(bad, F.lit("ValueError: missing values in the training window"))
     runs = [
         F.struct(
@@ -47,14 +54,14 @@ def score_series(series: DataFrame, folds: Column, models: Sequence[str]) -> Dat
 
 
 def score_rows(done: DataFrame) -> DataFrame:
-    """Score rows with ``train, test, forecast, error`` columns; refusals keep their reason."""
+    """Score rows of :func:`fold_rows` with ``forecast, error``; refusals keep their reason."""
     failed = F.col("error").isNotNull() | F.col("forecast").isNull() | A.has_null(F.col("forecast"))
-    blind = A.has_null(F.col("test"))
+    blind = F.col("test_hole")
     error = (
         F.coalesce(F.col("error"), F.when(failed, F.lit("not enough history for the features")),
                    F.when(blind, F.lit("ValueError: missing values in the test window")))
     )
-    metrics = F.when(~failed & ~blind, row_metrics(F.col("test"), F.col("forecast"), F.col("train")))
+    metrics = F.when(~failed & ~blind, row_metrics(F.col("test"), F.col("forecast"), F.col("scale"), F.col("target")))
     return done.select(*SCORE_KEYS, metrics.alias("m"), error.alias("error")).select(*SCORE_KEYS, "m.*", "error")
 
 

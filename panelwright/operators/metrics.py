@@ -36,24 +36,41 @@ def smape(y: Column, p: Column) -> Column:
     return A.mean(F.filter(parts, lambda x: x.isNotNull())) * 100.0
 
 
+def naive_scale(train: Column) -> Column:
+    """In-sample error of the one-step naive forecast."""
+    return A.mean(F.transform(A.diffs(train), lambda d: F.abs(d)))
+
+
 def mase(y: Column, p: Column, train: Column) -> Column:
     """Over the in-sample error of the one-step naive forecast."""
-    scale = A.mean(F.transform(A.diffs(train), lambda d: F.abs(d)))
+    scale = naive_scale(train)
     return F.when(scale != 0, mae(y, p) / scale)
 
 
-def row_metrics(y: Column, p: Column, train: Column) -> Column:
-    return F.struct(
-        mae(y, p).alias("mae"),
-        r2(y, p).alias("r2"),
-        smape(y, p).alias("smape"),
-        mase(y, p, train).alias("mase"),
-        sse(y, p).alias("sse"),
-        sst(y).alias("sst"),
-        F.size(y).alias("n"),
-        A.total(y).alias("y_sum"),
-        A.sum_of_squares(y).alias("y_sq"),
-    )
+def target_sums(y: Column) -> Column:
+    """What the scores need of the window itself, the same for every model."""
+    return F.struct(sst(y).alias("sst"), F.size(y).alias("n"), A.total(y).alias("y_sum"), A.sum_of_squares(y).alias("y_sq"))
+
+
+def row_metrics(y: Column, p: Column, scale: Column, target: Column) -> Column:
+    """All scores of one window. ``scale`` and ``target`` are computed once per series and fold."""
+    errors = F.zip_with(y, p, lambda a, b: a - b)
+
+    def body(e: Column) -> Column:
+        sums = F.struct(A.mean(F.transform(e, lambda x: F.abs(x))).alias("mae"), A.sum_of_squares(e).alias("sse"))
+        return A.let(sums, lambda m: F.struct(
+            m["mae"].alias("mae"),
+            F.when(target["sst"] != 0, 1.0 - m["sse"] / target["sst"]).alias("r2"),
+            smape(y, p).alias("smape"),
+            F.when(scale != 0, m["mae"] / scale).alias("mase"),
+            m["sse"].alias("sse"),
+            target["sst"].alias("sst"),
+            target["n"].alias("n"),
+            target["y_sum"].alias("y_sum"),
+            target["y_sq"].alias("y_sq"),
+        ))
+
+    return A.let(errors, body)
 
 
 def refused() -> Column:

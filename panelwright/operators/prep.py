@@ -10,11 +10,15 @@ from panelwright.functions.ranking import global_rank
 from panelwright.protocol import Calendar
 
 
-def monthly_panel(raw: DataFrame, keys: Sequence[str], unit: float = 1000.0) -> DataFrame:
-    """Sum a transaction table to ``keys x month``. Decimal sums do not depend on row order."""
-    return raw.groupBy(*keys, "month").agg(
-        (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.lit(unit)).alias("value")
-    )
+def monthly_panel(raw: DataFrame, keys: Sequence[str], unit: float = 1000.0, digits: int = 2) -> DataFrame:
+    """Sum a transaction table to ``keys x month``.
+
+    Amounts are summed as whole units of their last digit, so the sum does not depend on row
+    order and stays in generated code; an overflow raises.
+    """
+    scale = 10.0**digits
+    whole = F.round(F.col("value") * F.lit(scale)).cast("bigint")
+    return raw.groupBy(*keys, "month").agg((F.sum(whole).cast("double") / F.lit(scale) / F.lit(unit)).alias("value"))
 
 
 def rebuild_entities(panel: DataFrame, position: str, block_rows: int = 1_000_000) -> DataFrame:

@@ -123,7 +123,7 @@ SUMMARY = f"{r('mae')} AS mae, {r('mase')} AS mase, {r('smape')} AS smape, n_ser
 
 @query("met_7_summarise", f"WITH {S}, {summary_sql('model')} SELECT model, {SUMMARY} FROM summary")
 def summarise(spark, sf):
-    return rounded(metrics.summarise(I.scores(spark, sf))).orderBy("mae")
+    return rounded(metrics.summarise(I.score_table(spark, sf))).orderBy("mae")
 
 
 @query("met_8_r2_pool", f"WITH {S}, {summary_sql('model, fold')} SELECT model, fold, {r('r2_pool')} AS r2_pool FROM summary WHERE r2_pool IS NOT NULL")
@@ -133,7 +133,7 @@ def r2_pool(spark, sf):
 
 @query("met_9_r2_median", f"WITH {S}, {summary_sql('model, fold')} SELECT model, fold, {r('r2_median')} AS r2_median FROM summary")
 def r2_median(spark, sf):
-    return rounded(metrics.r2_median(I.scores(spark, sf), ["model", "fold"]))
+    return rounded(metrics.r2_median(I.score_table(spark, sf), ["model", "fold"]))
 
 
 def gain(reference: str, within: str) -> str:
@@ -145,7 +145,7 @@ def gain(reference: str, within: str) -> str:
 @query("met_10_gains", f"""WITH {S}, {summary_sql('model')}
 SELECT model, {r('mae')} AS mae, {r(gain('seasonal_drift', ''))} AS gain_to_reference, {r(gain('naive_last', ''))} AS gain_to_naive FROM summary""")
 def gains(spark, sf):
-    out = metrics.gains(metrics.summarise(I.scores(spark, sf), exact_median=False))
+    out = metrics.gains(metrics.summarise(I.score_table(spark, sf), exact_median=False))
     return rounded(out.select("model", "mae", "gain_to_reference", "gain_to_naive"))
 
 
@@ -153,7 +153,7 @@ def gains(spark, sf):
 SELECT CAST(horizon AS INTEGER) AS horizon, model, fold, train_end, {SUMMARY}, {r(gain('seasonal_drift', 'horizon, fold'))} AS gain_to_reference,
        {r(gain('naive_last', 'horizon, fold'))} AS gain_to_naive FROM summary""")
 def by_fold(spark, sf):
-    return rounded(metrics.summarise_horizons(I.horizon_scores(spark, sf))[0])
+    return rounded(metrics.summarise_horizons(I.horizon_score_table(spark, sf))[0])
 
 
 @query("met_11_summarise_by_horizon", f"""WITH {SH}, {summary_sql('horizon, model')},
@@ -161,7 +161,7 @@ f AS (SELECT horizon, model, count(DISTINCT fold) AS n_folds, count(DISTINCT fol
 SELECT CAST(horizon AS INTEGER) AS horizon, model, {SUMMARY}, {r(gain('seasonal_drift', 'horizon'))} AS gain_to_reference,
        {r(gain('naive_last', 'horizon'))} AS gain_to_naive, n_folds, n_folds_counted FROM summary JOIN f USING (horizon, model)""")
 def by_horizon(spark, sf):
-    return rounded(metrics.summarise_horizons(I.horizon_scores(spark, sf))[1])
+    return rounded(metrics.summarise_horizons(I.horizon_score_table(spark, sf))[1])
 
 
 @query("met_12_step_errors", f"""WITH {FC}
@@ -193,7 +193,7 @@ c AS (SELECT horizon, model, count(*) AS n_pairs FROM ok GROUP BY 1, 2),
 k AS (SELECT horizon, count(*) AS n_common FROM (SELECT horizon, series_id, fold FROM ok GROUP BY 1, 2, 3 HAVING count(DISTINCT model) = 4) GROUP BY 1)
 SELECT CAST(horizon AS INTEGER) AS horizon, model, n_pairs, n_common, bool_or(n_pairs <> n_common) OVER (PARTITION BY horizon) AS uneven FROM c JOIN k USING (horizon)""")
 def uneven_pairs(spark, sf):
-    return metrics.uneven_pairs(_thinned(I.horizon_scores(spark, sf)))
+    return metrics.uneven_pairs(_thinned(I.horizon_score_table(spark, sf)))
 
 
 @query("met_15_uneven_series", f"""WITH {S}, x AS (SELECT model, count(DISTINCT series_id) AS n_series FROM scores WHERE model <> 'theta' AND NOT (model = 'drift' AND series_id LIKE '%0|A') GROUP BY 1)
@@ -208,14 +208,14 @@ FOLD_R2 = summary_sql("horizon, fold, model")
 
 @query("met_16_fold_r2", f"WITH {SH}, {FOLD_R2} SELECT CAST(horizon AS INTEGER) AS horizon, fold, model, {r('mae')} AS mae, {r('r2_pool')} AS r2_pool, {r('r2_median')} AS r2_median FROM summary")
 def fold_r2(spark, sf):
-    return rounded(compare.fold_r2(I.horizon_scores(spark, sf)))
+    return rounded(compare.fold_r2(I.horizon_score_table(spark, sf)))
 
 
 @query("met_16_both_ways_lead", f"""WITH {S}, {FOLD_R2}, x AS (
   SELECT *, r2_pool = max(r2_pool) OVER w AND r2_median = max(r2_median) OVER w AS leads FROM summary WINDOW w AS (PARTITION BY horizon, fold))
 SELECT CAST(horizon AS INTEGER) AS horizon, fold, max(CASE WHEN leads THEN model END) AS leader FROM x GROUP BY 1, 2""")
 def both_ways(spark, sf):
-    return compare.both_ways_lead(compare.fold_r2(I.scores(spark, sf)))
+    return compare.both_ways_lead(compare.fold_r2(I.score_table(spark, sf)))
 
 
 @query("met_17_fold_ranks", f"""WITH {SH}, m AS (SELECT horizon, fold, model, avg(mae) AS mae FROM scores WHERE error IS NULL GROUP BY 1, 2, 3),
@@ -251,14 +251,14 @@ PAIRED = f"""CAST(horizon AS INTEGER) AS horizon, model, n_pairs, n_series, {r('
 
 @query("met_18_paired_vs_reference", f"WITH {SH}, {paired_sql('scores', 'seasonal_drift')} SELECT {PAIRED} FROM paired")
 def paired(spark, sf):
-    return rounded(compare.paired_vs_reference(I.horizon_scores(spark, sf), "seasonal_drift"))
+    return rounded(compare.paired_vs_reference(I.horizon_score_table(spark, sf), "seasonal_drift"))
 
 
 @query("met_19_paired_sources", f"""WITH {SH}, ok AS (SELECT * FROM {THIN} WHERE error IS NULL AND mae IS NOT NULL),
 common AS (SELECT horizon, fold, series_id FROM ok GROUP BY 1, 2, 3 HAVING count(DISTINCT model) = 4),
 okc AS (SELECT * FROM ok SEMI JOIN common USING (horizon, fold, series_id)), {paired_sql('okc', 'naive_last')} SELECT {PAIRED} FROM paired""")
 def paired_sources(spark, sf):
-    return rounded(compare.paired_vs_reference(_thinned(I.horizon_scores(spark, sf)), "naive_last", common_only=True))
+    return rounded(compare.paired_vs_reference(_thinned(I.horizon_score_table(spark, sf)), "naive_last", common_only=True))
 
 
 # at this many pairs the t quantile needs the routine, so the pair interval is left to the tests
@@ -269,7 +269,7 @@ SELECT CAST(horizon AS INTEGER) AS horizon, n_pairs, n_series, n_folds, {r('mae'
   {r('fold_diff_mean')} AS fold_diff_mean, {r('fold_diff_mean - fm')} AS fold_ci_low, {r('fold_diff_mean + fm')} AS fold_ci_high,
   {r('share_series_improved')} AS share_series_improved, folds_won FROM paired JOIN im USING (horizon) WHERE model = 'drift'""")
 def pair_stats(spark, sf):
-    scores = I.horizon_scores(spark, sf)
+    scores = I.horizon_score_table(spark, sf)
     subset = I.category_panel(spark, sf).where(F.col("category") == "A").select("series_id").distinct()
     return rounded(compare.pair_stats(scores, "naive_last", "drift", subset).drop("pair_ci_low", "pair_ci_high"))
 
@@ -285,7 +285,7 @@ q AS (SELECT model, quantile_cont(cv, 0.1) AS cut FROM c GROUP BY 1)
 SELECT model, count(*) FILTER (WHERE cv <= cut) AS n_flat, {r('avg(r2) FILTER (WHERE cv <= cut)', 5)} AS r2_flat,
        {r('avg(r2) FILTER (WHERE cv > cut)')} AS r2_rest, {r('sum(r2) FILTER (WHERE cv <= cut) / sum(r2)')} AS share_of_sum FROM c JOIN q USING (model) GROUP BY 1""")
 def flat_windows(spark, sf):
-    return rounded(compare.flat_windows(I.scores(spark, sf)), r2_flat=5)
+    return rounded(compare.flat_windows(I.score_table(spark, sf)), r2_flat=5)
 
 
 DECOMP = """
@@ -306,13 +306,13 @@ def _base(spark, sf):
 @query("met_23_error_decomposition", f"""WITH {FC}, {DECOMP}
 SELECT model, CAST(horizon AS INTEGER) AS horizon, fold, {r('mae')} AS mae, {r('spread')} AS spread, {r('mae - spread')} AS bias, {r('(mae - spread) / mae')} AS bias_share FROM decomp""")
 def decomposition(spark, sf):
-    return rounded(compare.error_decomposition(I.points(spark, sf), _base(spark, sf)))
+    return rounded(compare.error_decomposition(I.point_table(spark, sf), _base(spark, sf)))
 
 
 @query("met_24_decomposition_means", f"""WITH {FC}, {DECOMP}
 SELECT model, CAST(horizon AS INTEGER) AS horizon, {r('avg(mae)')} AS mae, {r('avg(spread)')} AS spread, {r('avg(mae - spread)')} AS bias FROM decomp GROUP BY 1, 2""")
 def decomposition_means(spark, sf):
-    return rounded(compare.decomposition_means(compare.error_decomposition(I.points(spark, sf), _base(spark, sf))))
+    return rounded(compare.decomposition_means(compare.error_decomposition(I.point_table(spark, sf), _base(spark, sf))))
 
 
 @query("met_25_compare_realisations", f"""WITH {S},
@@ -320,13 +320,13 @@ b AS (SELECT model, horizon, fold, series_id, CASE WHEN series_id LIKE '%0|A' TH
 SELECT model, CAST(horizon AS INTEGER) AS horizon, fold, count(*) AS n_rows, {r('max(abs(a.mae - b.mae))')} AS max_gap, {r('avg(CASE WHEN a.mae = b.mae THEN 1.0 ELSE 0.0 END)')} AS share_equal
 FROM scores a JOIN b USING (model, horizon, fold, series_id) WHERE a.error IS NULL GROUP BY 1, 2, 3""")
 def realisations(spark, sf):
-    first = I.scores(spark, sf).where(F.col("error").isNull())
+    first = I.score_table(spark, sf).where(F.col("error").isNull())
     second = first.withColumn("mae", F.when(F.col("series_id").endswith("0|A"), F.col("mae") + 1).otherwise(F.col("mae")))
     return rounded(compare.compare_realisations(first, second))
 
 
 def _old_rows(spark, sf):
-    return I.scores(spark, sf).select("model", "horizon", "fold", "series_id", "mae", "r2", "error")
+    return I.score_table(spark, sf).select("model", "horizon", "fold", "series_id", "mae", "r2", "error")
 
 
 def _targets(spark, sf):
@@ -372,7 +372,7 @@ def invariants(spark, sf):
 p AS (SELECT model, sum(sst) AS i, sum(n * pow(y_sum / n - mean, 2)) AS b FROM m GROUP BY 1)
 SELECT model, {r('b / (i + b)')} AS share_between FROM p""")
 def variance_split(spark, sf):
-    return rounded(compare.pool_variance_split(I.scores(spark, sf)).select("model", "share_between"))
+    return rounded(compare.pool_variance_split(I.score_table(spark, sf)).select("model", "share_between"))
 
 
 EVENTS = {"spring": 71, "summer": 77}
@@ -397,7 +397,7 @@ ci AS (SELECT *, CASE WHEN n_folds >= 2 THEN {T975} * sd / sqrt(n_folds) END AS
 SELECT CAST(horizon AS INTEGER) AS horizon, model, CAST(place AS INTEGER) AS place, {r('diff_mean')} AS diff_mean, n_folds, folds_ahead,
        {r('diff_mean - h')} AS ci_low, {r('diff_mean + h')} AS ci_high, diff_mean - h <= 0 AND diff_mean + h >= 0 AS same FROM ci""")
 def top(spark, sf):
-    return rounded(compare.top_indistinguishable(I.horizon_scores(spark, sf), 3))
+    return rounded(compare.top_indistinguishable(I.horizon_score_table(spark, sf), 3))
 
 
 BLEND = """
@@ -414,14 +414,14 @@ best AS (SELECT horizon, fold, w, mae FROM cand QUALIFY row_number() OVER (PARTI
 @query("gb_13_blend_weights", f"""WITH {FC}, {BLEND}
 SELECT CAST(horizon AS INTEGER) AS horizon, fold, {r('CAST(w AS DOUBLE)', 2)} AS weight, {r('mae')} AS mae_before FROM best""")
 def blend_weights(spark, sf):
-    return rounded(compare.blend_weights(I.points(spark, sf), "naive_last", "seasonal_drift"))
+    return rounded(compare.blend_weights(I.point_table(spark, sf), "naive_last", "seasonal_drift"))
 
 
 @query("gb_13_blend", f"""WITH {FC}, {BLEND}
 SELECT CAST(horizon AS INTEGER) AS horizon, fold, step, {r('avg(abs(actual - (CAST(w AS DOUBLE) * a + (1 - CAST(w AS DOUBLE)) * b)))')} AS mae, count(*) AS n
 FROM act JOIN best USING (horizon, fold) GROUP BY 1, 2, 3""")
 def blend(spark, sf):
-    points = I.points(spark, sf)
+    points = I.point_table(spark, sf)
     mixed = compare.blend(points, compare.blend_weights(points, "naive_last", "seasonal_drift"), "naive_last", "seasonal_drift")
     return rounded(mixed.where(F.col("actual").isNotNull()).groupBy("horizon", "fold", "step").agg(
         F.avg(F.abs(F.col("actual") - F.col("forecast"))).alias("mae"), F.count(F.lit(1)).alias("n")))
@@ -433,7 +433,7 @@ def blend(spark, sf):
 SELECT 'series only stored' AS problem, count(*) AS n FROM (SELECT DISTINCT series_id FROM scores EXCEPT SELECT series_id FROM fresh)
 UNION ALL SELECT 'other folds at horizon 3', 1""")
 def panel_differences(spark, sf):
-    stored = I.horizon_scores(spark, sf)
+    stored = I.horizon_score_table(spark, sf)
     fresh = stored.where(~F.col("series_id").endswith("0|A") & ~((F.col("horizon") == 3) & (F.col("fold") == 2)))
     return guard.panel_differences(stored, fresh)
 
@@ -461,7 +461,7 @@ def _batch(scores, model):
 @query("snk_3_upsert_by_model", f"""WITH {S}
 SELECT model, fold, series_id, {r("CASE WHEN model = 'drift' THEN mae + 1 ELSE mae END")} AS mae, error FROM scores""")
 def upsert_model(spark, sf):
-    stored = I.scores(spark, sf)
+    stored = I.score_table(spark, sf)
     out = sinks.upsert(stored, _batch(stored, "drift"), ["model"])
     return rounded(out.select("model", "fold", "series_id", "mae", "error"))
 
@@ -470,7 +470,7 @@ def upsert_model(spark, sf):
 SELECT model, CAST(horizon AS INTEGER) AS horizon, fold, series_id, {r("CASE WHEN model = 'drift' AND horizon = 3 THEN mae + 1 ELSE mae END", 7)} AS mae
 FROM scores WHERE NOT (model = 'naive_last' AND horizon = 12)""")
 def upsert_horizon(spark, sf):
-    stored = I.horizon_scores(spark, sf)
+    stored = I.horizon_score_table(spark, sf)
     fresh = _batch(stored, "drift").where(F.col("horizon") == 3)
     cleared = stored.select("model", "horizon").distinct().where((F.col("model") == "naive_last") & (F.col("horizon") == 12))
     out = sinks.upsert(stored, fresh, ["model", "horizon"], explicit=cleared)
@@ -479,14 +479,14 @@ def upsert_horizon(spark, sf):
 
 @query("snk_5_archive_replaced", f"WITH {S} SELECT model, fold, series_id, {r('mae')} AS mae, error FROM scores WHERE model = 'drift'")
 def archive(spark, sf):
-    stored = I.scores(spark, sf)
+    stored = I.score_table(spark, sf)
     target = sinks.archive_replaced(stored, _batch(stored, "drift"), ["model"], work_path(spark, "archive"))
     return rounded(spark.read.parquet(target).select("model", "fold", "series_id", "mae", "error"))
 
 
 @query("snk_6_export_snapshot", f"WITH {S} SELECT CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra, count(*) AS n_source, count(*) AS n_copy FROM scores")
 def snapshot(spark, sf):
-    return sinks.write_and_verify(I.scores(spark, sf), work_path(spark, "snapshot"))
+    return sinks.write_and_verify(I.score_table(spark, sf), work_path(spark, "snapshot"))
 
 
 @query("snk_1_write_features", f"WITH {O.TOTAL_CLEAN} SELECT series_id, t, {r('y')} AS y, filled FROM clean")

@@ -10,6 +10,7 @@ from panelwright.plans.oracle import r
 from panelwright.plans.registry import query
 from panelwright.plans.rounding import rounded
 from panelwright.protocol import ForwardConfig, fold_array
+from panelwright.session import cut_lineage
 
 PLAN3 = {I.BACKTEST.horizon: I.BACKTEST.folds}
 PLANH = I.HORIZONS.folds
@@ -466,6 +467,11 @@ def _forward(spark, sf):
     return serving.forecast_forward(_arrays(spark, sf), I.aggregate(spark, sf), I.regions(spark, sf), I.CALENDAR, FORWARD)
 
 
+def _stored_forward(spark, sf):
+    """The forecast table as the serving operators find it: written once."""
+    return cut_lineage(_forward(spark, sf), "forecast")
+
+
 @query("fwd_1_forecast_forward", f"""WITH {FWD_R}
 SELECT series_id, region, model, CAST(horizon AS INTEGER) AS horizon, month, {r('forecast')} AS forecast, recommended, pub AS uses_published_aggregate, error
 FROM fwdm LEFT JOIN regions USING (series_id)""")
@@ -512,14 +518,14 @@ QUANTILES = ", ".join(f"{r(f'quantile_cont(growth, {p})')} AS {n}" for n, p in s
   SELECT model, horizon, forecast / c.y - 1 AS growth FROM fwdm JOIN clean c ON c.series_id = fwdm.series_id AND c.month = CAST(fwdm.month - to_months(12) AS DATE) WHERE forecast IS NOT NULL)
 SELECT model, CAST(horizon AS INTEGER) AS horizon, {QUANTILES}, count(growth) AS n FROM gr GROUP BY 1, 2""")
 def growth_stats(spark, sf):
-    return rounded(serving.growth_stats(_forward(spark, sf), I.total_clean(spark, sf)))
+    return rounded(serving.growth_stats(_stored_forward(spark, sf), I.total_clean(spark, sf)))
 
 
 @query("fwd_6_growth_stats_annual", f"""WITH {FWD}, back AS (SELECT series_id, sum(y) AS b FROM clean WHERE t >= 67 GROUP BY 1),
 gr AS (SELECT model, series_id, sum(forecast) / any_value(b) - 1 AS growth FROM fwdm JOIN back USING (series_id) WHERE horizon = 12 GROUP BY 1, 2)
 SELECT model, {QUANTILES}, count(growth) AS n FROM gr WHERE growth IS NOT NULL GROUP BY 1""")
 def growth_annual(spark, sf):
-    return rounded(serving.growth_stats_annual(_forward(spark, sf), _arrays(spark, sf)))
+    return rounded(serving.growth_stats_annual(_stored_forward(spark, sf), _arrays(spark, sf)))
 
 
 BYSTEP = FWD + """,
@@ -530,20 +536,20 @@ bystep AS (SELECT f.series_id, f.model, f.horizon, f.month, f.step, f.forecast F
 @query("fwd_7_step_horizon_map", f"""WITH {BYSTEP}
 SELECT CAST(step AS INTEGER) AS step, CAST(horizon AS INTEGER) AS horizon, count(*) AS n_series FROM bystep GROUP BY 1, 2""")
 def step_map(spark, sf):
-    return serving.forecast_by_step(_forward(spark, sf), I.CALENDAR, FORWARD.horizons).groupBy("step", "horizon").agg(
+    return serving.forecast_by_step(_stored_forward(spark, sf), I.CALENDAR, FORWARD.horizons).groupBy("step", "horizon").agg(
         F.count(F.lit(1)).alias("n_series"))
 
 
 @query("fwd_8_forecast_by_step", f"""WITH {BYSTEP}
 SELECT series_id, model, CAST(horizon AS INTEGER) AS horizon, month, CAST(step AS INTEGER) AS step, {r('forecast')} AS forecast FROM bystep""")
 def by_step(spark, sf):
-    return rounded(serving.forecast_by_step(_forward(spark, sf), I.CALENDAR, FORWARD.horizons))
+    return rounded(serving.forecast_by_step(_stored_forward(spark, sf), I.CALENDAR, FORWARD.horizons))
 
 
 @query("fwd_9_forecast_rule", f"""WITH {BYSTEP}, d AS (SELECT DISTINCT step, month, horizon, model FROM bystep)
 SELECT model, CAST(horizon AS INTEGER) AS horizon, min(month) AS first_month, max(month) AS last_month, count(*) AS n_months FROM d GROUP BY 1, 2""")
 def rule(spark, sf):
-    return serving.forecast_rule(_forward(spark, sf), I.CALENDAR, FORWARD.horizons)
+    return serving.forecast_rule(_stored_forward(spark, sf), I.CALENDAR, FORWARD.horizons)
 
 
 TOTAL_SCORES = O.TOTAL_CLEAN + "," + O.scores("clean")
@@ -554,7 +560,7 @@ def total_scores(spark, sf):
 
 
 def _documents(spark, sf):
-    return serving.series_documents(_arrays(spark, sf), _forward(spark, sf), total_scores(spark, sf), I.CALENDAR, FORWARD.horizons)
+    return serving.series_documents(_arrays(spark, sf), _stored_forward(spark, sf), total_scores(spark, sf), I.CALENDAR, FORWARD.horizons)
 
 
 @query("fwd_10_series_document", f"""WITH {BYSTEP}, {O.scores('clean').replace('folds AS', 'folds3 AS', 1).replace('FROM folds', 'FROM folds3').replace('folds f', 'folds3 f').replace('FROM folds3,', 'FROM folds3,')},
@@ -612,7 +618,7 @@ w AS (SELECT series_id, model, mae FROM m JOIN o USING (model) QUALIFY row_numbe
 SELECT series_id, {r('forecast_mean')} AS forecast_mean, {r('forecast_mean / last_year - 1')} AS growth, w.model AS best_model, {r('w.mae')} AS best_mae, {r('ref.mae')} AS reference_mae
 FROM b LEFT JOIN a USING (series_id) LEFT JOIN w USING (series_id) LEFT JOIN m ref ON ref.series_id = b.series_id AND ref.model = 'seasonal_drift'""")
 def series_summary(spark, sf):
-    steps = serving.forecast_by_step(_forward(spark, sf), I.CALENDAR, FORWARD.horizons)
+    steps = serving.forecast_by_step(_stored_forward(spark, sf), I.CALENDAR, FORWARD.horizons)
     return rounded(serving.series_summary(_arrays(spark, sf), steps, total_scores(spark, sf), I.MODELS, "seasonal_drift"))
 
 
@@ -626,7 +632,7 @@ def windows_held(spark, sf):
 @query("fwd_17_series_set_match", f"""WITH {O.TOTAL_CLEAN}
 SELECT CAST(0 AS BIGINT) AS only_forecast, (SELECT count(DISTINCT series_id) FROM total) - count(DISTINCT series_id) AS only_panel FROM clean""")
 def series_set(spark, sf):
-    return serving.series_set_difference(_forward(spark, sf), I.total_panel(spark, sf))
+    return serving.series_set_difference(_stored_forward(spark, sf), I.total_panel(spark, sf))
 
 
 # --- iterative forecasters --------------------------------------------------------------

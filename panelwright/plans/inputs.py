@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright.operators import backtest, prep
 from panelwright.protocol import BacktestConfig, Calendar, HorizonsConfig, fold_array
+from panelwright.session import cut_lineage
 from panelwright.sources import readers
 
 CALENDAR = Calendar(date(1995, 1, 1), 79)
@@ -92,14 +93,14 @@ def industry(spark: SparkSession, sf: str) -> DataFrame:
     """``series_key, month, value`` per part type. Lines fold to part x month before the join."""
     lines = table(spark, sf, "lineitem").select(
         "l_partkey", readers.to_month("l_shipdate").alias("month"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("v"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("v"),
     )
     by_part = lines.groupBy("l_partkey", "month").agg(F.sum("v").alias("v"))
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("series_key"))
     return (
         by_part.join(parts, by_part.l_partkey == parts.p_partkey)
         .groupBy("series_key", "month")
-        .agg((F.sum("v").cast("double") / 1_000_000.0).alias("value"))
+        .agg((F.sum("v").cast("double") / 100.0 / 1_000_000.0).alias("value"))
     )
 
 
@@ -120,6 +121,19 @@ def horizon_scores(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.score_series(category_arrays(spark, sf), horizon_folds(), MODELS)
 
 
+def score_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The score rows as a stored table, for summaries that read it several times."""
+    return cut_lineage(scores(spark, sf), "scores")
+
+
+def horizon_score_table(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_lineage(horizon_scores(spark, sf), "horizon-scores")
+
+
+def point_table(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_lineage(points(spark, sf), "points")
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
     rows = backtest.fold_rows(category_arrays(spark, sf), horizon_folds())
     return backtest.forecast_points(backtest.forecast_series(rows, MODELS))

@@ -13,7 +13,7 @@ from panelwright.plans.factor_queries import HZ, LONG, PLAN3, PLANH, chosen
 from panelwright.plans.oracle import r
 from panelwright.plans.registry import query
 from panelwright.plans.rounding import rounded
-from panelwright.session import work_path
+from panelwright.session import cut_lineage, work_path
 from panelwright.sources import readers
 
 # The invented text has none of the real roots, so the queries use roots it does have. They
@@ -372,9 +372,10 @@ def news_correction(spark, sf):
 
 @query("ts_8_two_stage_news")
 def two_stage_news(spark, sf):
-    agg, news, paths = I.aggregate(spark, sf), leading(spark, sf), _paths3(spark, sf)
+    agg, news = I.aggregate(spark, sf), leading(spark, sf)
+    paths = cut_lineage(_paths3(spark, sf), "paths")  # a few rows per fold, read three times below
     fix = TS.news_correction(TS.aggregate_residuals(agg, news, paths, 3), news, LEADS)
-    moved = TS.corrected_paths(paths, fix, 3)
+    moved = cut_lineage(TS.corrected_paths(paths, fix, 3), "corrected")
     series = I.total_arrays(spark, sf).select("series_id", "y")
     done = TS.two_stage(series, PLAN3, moved, TS.aggregate_array(agg, I.CALENDAR), name="two_stage_news")
     return done.select("series_id", "fold", "rule", F.posexplode("forecast").alias("k", "forecast"))

@@ -22,7 +22,9 @@ def require_columns(df: DataFrame, expected: Sequence[str], what: str = "input")
 def read_panel(raw: DataFrame, freq: str) -> DataFrame:
     """Check the columns, keep one frequency, truncate to months, coerce numbers to NULL."""
     require_columns(raw, PANEL_COLUMNS, "panel")
-    number = F.col("value").cast("string").try_cast("double")
+    # a numeric column needs no detour through text
+    text = dict(raw.dtypes)["value"] == "string"
+    number = F.col("value").try_cast("double") if text else F.col("value").cast("double")
     return raw.where(F.col("freq") == freq).select(
         to_month("period").alias("month"),
         F.when(~F.isnan(number), number).alias("value"),
