@@ -30,7 +30,7 @@ def sum_of_squares(arr: Column, centre: Column | None = None) -> Column:
 
 
 def variance_pop(arr: Column) -> Column:
-    return let(arr, lambda a: sum_of_squares(a, mean(a)) / F.size(a))
+    return let(arr, lambda a: F.when(F.size(a) > 0, sum_of_squares(a, mean(a)) / F.size(a)))
 
 
 def median(arr: Column) -> Column:

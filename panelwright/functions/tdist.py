@@ -6,6 +6,7 @@ import sys
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 from panelwright.functions import student_t
 
@@ -14,13 +15,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(student_t)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     good = t.notna() & (df > 0)
     return pd.Series([student_t.two_sided_p(a, b) if g else None for a, b, g in zip(t, df, good)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     good = p.notna() & (df > 0)
     cache: dict = {}

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -78,7 +79,7 @@ def topic_flags(norm: Column, topics: Mapping[str, Sequence[str]], compound: Ite
     return {f"t_{t}": F.coalesce(norm.rlike(topic_pattern(roots, compound)), F.lit(False)) for t, roots in topics.items()}
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _unescape(blocks: pd.Series) -> pd.Series:
     return blocks.map(lambda parts: None if parts is None else [html.unescape(p) for p in parts])
 

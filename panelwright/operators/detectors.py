@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -213,11 +214,20 @@ def _window(cost: np.ndarray, pen: np.ndarray, n: int) -> np.ndarray:
     return mask
 
 
+@lru_cache(maxsize=256)
+def _halves(start: int, end: int) -> tuple[int, ...]:
+    """Cut points of halving a stretch as long as both parts keep the minimum size."""
+    if end - start < 2 * MIN_SIZE:
+        return ()
+    middle = (start + end) // 2
+    return (*_halves(start, middle), middle, *_halves(middle, end))
+
+
 def _bottom_up(cost: np.ndarray, pen: np.ndarray, n: int) -> np.ndarray:
-    """Blocks of the minimum size, the cheapest neighbours merged while that costs less than the penalty."""
+    """Halved to the smallest pieces, then the cheapest neighbours merged while that costs less than the penalty."""
     rows, k = pen.shape
     mask = np.zeros((rows, k, n), dtype=bool)
-    marks = np.arange(MIN_SIZE, n - MIN_SIZE + 1, MIN_SIZE)
+    marks = np.array(_halves(0, n), dtype=int)
     if not len(marks):
         return mask
     alive = np.ones((rows, k, len(marks)), dtype=bool)

@@ -184,7 +184,7 @@ hm AS (SELECT topic, month, count(*) FILTER (WHERE o) AS b, count(*) FILTER (WHE
 
 @query("txt_6_dictionary_diff", f"""WITH {HITS}
 SELECT topic, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after, CAST(sum(rem) AS BIGINT) AS removed, CAST(sum(add_) AS BIGINT) AS added,
-       {r('corr(b / k, a / k)')} AS share_corr, CASE WHEN sum(b) > 0 THEN {r('sum(rem) * 100.0 / sum(b)')} END AS removed_pct FROM hm GROUP BY 1""")
+       {r('CASE WHEN NOT isnan(corr(b / k, a / k)) THEN corr(b / k, a / k) END')} AS share_corr, CASE WHEN sum(b) > 0 THEN {r('sum(rem) * 100.0 / sum(b)')} END AS removed_pct FROM hm GROUP BY 1""")
 def dictionary_diff(spark, sf):
     return rounded(N.dictionary_diff(headlines(spark, sf), OLD, TOPICS, COMPOUND))
 
@@ -287,7 +287,7 @@ ml AS (SELECT month, avg(length(body)) AS body_length FROM bodies GROUP BY 1)"""
 
 @query("txt_13_share_residual_corr", f"WITH {RESID}, {MT}, u AS (" + " UNION ALL ".join(
     f"SELECT '{label}' AS source, '{c}' AS topic, month, {c} AS x FROM {tab}" for label, tab in (("corpus", "wh"), ("titles", "mt"), ("bodies", "mb")) for c in COLUMNS) +
-    f" UNION ALL SELECT 'control', 'body_length', month, body_length FROM ml) SELECT source, topic, step, {r('corr(x, residual)')} AS corr, count(x) AS n_months FROM u JOIN resid USING (month) GROUP BY 1, 2, 3")
+    f" UNION ALL SELECT 'control', 'body_length', month, body_length FROM ml) SELECT source, topic, step, {r('CASE WHEN NOT isnan(corr(x, residual)) THEN corr(x, residual) END')} AS corr, count(x) AS n_months FROM u JOIN resid USING (month) GROUP BY 1, 2, 3")
 def share_residual_corr(spark, sf):
     rows = bodies(spark, sf)
     kept = rows.where((F.col("domain") != "src3") & (F.length("body") >= 1500))
@@ -472,8 +472,8 @@ def residual_regression(spark, sf):
 
 STATS = LAGGED + """,
 d0 AS (
-  SELECT 'within_month' AS design, feature, lag, count(*) AS n, count(*) - count(DISTINCT month) - 1 AS df, corr(xd, yd) AS r FROM lgd GROUP BY 2, 3
-  UNION ALL SELECT 'pooled', feature, lag, count(*), count(*) - 2, corr(x, y) FROM lg GROUP BY 2, 3)"""
+  SELECT 'within_month' AS design, feature, lag, count(*) AS n, count(*) - count(DISTINCT month) - 1 AS df, CASE WHEN NOT isnan(corr(xd, yd)) THEN corr(xd, yd) END AS r FROM lgd GROUP BY 2, 3
+  UNION ALL SELECT 'pooled', feature, lag, count(*), count(*) - 2, CASE WHEN NOT isnan(corr(x, y)) THEN corr(x, y) END FROM lg GROUP BY 2, 3)"""
 
 
 @query("sta_6_design_stats", with_sql(STATS, f"SELECT design, feature, lag, n, df, {r('r')} AS r, {r('r * sqrt(df) / sqrt(1 - r * r)')} AS t FROM d0"))
