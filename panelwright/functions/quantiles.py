@@ -26,8 +26,14 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     accuracy: int = 10_000,
+    few_groups: bool = False,
 ) -> DataFrame:
-    """One row per group: the keys, one column per entry of ``probs``, and ``n``."""
+    """One row per group: the keys, one column per entry of ``probs``, and ``n``.
+
+    ``few_groups`` says that the number of groups is fixed by the protocol (months, steps,
+    folds, registered models), not by the data. The brackets are then broadcast and the
+    rows are not shuffled on a handful of keys.
+    """
     keys = list(keys)
     constant = not keys
     if constant:
@@ -51,8 +57,7 @@ def exact_quantiles(
     for i, name in enumerate(names):
         lo = lowest if edges[2 * i] == 0.0 else F.when(small, lowest).otherwise(F.col("_e")[2 * i])
         hi = highest if edges[2 * i + 1] == 1.0 else F.when(small, highest).otherwise(F.col("_e")[2 * i + 1])
-        brackets.append(F.struct(F.lit(i).alias("i"), F.lit(float(probs[name])).alias("p"),
-                                 lo.alias("lo"), hi.alias("hi")))
+        brackets.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi")))
     bounds = sketch.select(*keys, "_n", F.explode(F.array(*brackets)).alias("_b"))
     bounds = bounds.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", "_b.*")
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
@@ -60,9 +65,9 @@ def exact_quantiles(
     for part in same[1:]:
         condition = condition & part
     side = F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") > F.col("hi"), 2).otherwise(1)
-    group = [*keys, "i", "p", "_n"]
+    group = [*keys, "i", "_n"]
     counted = (
-        rows.join(bounds, condition)
+        rows.join(F.broadcast(bounds) if few_groups or constant else bounds, condition)
         .select(*group, side.alias("_side"), "_v")
         .withColumn("_v", F.when(F.col("_side") == 1, F.col("_v")))
         .groupBy(*group, "_side", "_v")
@@ -70,7 +75,7 @@ def exact_quantiles(
     )
     upto = Window.partitionBy(*group).orderBy("_side", "_v")
     ranked = counted.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
-    pos = F.col("p") * (F.col("_n") - 1)
+    pos = F.get(F.array(*[F.lit(float(probs[n])) for n in names]), F.col("i")) * (F.col("_n") - 1)
 
     def pick(rank):
         hit = (F.col("_start") <= rank) & (rank < F.col("_end"))
@@ -93,8 +98,8 @@ def exact_quantiles(
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
-                 approx: bool = False) -> DataFrame:
+                 approx: bool = False, few_groups: bool = False) -> DataFrame:
     """Median per group; ``approx=True`` stops after the sketch."""
     if approx:
         return df.groupBy(*keys).agg(F.percentile_approx(value, F.lit(0.5)).alias(name))
-    return exact_quantiles(df, keys, value, {name: 0.5}).drop("n")
+    return exact_quantiles(df, keys, value, {name: 0.5}, few_groups=few_groups).drop("n")

@@ -55,7 +55,8 @@ def within_month(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ("featur
     """Both variables minus their month mean. Months are grouped, then joined: a month may be large."""
     used = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     means = used.groupBy(*keys, "month").agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    return used.join(means, [*keys, "month"]).withColumn("xd", F.col(x) - F.col("_mx")).withColumn("yd", F.col(y) - F.col("_my")).drop("_mx", "_my")
+    # means: one row per test and month
+    return used.join(F.broadcast(means), [*keys, "month"]).withColumn("xd", F.col(x) - F.col("_mx")).withColumn("yd", F.col(y) - F.col("_my")).drop("_mx", "_my")
 
 
 def within_month_effect(rows: DataFrame, x: str, y: str, n_permutations: int = 2000, seed: int = 20260920,

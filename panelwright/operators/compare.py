@@ -122,9 +122,9 @@ def flat_windows(scores: DataFrame, p: float = 0.1) -> DataFrame:
     rows = scores.where(~refused() & F.col("r2").isNotNull()).withColumn(
         "cv", F.sqrt(F.col("sst") / F.col("n")) / F.when(mean != 0, F.abs(mean))
     )
-    cuts = exact_quantiles(rows, ["model"], "cv", {"cut": p}).drop("n")
+    cuts = exact_quantiles(rows, ["model"], "cv", {"cut": p}, few_groups=True).drop("n")
     flat = F.col("cv") <= F.col("cut")
-    return rows.join(cuts, "model").groupBy("model").agg(
+    return rows.join(F.broadcast(cuts), "model").groupBy("model").agg(
         F.count(F.when(flat, 1)).alias("n_flat"),
         F.avg(F.when(flat, F.col("r2"))).alias("r2_flat"),
         F.avg(F.when(~flat, F.col("r2"))).alias("r2_rest"),
@@ -144,9 +144,10 @@ def error_decomposition(points: DataFrame, base: DataFrame) -> DataFrame:
         "act_ratio", F.col("actual") / F.when(F.col("base") != 0, F.col("base"))
     )
     step = [*keys, "step"]
-    predicted = exact_quantiles(rows, step, "pred_ratio", {"m_pred": 0.5}).drop("n")
-    actual = exact_quantiles(rows, step, "act_ratio", {"m_act": 0.5}).drop("n")
-    scaled = rows.join(predicted, step).join(actual, step)
+    predicted = exact_quantiles(rows, step, "pred_ratio", {"m_pred": 0.5}, few_groups=True).drop("n")
+    actual = exact_quantiles(rows, step, "act_ratio", {"m_act": 0.5}, few_groups=True).drop("n")
+    # one row per model, fold and step
+    scaled = rows.join(F.broadcast(predicted.join(actual, step)), step)
     moved = F.col("forecast") / F.col("m_pred") * F.col("m_act")
     out = scaled.groupBy(*keys).agg(
         F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("mae"),

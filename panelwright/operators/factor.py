@@ -46,7 +46,8 @@ def series_ratios(arrays: DataFrame, horizon: int, keys: tuple[str, ...] = ("ser
 def median_log_ratios(arrays: DataFrame, horizon: int, group: tuple[str, ...] = ()) -> DataFrame:
     """Log of the median ratio over series, per ``(group, t, step)``."""
     rows = series_ratios(arrays, horizon, keys=("series_id", *group))
-    med = exact_quantiles(rows, [*group, "t", "step"], "ratio", {"m": 0.5})
+    # without a group there is one bracket per month and step; the number of groups is not ours to bound
+    med = exact_quantiles(rows, [*group, "t", "step"], "ratio", {"m": 0.5}, few_groups=not group)
     return med.where(F.col("m") > 0).select(*group, "t", "step", F.log("m").alias("log_ratio"), F.col("n").alias("n_series"))
 
 

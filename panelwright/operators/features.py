@@ -53,7 +53,8 @@ def ratio_target(rows: DataFrame, step: int, train_end: int, multipliers: DataFr
     if multipliers is None:
         return used.withColumn("target", ratio)
     keys = [k for k in ("series_id", "t") if k in multipliers.columns]
-    joined = used.join(multipliers, keys, "left")
+    # without a series the multipliers are one row per month
+    joined = used.join(multipliers if "series_id" in keys else F.broadcast(multipliers), keys, "left")
     return joined.withColumn("target", ratio / F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
 
 

@@ -122,7 +122,7 @@ def r2_pool(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def r2_median(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return exact_quantiles(scores.where(~refused()), list(keys), "r2", {"r2_median": 0.5}).drop("n")
+    return exact_quantiles(scores.where(~refused()), list(keys), "r2", {"r2_median": 0.5}, few_groups=True).drop("n")
 
 
 def gains(summary: DataFrame, within: Sequence[str] = (), references: Mapping[str, str] = REFERENCES) -> DataFrame:

@@ -275,8 +275,8 @@ def normalise_to_base(clean: DataFrame, base_months: int = 12) -> DataFrame:
     whole = Window.partitionBy("series_id")
     base = F.avg(F.when(F.col("t") < base_months, F.col("y"))).over(whole)
     norm = clean.withColumn("norm", F.col("y") / F.when(base != 0, base))
-    common = exact_median(norm, ["t"], "norm", "common")
-    return norm.join(common, "t")
+    common = exact_median(norm, ["t"], "norm", "common", few_groups=True)
+    return norm.join(F.broadcast(common), "t")  # one row per month of the calendar
 
 
 def spread_band(normalised: DataFrame, p: float = 0.9) -> DataFrame:

@@ -92,7 +92,7 @@ def growth_stats(forecast: DataFrame, clean: DataFrame) -> DataFrame:
     past = clean.select("series_id", F.add_months("month", 12).alias("month"), F.col("y").alias("year_ago"))
     rows = forecast.join(past, ["series_id", "month"], "left")
     grown = rows.withColumn("growth", F.col("forecast") / F.when(F.col("year_ago") != 0, F.col("year_ago")) - 1.0)
-    return exact_quantiles(grown, ["model", "horizon"], "growth", GROWTH)
+    return exact_quantiles(grown, ["model", "horizon"], "growth", GROWTH, few_groups=True)
 
 
 def growth_stats_annual(forecast: DataFrame, arrays: DataFrame, months: int = 12) -> DataFrame:
@@ -100,7 +100,7 @@ def growth_stats_annual(forecast: DataFrame, arrays: DataFrame, months: int = 12
     ahead = forecast.where(F.col("horizon") == months).groupBy("model", "series_id").agg(F.sum("forecast").alias("ahead"))
     back = arrays.select("series_id", A.total(F.slice("y", -months, months)).alias("back"))
     rows = ahead.join(back, "series_id").withColumn("growth", F.col("ahead") / F.when(F.col("back") != 0, F.col("back")) - 1.0)
-    return exact_quantiles(rows, ["model"], "growth", GROWTH)
+    return exact_quantiles(rows, ["model"], "growth", GROWTH, few_groups=True)
 
 
 def step_horizons(horizons: Sequence[int]) -> Column:

@@ -96,7 +96,7 @@ def feature_table(ctx: PanelContext, spec: Variant, horizon: int) -> tuple[DataF
         columns += [c for c in shares.columns if c not in ("series_id", "t")]
     if spec.external:
         outside = ctx.need("external")
-        rows = rows.withColumn("month", ctx.calendar.month_at(F.col("t"))).join(outside, "month", "left").drop("month")
+        rows = rows.withColumn("month", ctx.calendar.month_at(F.col("t"))).join(F.broadcast(outside), "month", "left").drop("month")  # one row per month
         columns += [c for c in outside.columns if c != "month"]
     if spec.news:
         rows = X.news_features(rows, ctx.need("regions"), ctx.need("news"), ctx.topics, ctx.calendar)

@@ -42,14 +42,15 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def spending(spark: SparkSession, sf: str) -> DataFrame:
+def spending(spark: SparkSession, sf: str, calendar: Calendar | None = None) -> DataFrame:
     """``series_id, category, month, value``: one row per supplier, flag and month."""
-    raw = readers.read_panel(transactions(spark, sf), "M").withColumnRenamed("mo", "series_id")
+    bounds = (calendar.start, calendar.last) if calendar is not None else (None, None)
+    raw = readers.read_panel(transactions(spark, sf), "M", *bounds).withColumnRenamed("mo", "series_id")
     return prep.monthly_panel(raw, ["series_id", "category"])
 
 
 def total_panel(spark: SparkSession, sf: str) -> DataFrame:
-    raw = readers.read_panel(transactions(spark, sf), "M").withColumnRenamed("mo", "series_id")
+    raw = readers.read_panel(transactions(spark, sf), "M", CALENDAR.start, CALENDAR.last).withColumnRenamed("mo", "series_id")
     return prep.monthly_panel(raw, ["series_id"])
 
 
@@ -64,7 +65,7 @@ def total_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def category_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier x flag as one series each (these have real gaps)."""
-    panel = spending(spark, sf)
+    panel = spending(spark, sf, CALENDAR)
     return panel.withColumn("series_id", F.concat_ws("|", "series_id", "category"))
 
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,9 +20,18 @@ def require_columns(df: DataFrame, expected: Sequence[str], what: str = "input")
         raise ValueError(f"{what}: expected columns are missing: {missing}")
 
 
-def read_panel(raw: DataFrame, freq: str) -> DataFrame:
-    """Check the columns, keep one frequency, truncate to months, coerce numbers to NULL."""
+def read_panel(raw: DataFrame, freq: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Check the columns, keep one frequency, truncate to months, coerce numbers to NULL.
+
+    ``first`` and ``last`` month bound the raw period itself, so the scan can skip files and
+    row groups; a predicate on the truncated month could not be pushed down.
+    """
     require_columns(raw, PANEL_COLUMNS, "panel")
+    if first is not None:
+        raw = raw.where(F.col("period") >= F.lit(first))
+    if last is not None:
+        after = date(last.year + last.month // 12, last.month % 12 + 1, 1)
+        raw = raw.where(F.col("period") < F.lit(after))
     # a numeric column needs no detour through text
     text = dict(raw.dtypes)["value"] == "string"
     number = F.col("value").try_cast("double") if text else F.col("value").cast("double")
@@ -32,11 +42,11 @@ def read_panel(raw: DataFrame, freq: str) -> DataFrame:
     )
 
 
-def read_aggregate(raw: DataFrame, where: Mapping[str, str], date: str = "period", value: str = "value") -> DataFrame:
+def read_aggregate(raw: DataFrame, where: Mapping[str, str], period: str = "period", value: str = "value") -> DataFrame:
     """Mean value per month of the rows equal to every entry of ``where``."""
     for column, wanted in where.items():
         raw = raw.where(F.col(column) == wanted)
-    return raw.groupBy(to_month(date).alias("month")).agg(F.avg(value).alias("value"))
+    return raw.groupBy(to_month(period).alias("month")).agg(F.avg(value).alias("value"))
 
 
 def read_industry(
