@@ -10,7 +10,7 @@ from panelwright.plans.oracle import r
 from panelwright.plans.registry import query
 from panelwright.plans.rounding import rounded
 from panelwright.protocol import ForwardConfig, fold_array
-from panelwright.session import cut_lineage
+from panelwright.session import written_once
 
 PLAN3 = {I.BACKTEST.horizon: I.BACKTEST.folds}
 PLANH = I.HORIZONS.folds
@@ -122,11 +122,11 @@ CF = O.TOTAL_CLEAN + "," + FED + "," + O.FOLDS3 + "," + medians()
 
 
 def _arrays(spark, sf):
-    return I.total_arrays(spark, sf).select("series_id", "y")
+    return I.stored_arrays(spark, sf)
 
 
 def _federal(spark, sf):
-    return factor.log_federal(I.aggregate(spark, sf), I.CALENDAR, 3)
+    return factor.log_federal(I.stored_aggregate(spark, sf), I.CALENDAR, 3)
 
 
 def _pairs(spark, sf):
@@ -196,7 +196,7 @@ scale AS (SELECT sc.*, n_pairs, elasticity, elasticity * explained AS scale FROM
 
 
 def _scale(spark, sf):
-    paths = TS.aggregate_paths(I.aggregate(spark, sf), I.CALENDAR, PLAN3, inner=False)
+    paths = written_once("paths", lambda: TS.aggregate_paths(I.stored_aggregate(spark, sf), I.CALENDAR, PLAN3, inner=False))
     best = paths.select("horizon", "fold", "model", "explained", F.col("log_path").alias("path"), F.col("last_log").alias("last"))
     return factor.scales(factor.elasticity(_pairs(spark, sf)), best)
 
@@ -271,12 +271,12 @@ TSK = O.TOTAL_CLEAN + "," + O.AGGREGATE + "," + staged(known=True)
 
 
 def _paths(spark, sf, known=False, where=None):
-    agg = I.aggregate(spark, sf) if where is None else where
+    agg = I.stored_aggregate(spark, sf) if where is None else where
     return TS.known_paths(agg, I.CALENDAR, PLANH) if known else TS.aggregate_paths(agg, I.CALENDAR, PLANH)
 
 
 def _agg_array(spark, sf):
-    return TS.aggregate_array(I.aggregate(spark, sf), I.CALENDAR)
+    return TS.aggregate_array(I.stored_aggregate(spark, sf), I.CALENDAR)
 
 
 @query("ts_1_shares", f"""WITH {TSK}
@@ -464,12 +464,12 @@ FWD_R = FWD + "," + O.REGIONS
 
 
 def _forward(spark, sf):
-    return serving.forecast_forward(_arrays(spark, sf), I.aggregate(spark, sf), I.regions(spark, sf), I.CALENDAR, FORWARD)
+    return serving.forecast_forward(_arrays(spark, sf), I.stored_aggregate(spark, sf), I.regions(spark, sf), I.CALENDAR, FORWARD)
 
 
 def _stored_forward(spark, sf):
     """The forecast table as the serving operators find it: written once."""
-    return cut_lineage(_forward(spark, sf), "forecast")
+    return written_once("forecast", lambda: _forward(spark, sf))
 
 
 @query("fwd_1_forecast_forward", f"""WITH {FWD_R}
@@ -502,13 +502,13 @@ checked AS (
 @query("fwd_3_aggregate_check", f"""WITH {CHECK}
 SELECT CAST(horizon AS INTEGER) AS horizon, method, aggregate_model, month, {r('forecast')} AS forecast, {r('actual')} AS actual, {r('error_pct')} AS error_pct FROM checked""")
 def aggregate_check(spark, sf):
-    return rounded(serving.aggregate_check(I.aggregate(spark, sf), I.CALENDAR, FORWARD.horizons))
+    return rounded(serving.aggregate_check(I.stored_aggregate(spark, sf), I.CALENDAR, FORWARD.horizons))
 
 
 @query("fwd_4_aggregate_mape", f"""WITH {CHECK}
 SELECT CAST(horizon AS INTEGER) AS horizon, {', '.join(f"{r(f"avg(CASE WHEN method = '{m}' THEN abs(error_pct) END)")} AS {m}" for m in ('two_stage', 'naive', 'seasonal_naive'))} FROM checked GROUP BY 1""")
 def aggregate_mape(spark, sf):
-    return rounded(serving.aggregate_mape(serving.aggregate_check(I.aggregate(spark, sf), I.CALENDAR, FORWARD.horizons)))
+    return rounded(serving.aggregate_mape(serving.aggregate_check(I.stored_aggregate(spark, sf), I.CALENDAR, FORWARD.horizons)))
 
 
 QUANTILES = ", ".join(f"{r(f'quantile_cont(growth, {p})')} AS {n}" for n, p in serving.GROWTH.items())

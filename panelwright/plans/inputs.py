@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright.operators import backtest, prep
 from panelwright.protocol import BacktestConfig, Calendar, HorizonsConfig, fold_array
-from panelwright.session import cut_lineage
+from panelwright.session import written_once
 from panelwright.sources import readers
 
 CALENDAR = Calendar(date(1995, 1, 1), 79)
@@ -122,17 +122,25 @@ def horizon_scores(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.score_series(category_arrays(spark, sf), horizon_folds(), MODELS)
 
 
+def stored_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return written_once("arrays", lambda: total_arrays(spark, sf).select("series_id", "y"))
+
+
+def stored_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    return written_once("aggregate", lambda: aggregate(spark, sf))
+
+
 def score_table(spark: SparkSession, sf: str) -> DataFrame:
     """The score rows as a stored table, for summaries that read it several times."""
-    return cut_lineage(scores(spark, sf), "scores")
+    return written_once("scores", lambda: scores(spark, sf))
 
 
 def horizon_score_table(spark: SparkSession, sf: str) -> DataFrame:
-    return cut_lineage(horizon_scores(spark, sf), "horizon-scores")
+    return written_once("horizon-scores", lambda: horizon_scores(spark, sf))
 
 
 def point_table(spark: SparkSession, sf: str) -> DataFrame:
-    return cut_lineage(points(spark, sf), "points")
+    return written_once("points", lambda: points(spark, sf))
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from panelwright.plans.factor_queries import HZ, LONG, PLAN3, PLANH, chosen
 from panelwright.plans.oracle import r
 from panelwright.plans.registry import query
 from panelwright.plans.rounding import rounded
-from panelwright.session import cut_lineage, work_path
+from panelwright.session import cut_lineage, work_path, written_once
 from panelwright.sources import readers
 
 # The invented text has none of the real roots, so the queries use roots it does have. They
@@ -76,7 +76,7 @@ def monthly(spark, sf):
 
 
 def national(spark, sf):
-    return N.national_features(flagged(spark, sf), TOPICS)
+    return written_once("national", lambda: N.national_features(flagged(spark, sf), TOPICS))
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -273,7 +273,7 @@ resid AS (
 
 
 def residuals(spark, sf, horizon=3):
-    cut = L.cut_at(I.aggregate(spark, sf), F.lit(I.CALENDAR.last)).select(F.lit("aggregate").alias("series_key"), "month", "value")
+    cut = L.cut_at(I.stored_aggregate(spark, sf), F.lit(I.CALENDAR.last)).select(F.lit("aggregate").alias("series_key"), "month", "value")
     best = L.choose_model(L.log_history(cut), ["series_key"], horizon)
     return L.walk_forward(cut, horizon, best)
 
@@ -330,12 +330,12 @@ def leading(spark, sf):
 
 
 def _paths3(spark, sf):
-    return TS.aggregate_paths(I.aggregate(spark, sf), I.CALENDAR, PLAN3)
+    return TS.aggregate_paths(I.stored_aggregate(spark, sf), I.CALENDAR, PLAN3)
 
 
 @query("ts_6_aggregate_residuals", f"WITH {TSN} SELECT fold, month, step, {r('residual')} AS residual FROM resid")
 def aggregate_residuals(spark, sf):
-    return rounded(TS.aggregate_residuals(I.aggregate(spark, sf), national(spark, sf), _paths3(spark, sf), 3).drop("origin"))
+    return rounded(TS.aggregate_residuals(I.stored_aggregate(spark, sf), national(spark, sf), _paths3(spark, sf), 3).drop("origin"))
 
 
 LOO = TSN + "," + LEAD + ",\nlx AS (" + " UNION ALL ".join(f"SELECT fold, train_end, step, month, '{c}' AS topic, {i} AS ord, {c} AS x, residual AS y FROM resid JOIN nat2 USING (month)" for i, c in enumerate(LEADS)) + """),
@@ -346,7 +346,7 @@ gain AS (SELECT fold, train_end, step, topic, ord, count(*) AS n_months, avg(y *
 
 
 def _gains(spark, sf):
-    agg, news = I.aggregate(spark, sf), leading(spark, sf)
+    agg, news = I.stored_aggregate(spark, sf), leading(spark, sf)
     res = TS.aggregate_residuals(agg, news, _paths3(spark, sf), 3)
     long = S.unpivot(news, ["month"], LEADS, "topic", "x")
     return TS.loo_gains(res.join(long, "month"), ["fold", "step", "topic"], "x", "residual")
@@ -365,18 +365,18 @@ SELECT best.fold, best.step, best.topic, {r('gain * 1000')} AS gain, {r('a + b *
 JOIN here ON here.topic = best.topic AND here.month = CAST(DATE '1995-01-01' + to_months(CAST(train_end - 1 AS INTEGER)) AS DATE)""")
 def news_correction(spark, sf):
     news = leading(spark, sf)
-    res = TS.aggregate_residuals(I.aggregate(spark, sf), news, _paths3(spark, sf), 3)
+    res = TS.aggregate_residuals(I.stored_aggregate(spark, sf), news, _paths3(spark, sf), 3)
     out = TS.news_correction(res, news, LEADS)
     return rounded(out.select("fold", "step", "topic", (F.col("gain") * 1000).alias("gain"), "correction"))
 
 
 @query("ts_8_two_stage_news")
 def two_stage_news(spark, sf):
-    agg, news = I.aggregate(spark, sf), leading(spark, sf)
+    agg, news = I.stored_aggregate(spark, sf), leading(spark, sf)
     paths = cut_lineage(_paths3(spark, sf), "paths")  # a few rows per fold, read three times below
     fix = TS.news_correction(TS.aggregate_residuals(agg, news, paths, 3), news, LEADS)
     moved = cut_lineage(TS.corrected_paths(paths, fix, 3), "corrected")
-    series = I.total_arrays(spark, sf).select("series_id", "y")
+    series = I.stored_arrays(spark, sf)
     done = TS.two_stage(series, PLAN3, moved, TS.aggregate_array(agg, I.CALENDAR), name="two_stage_news")
     return done.select("series_id", "fold", "rule", F.posexplode("forecast").alias("k", "forecast"))
 

@@ -1,8 +1,11 @@
 """Session helpers: the shared scratch folder and lineage cuts."""
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +40,32 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_tables: contextvars.ContextVar[dict[str, DataFrame] | None] = contextvars.ContextVar("tables", default=None)
+
+
+@contextmanager
+def shared_tables() -> Iterator[None]:
+    """Scope in which :func:`written_once` keeps its tables: one query, never longer."""
+    token = _tables.set({})
+    try:
+        yield
+    finally:
+        _tables.reset(token)
+
+
+def written_once(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that several branches of one query read: written at first use, read by the rest.
+
+    The big scan behind it happens once, not once per branch.
+    """
+    known = _tables.get()
+    if known is None:
+        return cut_lineage(build(), name)
+    if name not in known:
+        known[name] = cut_lineage(build(), name)
+    return known[name]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -8,7 +8,7 @@ from panelwright.functions import text as T
 from panelwright.operators import association as S, news as N
 
 TRUTH = [
-    ("ceny", "ceny", True), ("ceny", "centr", False), ("ceny", "procent", False), ("kredit", "sberbank", True), ("kredit", "banket", False),
+    ("ceny", "ceny", True), ("ceny", "centr", False), ("ceny", "procent", False), ("kredit", "gosbank", True), ("kredit", "banket", False),
     ("kredit", "dolgovaja", True), ("kredit", "dolgo", False), ("kredit", "dolgovremennyj", True), ("zanjatost", "rabota", True),
     ("zanjatost", "otrabotal", False), ("proizvodstvo", "neftezavod", True), ("torgovlja", "supermagazin", True), ("dkp", "czb", True),
     ("dkp", "czbank", False), ("dkp", "gazoreguljator", False), ("dkp", "megareguljator", True),
