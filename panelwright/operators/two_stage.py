@@ -100,10 +100,11 @@ def share_rule_scores(series: DataFrame, plan: Plan, paths: DataFrame, agg_array
     runs = []
     for i, (rule, window) in enumerate(SHARE_RULES.items()):
         s = share(F.col("y"), F.col("f"), end, window)
-        errors = F.filter(F.zip_with(F.col("i.path"), actual, lambda p, a: F.abs(s * p - a)), lambda e: e.isNotNull())
-        runs.append(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("ord"), A.total(errors).alias("e"), F.size(errors).alias("k")))
+        off = A.let(s, lambda k: F.zip_with(F.col("i.path"), actual, lambda p, a: F.abs(k * p - a)))
+        sums = A.let(F.filter(off, lambda e: e.isNotNull()), lambda e: F.struct(A.total(e).alias("e"), F.size(e).alias("k")))
+        runs.append(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("ord"), sums.alias("s")))
     long = rows.where(usable).select("horizon", "fold", F.inline(F.array(*runs)))
-    return long.groupBy("horizon", "fold", "rule", "ord").agg((F.sum("e") / F.sum("k")).alias("mae"))
+    return long.groupBy("horizon", "fold", "rule", "ord").agg((F.sum("s.e") / F.sum("s.k")).alias("mae"))
 
 
 def choose_share_rule(scores: DataFrame) -> DataFrame:
@@ -121,7 +122,8 @@ def two_stage(series: DataFrame, plan: Plan, paths: DataFrame, agg_array: DataFr
     for key, window in SHARE_RULES.items():
         s = F.when(rule == key, share(F.col("y"), F.col("f"), F.col("train_end"), window)).otherwise(s)
     rows = rows.withColumn("rule", rule).withColumn("share", s)
-    out = rows.withColumn("forecast", F.transform("o.path", lambda p: F.col("share") * p))
+    spread = A.let(F.col("share"), lambda k: F.transform("o.path", lambda p: k * p))
+    out = rows.withColumn("forecast", spread)
     return out.withColumn("model", F.lit(name)).withColumn("error", F.col("o.error")).withColumn(
         "aggregate_model", F.col("o.model")
     ).drop("o", "i", "f")
