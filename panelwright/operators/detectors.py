@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -214,7 +213,6 @@ def _window(cost: np.ndarray, pen: np.ndarray, n: int) -> np.ndarray:
     return mask
 
 
-@lru_cache(maxsize=256)
 def _halves(start: int, end: int) -> tuple[int, ...]:
     """Cut points of halving a stretch as long as both parts keep the minimum size."""
     if end - start < 2 * MIN_SIZE:

@@ -8,7 +8,6 @@ objective is the sum of squared one-step errors with the best initial state.
 from __future__ import annotations
 
 import sys
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,9 +66,20 @@ def _system(kind: str):
     return move, gain, seen, basis
 
 
-@lru_cache(maxsize=6)
+# per worker; a cached function object could not travel by value, a plain dict can
+_known_filters: dict = {}
+
+
 def _filters(kind: str, n: int):
     """Error matrix, orthonormal basis of the initial-state effect, and the raw effect."""
+    if (kind, n) not in _known_filters:
+        if len(_known_filters) >= 6:
+            _known_filters.clear()
+        _known_filters[kind, n] = _build_filters(kind, n)
+    return _known_filters[kind, n]
+
+
+def _build_filters(kind: str, n: int):
     if kind == "sarima":
         return _airline_filters(n)
     move, gain, seen, basis = _system(kind)

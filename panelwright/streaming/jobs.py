@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.operators import detectors as D
+# names, not the module: the functions below travel to the workers by value
+from panelwright.operators.detectors import BASELINE, MIN_HISTORY, MIN_SIZE, OFFSET, RECENT, breaks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -61,7 +62,7 @@ def _baseline(values: list[float]) -> tuple[float, float]:
     return mu, 1.4826 * mad if mad > 0 else (spread if spread > 0 else 1.0)
 
 
-def online_cusum(points: DataFrame, threshold: float = 5.0, baseline: int = D.BASELINE) -> DataFrame:
+def online_cusum(points: DataFrame, threshold: float = 5.0, baseline: int = BASELINE) -> DataFrame:
     """First alarm per key. State: the baseline points, then level, scale and the two sums.
 
     ``points`` has ``key string, t int, value double``; the alarm is emitted once.
@@ -103,11 +104,11 @@ def _transform(y: np.ndarray, mode: str) -> np.ndarray:
 
 
 def _cusum_alarm(z: np.ndarray, threshold: float = 5.0) -> int | None:
-    if len(z) < D.BASELINE + 2:
+    if len(z) < BASELINE + 2:
         return None
-    mu, sigma = _baseline(list(z[: D.BASELINE]))
+    mu, sigma = _baseline(list(z[: BASELINE]))
     pos = neg = 0.0
-    for i in range(D.BASELINE, len(z)):
+    for i in range(BASELINE, len(z)):
         pos = max(0.0, pos + (z[i] - mu) - 0.5 * sigma)
         neg = min(0.0, neg + (z[i] - mu) + 0.5 * sigma)
         if pos > threshold * sigma or -neg > threshold * sigma:
@@ -120,11 +121,11 @@ def _near_end(z: np.ndarray, t: int, offset: int, detector: str, penalty: float
     part = z[: t + 1 - offset]
     if detector == "cusum":
         alarm = _cusum_alarm(part)
-        return alarm is not None and alarm + offset >= t - D.RECENT
-    if len(part) < 2 * D.MIN_SIZE:
+        return alarm is not None and alarm + offset >= t - RECENT
+    if len(part) < 2 * MIN_SIZE:
         return False
-    mask = D.breaks(detector, part[None, :], [penalty])
-    return bool(mask[0, 0, max(t - D.RECENT - offset, 0) :].any())
+    mask = breaks(detector, part[None, :], [penalty])
+    return bool(mask[0, 0, max(t - RECENT - offset, 0) :].any())
 
 
 def live_episodes(points: DataFrame, detector: str, mode: str, penalty: float | None = None) -> DataFrame:
@@ -132,7 +133,7 @@ def live_episodes(points: DataFrame, detector: str, mode: str, penalty: float |
 
     The state of a key grows with its months and nothing else.
     """
-    offset = D.OFFSET[mode]
+    offset = OFFSET[mode]
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         y, last = state.get if state.exists else ([], -1)
@@ -140,9 +141,9 @@ def live_episodes(points: DataFrame, detector: str, mode: str, penalty: float |
         y = [*y, *map(float, pd.concat(list(batches)).sort_values("t")["value"])]
         z = _transform(np.asarray(y), mode)
         starts = []
-        for t in range(max(old, D.MIN_HISTORY), len(y)):
+        for t in range(max(old, MIN_HISTORY), len(y)):
             if _near_end(z, t, offset, detector, penalty):
-                if last < 0 or t - last > D.RECENT:
+                if last < 0 or t - last > RECENT:
                     starts.append(t)
                 last = t
         state.update((y, int(last)))
