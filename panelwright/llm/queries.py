@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, neardup, packing, pii, quality
+from panelwright.llm import decontamination, neardup, packing, pii, quality, winnowing
 from panelwright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text")
     return pii.find(docs, pii.train(docs), ["doc_id"])
+
+
+@query("op10_winnowing_fingerprints")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return winnowing.compare_with_edits(table(spark, sf, "documents", "doc_id", "text"))
