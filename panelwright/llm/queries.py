@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, neardup, packing, pii, quality, winnowing
+from panelwright.llm import chunk_dedup, decontamination, extraction, licenses, neardup, packing, pii, quality, winnowing
 from panelwright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,28 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_winnowing_fingerprints")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return winnowing.compare_with_edits(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op7_extract_main_text")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extract(table(spark, sf, "pages", "page_id", "url", "html"), ["page_id", "url"])
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: passages that stand elsewhere too, those taken out as later copies, digest of the rest."""
+    found = chunk_dedup.deduplicated(table(spark, sf, "documents", "doc_id", "text"), keep=["doc_id", "text"])
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.size("repeats").cast("long").alias("n_repeats"), total("repeats").alias("repeated_chars"),
+        spans("repeats").alias("repeats"), F.size("removed").cast("long").alias("n_removed"), total("removed").alias("removed_chars"), spans("removed").alias("removed"),
+        F.coalesce(F.length("clean_text"), F.lit(0)).cast("long").alias("clean_chars"), F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``; licences of documents that are little else hold for their directory."""
+    docs = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
