@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import chunk_dedup, decontamination, extraction, licenses, neardup, packing, pii, quality, winnowing
+from panelwright.llm import brown, chunk_dedup, decontamination, extraction, licenses, neardup, packing, pii, quality, winnowing
 from panelwright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+@query("op4_brown_class_scores")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return brown.score(table(spark, sf, "documents", "doc_id", "text"))
