@@ -28,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import column, with_batches
+from panelwright.llm.common import with_batches
 from panelwright.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,15 +74,16 @@ def borders(data: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """The chunks of every text with offsets in code points.
+    """``doc_id, version, mark, digest`` of the chunks of every text.
 
-    ``version`` tells apart rows that repeat an id; ``again`` marks a chunk that its text had before.
+    ``version`` tells apart rows that repeat an id. ``mark`` is twice the number of the chunk, plus one
+    if its text had the same chunk before.
     """
-    names = ["doc_id", "version", "at", "start", "end", "words", "again", "digest"]
+    names = ["doc_id", "version", "mark", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = [[] for _ in names]
-        kinds = [None, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int16(), pa.bool_(), pa.int64()]
+        kinds = [None, pa.int64(), pa.int32(), pa.int64()]
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(rows, kinds)], names=names)
@@ -97,77 +98,80 @@ def chunks(docs: DataFrame) -> DataFrame:
                 data = (text.as_py() or "").encode("utf-8", "replace")
                 if doc is None or not data:
                     continue
-                ends = borders(data)
-                starts_char = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)
-                places = [0, *starts_char[np.array(ends) - 1].tolist()]
                 seen: set[int] = set()
-                last, digests, again, words = 0, [], [], []
-                for end in ends:
-                    piece = data[last:end]
-                    digest = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
-                    again.append(digest in seen)
+                last, before = 0, len(rows[3])
+                for at, end in enumerate(borders(data)):
+                    digest = xxhash.xxh3_64_intdigest(data[last:end]) - (1 << 63)
+                    rows[2].append(2 * at + (digest in seen))
+                    rows[3].append(digest)
                     seen.add(digest)
-                    digests.append(digest)
-                    words.append(len(piece.split()))
                     last = end
-                n = len(ends)
-                for v, more in zip(rows, ([doc] * n, [zlib.crc32(data)] * n, range(n), places[:-1], places[1:], words, again, digests)):
-                    v.extend(more)
+                rows[0].extend([doc] * (len(rows[3]) - before))
+                rows[1].extend([zlib.crc32(data)] * (len(rows[3]) - before))
                 if len(rows[0]) >= 50_000:
                     yield flush()
         if rows[0]:
             yield flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, version long, at int, start int, end int, words short, again boolean, digest long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, version long, mark int, digest long")
 
 
-def passages(docs: DataFrame, words: int = 50) -> DataFrame:
-    """``doc_id, version`` and arrays of (start, end): ``repeats`` stand elsewhere too, ``removed`` are later copies."""
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """``doc_id, version, marks``: twice the numbers of the chunks that stand elsewhere too, plus one for later copies."""
     pieces = cut_lineage(chunks(docs), "chunks")
     known = pieces.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    marked = pieces.join(known, "digest").select(
-        "doc_id", "version", "at", "start", "end", "words", (F.col("again") | (F.col("doc_id") > F.col("first"))).alias("later")).distinct()
-    # runs of touching chunks; a document's own chunks are as many as its text is long
-    own = Window.partitionBy("doc_id", "version").orderBy("at")
-    by_run = marked.withColumn("run", F.col("at") - F.row_number().over(own)).withColumn(
-        "later_run", F.col("at") - F.sum(F.col("later").cast("int")).over(own))
-    span, key = F.struct(F.min("start").alias("start"), F.max("end").alias("end")), ["doc_id", "version"]
+    again = F.col("mark").bitwiseAND(F.lit(1)) == 1
+    later = F.when(again | (F.col("doc_id") > F.col("first")), 1).otherwise(0)
+    marked = pieces.join(known, "digest").select("doc_id", "version", F.shiftright("mark", 1).alias("at"), later.alias("later"))
+    # a text has at most as many marks as chunks, so the sets are bounded by it
+    return marked.groupBy("doc_id", "version").agg(F.collect_set(2 * F.col("at") + F.col("later")).alias("marks"))
 
-    def runs(rows: DataFrame, run: str, later: bool) -> DataFrame:
-        long_enough = rows.groupBy(*key, run).agg(span.alias("s"), F.sum("words").alias("w")).where(3 * F.col("w") >= words)
-        return long_enough.select(*key, "s", F.lit(later).alias("later"))
 
-    both = runs(by_run, "run", False).unionByName(runs(by_run.where("later"), "later_run", True))
-    # a document has fewer spans than chunks, so the lists are bounded by its text
-    return both.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("later"), F.col("s")))).alias("repeats"), F.array_sort(F.collect_list(F.when(F.col("later"), F.col("s")))).alias("removed"))
+def runs(flags: np.ndarray, words: np.ndarray, ends: np.ndarray, least: float) -> list[dict]:
+    """Spans of runs of flagged chunks that hold at least ``least`` words."""
+    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    first, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    total, place = np.concatenate([[0], np.cumsum(words)]), np.concatenate([[0], ends])
+    return [{"start": int(place[a]), "end": int(place[b])} for a, b in zip(first, stop) if total[b] - total[a] >= least]
 
 
 def deduplicated(docs: DataFrame, words: int = 50, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``repeats`` and ``removed`` spans and ``clean_text``, the text without the removed ones."""
+    """``docs`` with ``repeats`` (spans that stand elsewhere too), ``removed`` (later copies) and ``clean_text`` without those."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("repeats", "removed", "clean_text")]
-    found = passages(docs, words).select(
-        F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("repeats").alias("__repeats"), F.col("removed").alias("__removed"))
+    found = repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("marks").alias("__marks"))
     same = (F.col("doc_id") == F.col("__id")) & (F.crc32(F.col("text").cast("binary")) == F.col("__version"))
     wide = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).join(found, same, "left")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = []
-            for text, spans in zip(column(batch, "text"), column(batch, "__removed")):
-                if text and spans:
+            repeats, removed, clean = [], [], []
+            for text, marks in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("__marks"))):
+                text = text.as_py()
+                marks = marks.as_py()
+                known, later = [], []
+                if text and marks:
+                    data = text.encode("utf-8", "replace")
+                    ends = np.array(borders(data))
+                    places = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)[ends - 1]
+                    size = np.array([len(data[a:b].split()) for a, b in zip([0, *ends[:-1]], ends)])
+                    marks = np.array(marks)
+                    on, late = np.zeros(len(ends), dtype=bool), np.zeros(len(ends), dtype=bool)
+                    on[marks >> 1] = True
+                    late[marks[marks & 1 == 1] >> 1] = True
+                    known, later = runs(on, size, places, words / 3), runs(late, size, places, words / 3)
                     at, parts = 0, []
-                    for s in spans:
+                    for s in later:
                         parts.append(text[at : s["start"]])
                         at = s["end"]
                     text = "".join(parts) + text[at:]
-                out.append(text)
-            return [pa.array(out, pa.string())]
+                repeats.append(known)
+                removed.append(later)
+                clean.append(text)
+            return [pa.array(repeats, span), pa.array(removed, span), pa.array(clean, pa.string())]
 
         return work
 
-    out = with_batches(wide, make, "clean_text string", [*keep, "__repeats", "__removed"])
-    empty = F.array().cast(out.schema["__repeats"].dataType)
-    return out.select(*keep, F.coalesce("__repeats", empty).alias("repeats"), F.coalesce("__removed", empty).alias("removed"), "clean_text")
+    kind = "array<struct<start:long,end:long>>"
+    return with_batches(wide, make, f"repeats {kind}, removed {kind}, clean_text string", keep)
