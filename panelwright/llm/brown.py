@@ -43,7 +43,7 @@ from panelwright.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = b" "
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 1_000_000
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -195,9 +195,9 @@ def place_rest(docs: DataFrame, words: np.ndarray, of: np.ndarray, m: np.ndarray
             after = np.minimum.accumulate(np.where(at >= 0, index, len(tokens) - 1)[::-1])[::-1]
             left, right = of[at[before[rest]]], of[at[after[rest]]]
             w, number, n = np.unique(tokens[rest], return_inverse=True, return_counts=True)
-            for lo in range(0, len(w), 100_000):
-                part = (number >= lo) & (number < lo + 100_000)
-                size = min(100_000, len(w) - lo)
+            for lo in range(0, len(w), 20_000):
+                part = (number >= lo) & (number < lo + 20_000)
+                size = min(20_000, len(w) - lo)
                 a = np.bincount((number[part] - lo) * k + left[part], minlength=size * k).reshape(size, k).astype(np.float32)
                 b = np.bincount((number[part] - lo) * k + right[part], minlength=size * k).reshape(size, k).astype(np.float32)
                 best = (a @ into + b @ into.T).argmax(1)
@@ -290,7 +290,7 @@ def vocabulary_by_split(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 tokens = hashes(text.as_py())
                 held.setdefault(split, []).append(tokens)
                 size += len(tokens)
-                if size >= 2 * TOKENS_AT_ONCE:
+                if size >= 4 * TOKENS_AT_ONCE:
                     yield from flush()
                     size = 0
         yield from flush()
