@@ -46,7 +46,7 @@ class ByteBpe:
     goes to the tokenizer itself. ``special`` strings count as the tokenizer counts them.
     """
 
-    def __init__(self, tokenizer_path: str, ranks_path: str | None, known: int = 600_000):
+    def __init__(self, tokenizer_path: str, ranks_path: str | None, known: int = 150_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_path)
