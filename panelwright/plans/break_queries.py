@@ -5,7 +5,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import cpbench as B, detectors as D, prep, realtime as R
+from panelwright.operators import cpbench as B, detectors as D, realtime as R
 from panelwright.plans import inputs as I, oracle as O
 from panelwright.plans.oracle import r
 from panelwright.plans.registry import query
@@ -133,8 +133,7 @@ def inject(spark, sf):
 
 @query("cp_10_inject_variance")
 def inject_variance(spark, sf):
-    sample = prep.bench_sample(_series(spark, sf), "series_id", FULL.n_series, FULL.seed)
-    out = B.curves(sample, dataclasses.replace(FULL, kinds=("variance",)))
+    out = B.curves(_ordinals(spark, sf), dataclasses.replace(FULL, kinds=("variance",)))
     return out.select("series_id", "kind", "magnitude", "position", F.posexplode("y").alias("t", "y"))
 
 
@@ -146,8 +145,8 @@ def flag_months(spark, sf):
 
 @query("cp_11_flag_months_all_detectors")
 def flag_months_all(spark, sf):
-    names = [d for d in FULL.detectors if d != "kernel_rbf"]
-    flagged = B.flag_sets(B.prepared(_series(spark, sf), FULL.modes), names, FULL.penalties)
+    grid = kernel_grid(calibration(spark, sf).collect())  # one row for each penalty
+    flagged = B.flag_sets(B.prepared(_series(spark, sf), FULL.modes), FULL.detectors, FULL.penalties, grid)
     return flagged.select("series_id", "mode", "detector", "penalty", F.explode("months").alias("t"))
 
 
@@ -157,8 +156,8 @@ def streaming_signal(spark, sf):
     return flagged.select("series_id", "mode", F.get("months", F.lit(0)).alias("signal"))
 
 
-def _sample(spark, sf):
-    return prep.bench_sample(_series(spark, sf), "series_id", FULL.n_series, FULL.seed)
+#: The kernel penalty is calibrated once, in the live mode, and holds for all modes.
+LIVE_MODE = "ratio"
 
 
 def _partitions(spark):
@@ -166,14 +165,14 @@ def _partitions(spark):
 
 
 def calibration(spark, sf):
-    clean = B.prepared(_sample(spark, sf), FULL.modes).repartition(_partitions(spark), "series_id", "mode")
+    clean = B.prepared(_ordinals(spark, sf), (LIVE_MODE,)).repartition(_partitions(spark), "series_id", "mode")
     return B.calibrate_kernel(clean, FULL.penalties, FULL.kernel_grid)
 
 
 def kernel_grid(rows):
-    """``mode -> raw penalties`` in grid order, from the few calibration rows."""
-    found = {(x["mode"], x["penalty"]): x["kernel_pen"] for x in rows}
-    return {m: [found[m, p] for p in FULL.penalties] for m in FULL.modes}
+    """``mode -> raw penalties`` in grid order, from the few calibration rows: the same for every mode."""
+    found = {x["penalty"]: x["kernel_pen"] for x in rows}
+    return {m: [found[p] for p in FULL.penalties] for m in FULL.modes}
 
 
 @query("cp_13_calibrate_kernel_penalty")
@@ -183,9 +182,9 @@ def calibrate(spark, sf):
 
 @query("cp_14_effective_penalty")
 def effective(spark, sf):
-    chosen = calibration(spark, sf).select("mode", "penalty", "kernel_pen")
+    modes = spark.createDataFrame([(m,) for m in FULL.modes], "mode string")
+    chosen = F.broadcast(modes).crossJoin(calibration(spark, sf).select("penalty", "kernel_pen"))  # modes times penalties
     plain = [F.struct(F.lit(d).alias("detector"), F.lit(p).alias("penalty")) for d in FULL.detectors if d not in ("cusum", "kernel_rbf") for p in FULL.penalties]
-    modes = chosen.select("mode").distinct()
     others = modes.select("mode", F.inline(F.array(*plain))).withColumn("penalty_effective", F.col("penalty"))
     own = modes.select("mode", F.lit("cusum").alias("detector"), F.lit(None).cast("double").alias("penalty"), F.lit(None).cast("double").alias("penalty_effective"))
     kernel = chosen.select("mode", F.lit("kernel_rbf").alias("detector"), "penalty", F.col("kernel_pen").alias("penalty_effective"))
@@ -207,8 +206,8 @@ def run_bench(spark, sf):
 
 
 def full_bench(spark, sf):
-    grid = kernel_grid(calibration(spark, sf).collect())  # 18 rows: mode x penalty
-    return B.run_bench(_sample(spark, sf), FULL, grid, partitions=_partitions(spark))
+    grid = kernel_grid(calibration(spark, sf).collect())  # one row for each penalty
+    return B.run_bench(_ordinals(spark, sf), FULL, grid, partitions=_partitions(spark))
 
 
 @query("cp_15_run_bench_all_detectors")
@@ -249,8 +248,7 @@ def by_position(spark, sf):
 
 @query("cp_18_select_penalty")
 def select_penalty(spark, sf):
-    few = dataclasses.replace(FULL, detectors=("pelt", "binseg", "window", "bottomup"))
-    return B.select_penalty(B.summarise(B.run_bench(_sample(spark, sf), few, partitions=_partitions(spark))))
+    return B.select_penalty(B.summarise(full_bench(spark, sf)))
 
 
 TURN = dataclasses.replace(CUSUM, positions=(8, 11, 12, 20))
@@ -402,8 +400,7 @@ def transform_test(spark, sf):
 
 @query("cp_31_transform_verdict")
 def transform_verdict(spark, sf):
-    few = dataclasses.replace(FULL, detectors=("pelt", "binseg", "window", "bottomup", "cusum"))
-    return B.transform_verdict(B.transform_test(B.summarise(B.run_bench(_sample(spark, sf), few, partitions=_partitions(spark)))))
+    return B.transform_verdict(B.transform_test(B.summarise(full_bench(spark, sf))))
 
 
 RATE_EVENTS = ("1996-03-01", "1998-10-01", "2000-02-01")

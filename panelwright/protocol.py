@@ -136,7 +136,7 @@ class BenchConfig:
     kernel_grid_min: float = 0.001
     kernel_grid_max: float = 100.0
     kernel_grid_points: int = 120
-    n_series: int = 60
+    n_series: int = 60  # size of the drawn sample, where one is drawn
     seed: int = 20260920
     max_delay: int = 3
     twin_rule: bool = True

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests
-    on one machine) a temporary folder is made and remembered for the session.
+    A cluster names it in ``spark.checkpoint.dir``; without it this raises. Only on a local
+    master (tests on one machine) a temporary folder is made and remembered for the session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="panelwright-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
