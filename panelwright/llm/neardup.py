@@ -9,9 +9,10 @@ least 85 % of their union.
 3. Representatives that share a band meet in a bucket. No bucket emits its pairs. First each
    representative is compared with the smallest one it meets anywhere, then with the smallest of each
    bucket; after each step what is linked becomes one component, and pairs within a component need
-   no further look. Only pairs that are still in different components are compared at last, so that
-   no link is lost.
-4. A comparison looks at the sizes, then at the signatures, then at the full sets.
+   no further look. At last the documents outside the largest component of what meets are compared
+   with all they meet, in blocks of bounded size, so that no link is lost.
+4. A comparison looks at the sizes, then at the signatures, then at the full sets; in blocks at the
+   full sets at once.
 5. Components come from alternating large-star and small-star.
 
 Copies and hub documents never meet in one task: they are collapsed by minima before the shuffle,
@@ -146,6 +147,79 @@ def verified(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
     return _filtered(likely.join(x, "a").join(y, "b"), "x", "y", same)
 
 
+def _blocks_linked(key: tuple, table: pa.Table, percent: int) -> pa.Table:
+    """Links between the two sides of a block pair, or within one block, that join two components.
+
+    The sets of a block are one flat array of numbers; a document marks its own numbers and sums the
+    marks over the others. What is linked is one component from then on.
+    """
+    same_block = key[3].as_py() == "s" and key[1].as_py() == key[2].as_py()
+    table = table.sort_by("node")
+    node, component, left = (table.column(c).to_pylist() for c in ("node", "component", "left"))
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    component = np.array(component)
+    flat, number = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mark = np.zeros(len(flat), dtype=np.int32)
+    left = np.array(left)
+    a, b = [], []
+    for k in range(len(node)):
+        if not left[k]:
+            continue
+        own = number[starts[k] : starts[k] + sizes[k]]
+        free = (component != component[k]) & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k]))
+        free &= (np.arange(len(node)) > k) if same_block else ~left
+        if not free.any():
+            continue
+        mark[own] = 1
+        common = np.add.reduceat(mark[number], starts)
+        mark[own] = 0
+        for j in np.flatnonzero(free & (100 * common >= percent * (sizes + sizes[k] - common))):
+            if component[j] != component[k]:
+                a.append(node[k])
+                b.append(node[j])
+                component[component == component[j]] = component[k]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def cross_links(rest: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, docs_in_block: int = 256, shingles_in_block: int = 1_000_000) -> DataFrame:
+    """Links (a, b) between components that still share a bucket. ``rest``: node, component, lead of a bucket.
+
+    Nodes that meet through buckets are one family. The nodes outside its largest component are the
+    queries; they are compared in blocks with each other and with the largest component, whose own
+    nodes are never compared. A task holds two blocks, whose documents and shingles are bounded; pairs
+    that fail are never rows.
+    """
+    families = components(rest.select(F.col("node").alias("u"), F.col("lead").alias("v"))).select("node", F.col("component").alias("family"))
+    members = cut_lineage(rest.select("node", "component").distinct().join(families, "node").join(marks.select("node", "n"), "node"), "members")
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    largest = F.max(F.struct("docs", "component")).getField("component")
+    top = parts.groupBy("family").agg(largest.alias("main"))
+    sized = parts.join(top, "family").groupBy("family").agg(F.first("main").alias("main"), *[
+        F.greatest(F.ceil(F.sum(F.when(side, F.col("docs")).otherwise(0)) / docs_in_block), F.ceil(F.sum(F.when(side, F.col("shingles")).otherwise(0)) / shingles_in_block)).cast("int").alias(name)
+        for name, side in (("open_blocks", F.col("component") != F.col("main")), ("main_blocks", F.col("component") == F.col("main")))])
+    placed = members.join(sized, "family").withColumn("left", F.col("component") != F.col("main"))
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("left"), F.col("open_blocks")).otherwise(F.col("main_blocks"))).cast("int")
+    pair = lambda lo, hi, kind: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.lit(kind).alias("kind"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_open = F.transform(upto("open_blocks"), lambda j: pair(F.least("block", j), F.greatest("block", j), "s"))
+    with_main = F.transform(upto("main_blocks"), lambda j: pair(F.col("block"), j, "o"))
+    as_main = F.transform(upto("open_blocks"), lambda j: pair(j, F.col("block"), "o"))
+    placed = placed.withColumn("block", block)
+    spread = placed.select(
+        "node", "component", "family", "left", F.col("block").alias("own"), F.explode(F.when(F.col("left"), F.concat(with_open, with_main)).otherwise(as_main)).alias("at"))
+    # in a pair of open blocks the lower block asks the higher one
+    asks = F.when(F.col("at.kind") == "s", F.col("at.lo") == F.col("own")).otherwise(F.col("left"))
+    rows = spread.select("node", "component", "family", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.kind").alias("kind"), asks.alias("left"))
+    rows = rows.join(sets.select(F.col("doc_id").alias("node"), "items"), "node")
+
+    def linked(key: tuple, table: pa.Table) -> pa.Table:
+        return _blocks_linked(key, table, percent)
+
+    return rows.groupBy("family", "lo", "hi", "kind").applyInArrow(linked, "a long, b long")
+
+
 def _relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, component`` after joining the components of linked nodes."""
     at = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
@@ -182,11 +256,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = _relabelled(nodes, verified(open_stars, marks, sets, percent))
 
     labelled = met.join(nodes, "node")
-    torn = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = cut_lineage(labelled.join(torn, "bucket", "left_semi").where("node <> centre").select("bucket", "node", "component"), "open")
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    open_pairs = rest.join(other, "bucket").where("node < b and component <> c_b").select(F.col("node").alias("a"), "b").distinct()
-    nodes = _relabelled(nodes, verified(open_pairs, marks, sets, percent))
+    torn = labelled.groupBy("bucket").agg(F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "lead")
+    rest = cut_lineage(labelled.join(torn, "bucket").select("node", "component", "lead").distinct(), "open")
+    nodes = _relabelled(nodes, cross_links(rest, marks, sets, percent))
 
     named = groups.select("digest", "node").join(nodes, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
     out = sketches.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
