@@ -142,7 +142,8 @@ class Packer:
         for k in range(full):
             self.emit(self.new_id(), 0, (doc, k * self.size, ids[k * self.size : (k + 1) * self.size], total))
         if total % self.size:
-            self.place((doc, full * self.size, ids[full * self.size :], total))
+            rest = ids[full * self.size :]
+            self.place((doc, full * self.size, rest.copy() if full else rest, total))  # a view would hold the whole document
         if self.held >= self.open_tokens:
             self.flush()
 
