@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import NUMBER, column, with_batches
+from panelwright.llm.common import NUMBER, with_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -265,6 +265,14 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
+def all_spans(text: str, field: Field, threshold: float) -> tuple[list, list]:
+    """Base spans of one text and those that the field adds."""
+    if not ACTIVE.search(text):
+        return [], []
+    base = base_spans(text)
+    return base, field.spans(text, base, threshold)
+
+
 def find(docs: DataFrame, field: Field, keep: list[str] | None = None, threshold: float = 0.95) -> DataFrame:
     """Counts and digest of base spans and all spans of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -276,10 +284,7 @@ def find(docs: DataFrame, field: Field, keep: list[str] | None = None, threshold
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             counts, digests, spans, more = {k: [] for k in KINDS}, [], [], []
             for text in batch.column(batch.schema.get_field_index("text")):
-                text = text.as_py() or ""
-                busy = ACTIVE.search(text)
-                base = base_spans(text) if busy else []
-                extra = field.spans(text, base, threshold) if busy else []
+                base, extra = all_spans(text.as_py() or "", field, threshold)
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -305,14 +310,20 @@ def masked(text: str, spans: str) -> str:
 
 def redact(docs: DataFrame, field: Field, threshold: float = 0.95) -> DataFrame:
     """``docs`` with personal data masked in ``text``; a null text stays null."""
-    found = find(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "text"}), field, threshold=threshold)
+    own = docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "text"})
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def make():
+        field = shared.value
+
+        def clean(text: str | None) -> str | None:
+            base, extra = all_spans(text or "", field, threshold)
+            return masked(text, joined(base + extra)) if base or extra else text
+
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            return [pa.array([None if t is None else masked(t, s) for t, s in zip(column(batch, "text"), column(batch, "spans"))], pa.string())]
+            return [pa.array([clean(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))], pa.string())]
 
         return work
 
-    own = [c for c in found.columns if c.startswith("__own_")]
-    out = with_batches(found, make, "__text string", own)
+    out = with_batches(own, make, "__text string", [c for c in own.columns if c != "text"])
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__own_{c}").alias(c) for c in docs.columns])
