@@ -25,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id, once."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each group of near-duplicates (80 % of shingles and more): the one with the smallest id, once."""
+    kept = neardup.near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -5,7 +5,7 @@ least 85 % of their union.
 
 1. Documents with the same word sequence have the same set: one stands for all (its smallest id).
 2. Each representative gets ``BANDS * ROWS`` minima of universal hashes (multiply and shift of a 64-bit
-   shingle hash). At the threshold a pair misses all bands with a chance below 1e-6.
+   shingle hash). At 85 % a pair misses all bands with a chance below 1e-6, at 80 % below 1e-4.
 3. Representatives that share a band meet in a bucket. No bucket emits its pairs. First each
    representative is compared with the smallest one it meets anywhere, then with the smallest of each
    bucket; after each step what is linked becomes one component, and pairs within a component need

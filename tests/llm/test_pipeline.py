@@ -15,7 +15,7 @@ def smallest_of_groups(rows):
         w = words_of(text)
         sets[doc] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     low = {doc: doc for doc in sets}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     for _ in range(len(sets)):
         before = dict(low)
         for a, b in links:
