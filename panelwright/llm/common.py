@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import sys
 import types
@@ -48,6 +50,31 @@ def process_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def give_back() -> None:
+    """Return freed memory of this worker process to the system.
+
+    Spark keeps a worker that has ended its task for the next one; without this it keeps the peak of its
+    past tasks beside the workers of the next stage.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others return pages by themselves
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a task, with :func:`give_back` when the task ends."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return bounded
+
+
 def with_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
@@ -69,7 +96,7 @@ def with_batches(
             old = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays(old + work(batch), names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 
-from panelwright.llm.common import column, process_cache
+from panelwright.llm.common import column, giving_back, process_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -202,4 +202,4 @@ def pack(
         packer.flush()
         yield from drain()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)

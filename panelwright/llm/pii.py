@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import NUMBER, with_batches
+from panelwright.llm.common import NUMBER, giving_back, with_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -256,7 +256,7 @@ def train(docs: DataFrame) -> Field:
             a, b, c, n = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.int32()), pa.array(n, pa.int64())], names=["factor", "key", "label", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "factor string, key string, label int, n long")
+    counts = docs.select("text").mapInArrow(giving_back(run), "factor string, key string, label int, n long")
     rows = counts.groupBy("factor", "key", "label").agg(F.sum("n").alias("n")).collect()  # bounded by the pattern alphabet
     return Field({(r["factor"], r["key"], r["label"]): r["n"] for r in rows})
 
