@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 from panelwright.llm import licenses, queries
@@ -69,3 +70,47 @@ def test_edges(spark, documents):
     rows = licenses.scan(docs).collect()
     assert sorted((str(r.doc_id), r.license, r.basis) for r in rows) == [("1", "MIT", "inherited"), ("2", "MIT", "inherited"), ("3", "MIT", "own"), ("None", "MIT", "inherited")]
     assert licenses.scan(documents([]).withColumnRenamed("source", "path")).count() == 0
+
+
+TEXTS = {name: text for name, text in licenses.full_texts()}
+
+
+def wrapped(text, width, mark=""):
+    """Paragraphs wrapped anew, with a comment mark before every line."""
+    return "\n".join(f"{mark}{line}" for p in re.split(r"\n\s*\n", text) for line in [*textwrap.wrap(" ".join(p.split()), width), ""])
+
+
+def test_complete_licence_files(spark):
+    """Every full text, wrapped anew, with a holder, is the licence file of its directory."""
+    rows = []
+    for k, (name, text) in enumerate(sorted(TEXTS.items())):
+        for j, form in enumerate((wrapped(text, 79), wrapped(text, 10**9), wrapped(text, 60, "# "))):
+            rows += [(100 * k + 10 * j, f"{name}/{j}/LICENSE", f"Copyright 2019 Some Holder\n\n{form}"), (100 * k + 10 * j + 1, f"{name}/{j}/src/x.py", "print()")]
+    out = {r.path: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for name in TEXTS:
+        for j in range(3):
+            assert out[f"{name}/{j}/LICENSE"].license == name and out[f"{name}/{j}/LICENSE"].basis == "own", (name, j)
+            below = out[f"{name}/{j}/src/x.py"]
+            assert (below.license, below.basis, below.source_path) == (name, "inherited", f"{name}/{j}/LICENSE")
+
+
+def test_wrapped_headers(spark):
+    """A header paragraph inside a longer file is found however it is wrapped, and the file is no licence file."""
+    code = "\n\n" + "\n".join(f"value_{k} = compute(value_{k - 1}, {k})" for k in range(200))
+    rows = [(k, f"d{k}/a.py", wrapped(text, 40, "// ") + code) for k, (_, text) in enumerate(licenses.HEADERS)] + [(50, "d0/b.py", "x")]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [out[k].license for k in range(len(licenses.HEADERS))] == [name for name, _ in licenses.HEADERS] and out[50].basis == "none"
+
+
+def test_gate_loses_nothing():
+    """Any text with a cosine of 0.75 has the terms that the gate asks for: the heaviest part of each template decides."""
+    for set_ in (licenses.HEADERS, licenses.full_texts()):
+        known, fewest = licenses.gate(set_, 0.75)
+        vectors = {}
+        for k, _, t, w in licenses.template_table(set_, damped=True)[0]:
+            vectors.setdefault(k, {})[t] = w
+        assert fewest >= 1
+        for v in vectors.values():
+            rest = sorted((w * w for t, w in v.items() if t in set(known)), reverse=True)
+            common = sum(w * w for t, w in v.items() if t not in set(known))
+            assert math.sqrt(common + sum(rest[: fewest - 1])) < 0.75
