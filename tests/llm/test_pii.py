@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from panelwright.llm import pii, queries
@@ -91,3 +92,39 @@ def test_edges_and_masking(documents):
     assert out[0].text is None and out[2].text == "[EMAIL] and [EMAIL]" and out[2].spans == "x"
     assert out[5].text == "Call [PHONE] today or mail [EMAIL], host [IP], card [CARD]."
     assert pii.find(documents([]), pii.train(documents([]))).count() == 0
+
+
+def test_every_repeat_is_reached(documents):
+    """One found number and a hundred bare repeats far behind it, which take its label all the same."""
+    field = pii.train(documents(TEXTS))
+    bare = "(132) 555-7713"
+    text = "Ring +1 (132) 555-7713 by day. " + "".join(f"word {k} then {bare} again. " for k in range(100))
+    base = pii.base_spans(text)
+    assert [text[a:b] for _, a, b in base] == ["+1 (132) 555-7713"]
+    assert [(k, text[a:b]) for k, a, b in field.spans(text, base, 0.95)] == [("phone", bare)] * 100
+    t = pii.Tokens(text, base)
+    assert max(map(len, t.clusters)) == 101
+    assert np.allclose(field.posterior(t), field.posterior(t, rounds=1999), atol=1e-6)
+
+
+def test_parts_of_a_found_mail(documents):
+    """A repeat of a found e-mail without its mark is labelled; other words of the text are not."""
+    field = pii.train(documents([f"mail a.{k}x@mail3.example.com or again a.{k}x@mail3.example.com today" for k in range(40)]))
+    text = "Mail john.smith@example.com now. He is john.smith at example.com there; see example.com or contact john of smith."
+    base = pii.base_spans(text)
+    assert [(k, text[a:b]) for k, a, b in sorted(field.spans(text, base, 0.95), key=lambda s: s[1])] == [("email", "john.smith"), ("email", "example.com")]
+    assert pii.repeated_parts("write to info or info at x.org".split(), {"info": {"xorg"}}) == {4: ("m", "info"), 6: ("m", "info")}
+
+
+def test_propagation_with_a_cluster_is_exact_without_loops(documents):
+    """A cluster without evidence: the messages give the marginals of the enumerated star."""
+    field = pii.train(documents(TEXTS))
+    t = pii.Tokens("5557713 and 555-7713 or 555.7713", [])
+    assert len(t.spans) == 3 and not t.chain and t.clusters == [[0, 1, 2]]
+    own = np.array([field.unary.get(repr(f), field.unseen) for f in t.patterns]) + field.chain[pii.PLAIN, : pii.L] + field.chain[: pii.L, pii.PLAIN]
+    p = np.zeros((3, pii.L))
+    for z in range(pii.L):
+        each = np.exp(own + field.skip[z])
+        for k in range(3):
+            p[k] += each[k] * np.prod(np.delete(each.sum(1), k))
+    assert np.allclose(field.posterior(t), p / p.sum(axis=1, keepdims=True), atol=1e-3)
