@@ -1,7 +1,9 @@
 """Document fingerprints by winnowing, in column expressions only.
 
-A text is read as units: words between white space, long ones cut after ``UNIT`` characters, so that
-texts without spaces have units too. Each run of ``k`` units gets a hash; of every window of ``w``
+A text is read as units: words between white space, and of longer ones every ``UNIT`` characters in a
+row, one unit beginning at each character. So units don't depend on where a run without spaces begins,
+and an inserted character changes the units and runs that hold it and no later ones. (``TILED`` units
+cut a long word after every ``UNIT`` characters instead; the comparison doesn't use them.) Each run of ``k`` units gets a hash; of every window of ``w``
 hashes the smallest is chosen, the rightmost of equal ones, and a choice that stays the same over
 several windows counts once. Hash (36 bits) and position (27 bits, counted down so that a minimum
 prefers the right) travel in one number. Two texts that share ``w + k - 1`` units in a row share a
@@ -20,18 +22,21 @@ from pyspark.sql import functions as F
 
 K, W, UNIT = 4, 8, 8
 POSITION_BITS = 27
+NO_SPACE = "[^\\x20\\x09-\\x0D]"
+TILED = f"({NO_SPACE}{{1,{UNIT}}})"
+SLIDING = f"(?=((?<!{NO_SPACE}){NO_SPACE}{{1,{UNIT - 1}}}+(?!{NO_SPACE})|{NO_SPACE}{{{UNIT}}}))(?:{NO_SPACE}{{1,{UNIT}}}+(?!{NO_SPACE})|{NO_SPACE})"
 
 
 def _packed(h: Column, at: Column) -> Column:
     return F.shiftleft(F.shiftrightunsigned(h, 64 - 36), POSITION_BITS).bitwiseOR(F.lit((1 << POSITION_BITS) - 1) - at)
 
 
-def with_choices(df: DataFrame, text: str, name: str, keep: list[str], k: int = K, w: int = W) -> DataFrame:
-    """``keep`` and the chosen numbers of ``text`` as array ``name``, by ascending position.
+def with_choices(df: DataFrame, text: str, name: str, keep: list[str], k: int = K, w: int = W, unit: str = TILED) -> DataFrame:
+    """``keep`` and the chosen numbers of ``text`` as array ``name``, by ascending position. ``unit`` is the first group of a pattern.
 
     The steps are columns of their own; each is used several times, so none is evaluated inside a lambda.
     """
-    units = df.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"[^\\x20\\x09-\\x0D]{{1,{UNIT}}}"), 0).alias("__u"))
+    units = df.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(unit), 1).alias("__u"))
     n = F.size("__u")
     runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: _packed(F.xxhash64(*[F.get("__u", i + j) for j in range(k)]), i.cast("long")))
     hashes = units.select(*keep, F.when(n >= k, runs).when(n > 0, F.array(_packed(F.xxhash64("__u"), F.lit(0).cast("long")))).otherwise(F.array().cast("array<long>")).alias("__p"))
@@ -106,14 +111,14 @@ def compare_with_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     Edited: the last half of the code points gives way to as many first ones of the next document.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = with_choices(in_blocks(docs), "text", "chosen", ["doc_id", "text", "block", "guest"], k, w)
+    own = with_choices(in_blocks(docs), "text", "chosen", ["doc_id", "text", "block", "guest"], k, w, SLIDING)
     led = with_next(own, ["text", "chosen"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = led.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), "chosen", "next_chosen",
         F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 2)))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
     edited = edited.select("doc_id", "n_chars", "chosen", "next_chosen", "edited", F.sha2("edited", 256).alias("edited_sha256"))
-    both = with_choices(edited, "edited", "edited_chosen", ["doc_id", "n_chars", "chosen", "next_chosen", "edited_sha256"], k, w)
+    both = with_choices(edited, "edited", "edited_chosen", ["doc_id", "n_chars", "chosen", "next_chosen", "edited_sha256"], k, w, SLIDING)
     sets = both.select("doc_id", "n_chars", "edited_sha256", as_text("chosen").alias("fingerprint"), as_text("edited_chosen").alias("edited_fingerprint"),
                        hash_set("chosen").alias("a"), hash_set("edited_chosen").alias("b"), hash_set("next_chosen").alias("c"))
     return sets.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -78,3 +79,22 @@ def test_edges(documents, texts, ids):
         want.append(hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest())
     assert sorted(r.edited_sha256 for r in rows) == sorted(want)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+
+
+def test_sliding_units(spark):
+    """Words of up to eight characters whole, of longer ones every eight characters in a row."""
+    texts = ["a bb\tccccdddd eeeeffffg", "x" * 11, "", "1234567 123456789012 z", "é中" * 7]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.regexp_extract_all("t", F.lit(winnowing.SLIDING), 1).alias("u"))
+    got = {r.i: r.u for r in frame.collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == [run[k : k + 8] for run in text.split() for k in range(max(1, len(run) - 7))]
+
+
+@pytest.mark.parametrize("alphabet", ["".join(map(chr, range(0x4E00, 0x5200))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_one_inserted_character(documents, alphabet):
+    """In a long text without spaces an insertion leaves the fingerprint of the rest, as the query makes it."""
+    rng = random.Random(5)
+    long = "".join(rng.choice(alphabet) for _ in range(3000))
+    moved = long[:100] + "!" + long[100:]
+    rows = {r.doc_id: r for r in winnowing.compare_with_edits(documents([moved, long])).collect()}
+    assert rows[0].near_next > 0.95 and rows[1].near_next > 0.95
