@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import brown, chunk_dedup, decontamination, extraction, licenses, neardup, packing, pii, quality, winnowing
+from panelwright.llm import bpe, brown, chunk_dedup, decontamination, extraction, licenses, neardup, packing, pii, quality, winnowing
 from panelwright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_brown_class_scores")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return brown.score(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op12_byte_bpe_by_prefixes")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(table(spark, sf, "documents", "doc_id", "text"), tokenizer_files()[0], ["doc_id"])
