@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, brown, chunk_dedup, decontamination, extraction, licenses, neardup, packing, pii, quality, winnowing
+from panelwright.llm import bpe, brown, chunk_dedup, decontamination, extraction, licenses, neardup, packing, pii, quality, repair, whitening, winnowing
 from panelwright.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,16 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return brown.score(table(spark, sf, "documents", "doc_id", "text"))
 
 
+@query("op11_whiten_by_bit_planes")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
 @query("op12_byte_bpe_by_prefixes")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents", "doc_id", "text"), tokenizer_files()[0], ["doc_id"])
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf, "conversations", "conv_id", "turn", "role", "text")))
