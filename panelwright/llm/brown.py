@@ -304,10 +304,10 @@ ENCODED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_scor
 
 def encoded(docs: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
     """Counts, base score, emission part and class sequence of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
+        model = Model(**shared.value)
         w = right.column("w").to_numpy()
         order = np.argsort(w)
         w, c, cls = w[order], right.column("c").to_numpy()[order], right.column("cls").to_numpy()[order]
@@ -386,10 +386,10 @@ def score(docs: DataFrame, classes: int = 64, frequent: int = 1024, sweeps: int
     rows = cut_lineage(encoded(by_split(docs, split_bytes), vocabulary, model), "encoded")
     end_class = int(of[np.searchsorted(words, END_HASH)])
     model.transitions = smoothed(class_transitions(rows, classes, end_class))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def make():
-        scorer = Scorer(shared.value, end_class)
+        scorer = Scorer(Model(**shared.value), end_class)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             parts = zip(batch.column(batch.schema.get_field_index("classes")), column(batch, "emission"))

@@ -3,7 +3,8 @@
 A document's set is its distinct five-word shingles. Two documents are linked if their sets share at
 least 85 % of their union.
 
-1. Documents with the same word sequence have the same set: one stands for all (its smallest id).
+1. Documents with the same word sequence have the same set: one node, numbered as it is written, stands for
+   all of them; ids, of any type, come back at the end.
 2. Each representative gets ``BANDS * ROWS`` minima of universal hashes (multiply and shift of a 64-bit
    shingle hash). At 85 % a pair misses all bands with a chance below 1e-6, at 80 % below 1e-4.
 3. Representatives that share a band meet in a bucket. No bucket emits its pairs. First each
@@ -20,7 +21,8 @@ and pair tables join with the sets row by row, which adaptive execution splits w
 
 Rows: a null or empty text has no set and is linked with nothing. A row without id is its own
 component (null) and is kept. Rows that repeat an id with the same text are one document; with
-other texts each row has the component of its own text. An empty table gives no rows.
+other texts each row has the component of its own text, so several texts of an id may be kept.
+:func:`survivors` names one row of each component, whatever ids repeat. An empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -75,8 +77,13 @@ def minima(items: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype("<u4")
 
 
+def text_mark() -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, n_shingles, bands, signature`` of every row; bands and signature are packed bytes."""
+    """``doc_id, mark, digest, n_shingles, bands, signature`` of every row; bands and signature are packed bytes."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -99,11 +106,12 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return with_batches(docs.select("doc_id", "text"), make, "digest binary, n_shingles long, bands binary, signature binary", ["doc_id"])
+    marked = docs.select("doc_id", "text", text_mark().alias("mark"))
+    return with_batches(marked, make, "digest binary, n_shingles long, bands binary, signature binary", ["doc_id", "mark"])
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id`` with its whole set as packed sorted 64-bit hashes."""
+    """``node`` with its whole set as packed sorted 64-bit hashes."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -111,7 +119,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return with_batches(docs, make, "items binary", ["doc_id"])
+    return with_batches(docs, make, "items binary", ["node"])
 
 
 def _filtered(pairs: DataFrame, left: str, right: str, passes) -> DataFrame:
@@ -142,8 +150,8 @@ def verified(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
     two = marks.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
     near = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = _filtered(near, "s_a", "s_b", alike)
-    x = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     return _filtered(likely.join(x, "a").join(y, "b"), "x", "y", same)
 
 
@@ -212,7 +220,7 @@ def cross_links(rest: DataFrame, marks: DataFrame, sets: DataFrame, percent: int
     # in a pair of open blocks the lower block asks the higher one
     asks = F.when(F.col("at.kind") == "s", F.col("at.lo") == F.col("own")).otherwise(F.col("left"))
     rows = spread.select("node", "component", "family", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.kind").alias("kind"), asks.alias("left"))
-    rows = rows.join(sets.select(F.col("doc_id").alias("node"), "items"), "node")
+    rows = rows.join(sets, "node")
 
     def linked(key: tuple, table: pa.Table) -> pa.Table:
         return _blocks_linked(key, table, percent)
@@ -228,27 +236,28 @@ def _relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(nodes.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "nodes")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def _found(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of every row, and ``digest, head`` of every text that is linked or a copy: the smallest (id, mark) of its component."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sketches = cut_lineage(sketch(docs), "sketches")
     known = sketches.where("doc_id is not null and digest is not null")
-    groups = cut_lineage(
-        known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "groups")
+    first = [F.first(c).alias(c) for c in ("bands", "signature")]
+    groups = known.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("head"), F.first("n_shingles").alias("n"), *first)
+    groups = cut_lineage(groups.withColumn("node", F.monotonically_increasing_id()), "groups")  # the numbers hold once written
     bucket: Column = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.substring("bands", k * 8 + 1, F.lit(8)).alias("key")))
     placed = groups.select("node", F.explode(bucket).alias("at")).select("node", F.xxhash64("at.band", "at.key").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("bucket", "centre")
     met = cut_lineage(placed.join(shared, "bucket"), "buckets")
 
     met_nodes = met.select("node").distinct()
-    marks = cut_lineage(groups.select("node", "n", "signature").join(met_nodes, "node", "left_semi").dropDuplicates(["node"]), "marks")
-    # one text for each node: rows that repeat an id with another text are told apart by their digest
-    texts = docs.where("doc_id is not null").join(met_nodes, docs["doc_id"] == met_nodes["node"], "left_semi")
-    sets = cut_lineage(shingle_sets(texts).dropDuplicates(["doc_id", "items"]), "sets")
+    marks = cut_lineage(groups.join(met_nodes, "node", "left_semi").select("node", "n", "signature", "head"), "marks")
+    heads = marks.select("node", F.col("head.doc_id").alias("doc_id"), F.col("head.mark").alias("mark"))
+    texts = docs.withColumn("mark", text_mark()).join(heads, ["doc_id", "mark"]).select("node", "text")
+    sets = cut_lineage(shingle_sets(texts).dropDuplicates(["node"]), "sets")
 
     nodes = met_nodes.select("node", F.col("node").alias("component"))
-    first = met.where("centre <> node").groupBy("node").agg(F.min("centre").alias("b")).select(F.col("node").alias("a"), "b")
-    nodes = _relabelled(nodes, verified(first, marks, sets, percent))
+    first_met = met.where("centre <> node").groupBy("node").agg(F.min("centre").alias("b")).select(F.col("node").alias("a"), "b")
+    nodes = _relabelled(nodes, verified(first_met, marks, sets, percent))
 
     labelled = met.join(nodes, "node")
     centres = nodes.select(F.col("node").alias("centre"), F.col("component").alias("centre_component"))
@@ -260,7 +269,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rest = cut_lineage(labelled.join(torn, "bucket").select("node", "component", "lead").distinct(), "open")
     nodes = _relabelled(nodes, cross_links(rest, marks, sets, percent))
 
-    named = groups.select("digest", "node").join(nodes, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
+    # only components of several nodes need their smallest id
+    sizes = nodes.join(marks.select("node", "head"), "node").groupBy("component").agg(F.min("head").alias("lowest"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    lowest = nodes.join(sizes, "component").select("node", "lowest")
+    named = groups.select("digest", "node", "head").join(lowest, "node", "left").select("digest", F.coalesce("lowest", "head").alias("head"))
+    return sketches, named
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    sketches, named = _found(docs, percent)
     out = sketches.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("head.doc_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+
+
+def survivors(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, mark`` of one row of each component with an id; rows without words stay each, by id."""
+    sketches, named = _found(docs, percent)
+    bare = sketches.where("doc_id is not null and digest is null").select("doc_id", "mark")
+    return named.select("head.doc_id", "head.mark").unionByName(bare).distinct()

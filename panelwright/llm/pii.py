@@ -158,7 +158,7 @@ class Tokens:
             self.spans.append((start, end))
             digits = "".join(c for c in word if "0" <= c <= "9")
             letters = sum(c.isalpha() for c in word)
-            valid = (13 <= len(digits) <= 19 and luhn(digits)) or (word.count(".") == 3 and not letters and all(p.isdigit() and int(p[:4]) <= 255 for p in word.split(".")))
+            valid = (13 <= len(digits) <= 19 and luhn(digits)) or (word.count(".") == 3 and not letters and all(p.isascii() and p.isdigit() and int(p[:4]) <= 255 for p in word.split(".")))
             self.patterns.append((min(len(digits), 20), min(letters, 3), "@" in word, min(word.count("."), 4), word[:1] == "+", word[:1] == "(", "-" in word, bool(valid)))
             adjacent = last_index == index - 1
             if adjacent:
@@ -210,9 +210,10 @@ def count_factors(text: str | None) -> Counter:
 
 
 class Field:
-    """Factor tables as log potentials."""
+    """Factor tables as log potentials. Tasks get the counts and build it themselves: no worker has to import this class."""
 
     def __init__(self, counts: dict[tuple[str, str, int], int]):
+        self.counts = counts
         marginal = np.zeros(L)
         for (factor, _, y), n in counts.items():
             if factor == "unary":
@@ -336,11 +337,11 @@ def all_spans(text: str, field: Field, threshold: float) -> tuple[list, list]:
 
 def find(docs: DataFrame, field: Field, keep: list[str] | None = None, threshold: float = 0.95) -> DataFrame:
     """Counts and digest of base spans and all spans of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast(field.counts)
     added = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
     def make():
-        field = shared.value
+        field = Field(shared.value)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             counts, digests, spans, more = {k: [] for k in KINDS}, [], [], []
@@ -372,10 +373,10 @@ def masked(text: str, spans: str) -> str:
 def redact(docs: DataFrame, field: Field, threshold: float = 0.95) -> DataFrame:
     """``docs`` with personal data masked in ``text``; a null text stays null."""
     own = docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "text"})
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast(field.counts)
 
     def make():
-        field = shared.value
+        field = Field(shared.value)
 
         def clean(text: str | None) -> str | None:
             base, extra = all_spans(text or "", field, threshold)

@@ -163,10 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, folds: int = 5
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 for every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else vars(model))  # plain values: no worker has to import the class
 
     def make():
-        model = shared.value
+        model = None if shared.value is None else Model(**shared.value)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column(batch.schema.get_field_index("text"))

@@ -66,6 +66,32 @@ def test_null_and_repeated_rows(spark, documents):
     assert neardup.near_duplicates(documents([])).count() == 0
 
 
+def test_ids_under_several_texts_and_ids_of_other_types(spark, documents):
+    """Each text has the component of its own, also where ids repeat; every text has a kept row that resembles it."""
+    rng = random.Random(9)
+    families = [[f"f{k}w{rng.randrange(50)}" for _ in range(60)] for k in range(6)]
+    rows = []
+    for k in range(90):
+        words = list(rng.choice(families))
+        words[rng.randrange(len(words))] = f"e{rng.randrange(4)}"
+        rows.append((k % 20, " ".join(words)))
+    rows += [(1, "a b c d e f"), (1, "g h i j k l m"), (2, "g h i j k l m"), (2, "G H i j k l m"), (3, ""), (3, None)]
+    want = brute(rows)
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(i if kind == "long" else f"id{i:02d}", t) for i, t in rows], f"doc_id {kind}, text string")
+        name = (lambda i: i) if kind == "long" else (lambda i: f"id{i:02d}")
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, neardup.near_duplicates(docs).collect()), key=key) == sorted(((name(d), n, name(c), k) for d, n, c, k in want), key=key)
+    kept = neardup.survivors(docs).collect()
+    marked = {(r.doc_id, r.mark): r.text for r in docs.withColumn("mark", neardup.text_mark()).collect()}
+    alive = [marked[r.doc_id, r.mark] for r in kept]
+    sets = lambda t: {tuple(words_of(t)[k : k + 5]) for k in range(max(1, len(words_of(t)) - 4))}
+    assert len(kept) == len({r for r in kept}) and None in alive and "" in alive
+    texts = [t for t in alive if t]
+    assert "a b c d e f" in texts and sum(t.lower() == "g h i j k l m" for t in texts) == 1
+    assert all(100 * len(sets(a) & sets(b)) < 85 * len(sets(a) | sets(b)) for a, b in itertools.combinations(texts, 2))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -94,6 +94,14 @@ def test_edges_and_masking(documents):
     assert pii.find(documents([]), pii.train(documents([]))).count() == 0
 
 
+def test_digits_of_other_alphabets(documents):
+    """Characters that are digits for Unicode only are no numbers here."""
+    docs = documents(["see 1²3.4.5.6 here", "①.2.3.4", "٣.٤.٥.٦ and 1.2.3.4", "card ４１１１ 1111 1111 1111"])
+    rows = pii.find(docs, pii.train(docs), ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.n_ip for r in rows] == [1 if "3.4.5.6" in "see 1²3.4.5.6 here" else 0, 0, 1, 0]
+    assert pii.redact(docs, pii.train(docs)).count() == 4
+
+
 def test_every_repeat_is_reached(documents):
     """One found number and a hundred bare repeats far behind it, which take its label all the same."""
     field = pii.train(documents(TEXTS))

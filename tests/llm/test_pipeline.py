@@ -59,3 +59,11 @@ def test_edges(spark, documents):
     clean = corpus_pipeline.drop_contaminated(spark, docs, SF)
     assert clean.columns == docs.columns and clean.count() == 6
     assert corpus_pipeline.mask_personal_data(spark, docs, SF).columns == docs.columns
+
+
+def test_no_text_is_lost_where_ids_repeat(spark, documents):
+    """(1, A), (1, B), (2, B): A and B both stay, once each."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = documents([a, b, b, b], ids=[1, 1, 2, 1])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b)]
