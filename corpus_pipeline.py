@@ -25,10 +25,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (80 % of shingles and more): the one with the smallest id, once."""
-    kept = neardup.near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near-duplicates (80 % of shingles and more): the one with the smallest id, once.
+
+    A row is told by its id and its text, so that no text goes without a kept one that resembles it.
+    """
+    key = ["doc_id", "__mark"]
+    kept = neardup.survivors(docs, percent=80).withColumnRenamed("mark", "__mark")
+    once = docs.withColumn("__mark", neardup.text_mark()).join(kept, key, "left_semi")
+    return once.dropDuplicates(key).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
