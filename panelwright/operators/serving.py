@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from panelwright.functions import arrays as A
 from panelwright.functions.frames import union_all
 from panelwright.functions.quantiles import exact_quantiles
-from panelwright.operators import backtest, longseries as L, two_stage as TS
+from panelwright.operators import backtest, longseries as L, models, modelstore, two_stage as TS
 from panelwright.operators.metrics import refused
+from panelwright.operators.modelstore import ModelStore
+from panelwright.operators.trees import PanelContext, TreeConfig
 from panelwright.protocol import Calendar, Fold, ForwardConfig, fold_array
 
 
@@ -24,25 +26,44 @@ def future_months(calendar: Calendar, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.add_months(F.lit(calendar.last), k))
 
 
-def forecast_forward(series: DataFrame, aggregate: DataFrame, regions: DataFrame, calendar: Calendar, config: ForwardConfig) -> DataFrame:
+def forecast_forward(series: DataFrame, aggregate: DataFrame, regions: DataFrame, calendar: Calendar, config: ForwardConfig,
+                     context: PanelContext | None = None, store: ModelStore | None = None, trees: TreeConfig = TreeConfig()) -> DataFrame:
     """Recommended and comparison models per horizon, plus the known-aggregate rows.
 
-    The aggregate is cut at the origin for every model except the known one.
+    The aggregate is cut at the origin for every model except the known one. A recommended panel
+    learner takes its models from ``store`` and fits there what is missing; it needs the ``context``.
     """
     plan = forward_plan(calendar, config.horizons)
     cut = L.cut_at(aggregate, F.lit(calendar.last))
     agg_array = TS.aggregate_array(cut, calendar)
     recommended = dict(config.recommended)
+    by_need = models.needs(sorted(set(recommended.values())))
+    if set(by_need.get("aggregate", [])) - {config.comparison} or "solver" in by_need:
+        raise ValueError(f"a closed form, a panel learner or {config.comparison} can be recommended, not {recommended}")
     pieces = []
-    closed = {h: m for h, m in recommended.items() if m != "two_stage"}
+
+    def own(name: str) -> list[int]:
+        return [h for h, m in recommended.items() if m == name]
+
     rows = backtest.fold_rows(series, fold_array(plan))
-    for name in sorted(set(closed.values())):
-        mine = [h for h, m in closed.items() if m == name]
-        done = backtest.forecast_series(rows.where(F.col("horizon").isin(*mine)), [name])
+    for name in by_need.get("series", []):
+        done = backtest.forecast_series(rows.where(F.col("horizon").isin(*own(name))), [name])
         pieces.append(_long(done, calendar).withColumn("recommended", F.lit(True)).withColumn("uses_published_aggregate", F.lit(False)))
+    for name in by_need.get("panel", []):
+        if context is None or store is None:
+            raise ValueError(f"{name} is recommended: it needs the panel context and a model store")
+        modelstore.fit_forward(store, context, name, own(name), trees)
+        for h in own(name):
+            found = modelstore.forecast(store, context, name, h, trees)
+            done = found.groupBy("series_id").agg(
+                F.transform(F.sort_array(F.collect_list(F.struct("step", "forecast"))), lambda x: x["forecast"]).alias("forecast"))
+            # a series without features at the origin has no forecast, and says so
+            done = series.select("series_id").join(done, "series_id", "left").select(
+                "series_id", F.lit(name).alias("model"), F.lit(h).alias("horizon"), "forecast",
+                F.when(F.col("forecast").isNull(), F.lit("not enough history for the features")).alias("error"))
+            pieces.append(_long(done, calendar).withColumn("recommended", F.lit(True)).withColumn("uses_published_aggregate", F.lit(False)))
     staged = TS.two_stage(series, plan, TS.aggregate_paths(cut, calendar, plan), agg_array)
-    own = [h for h, m in recommended.items() if m == "two_stage"]
-    flagged = F.col("horizon").isin(*own) if own else F.lit(False)
+    flagged = F.col("horizon").isin(*own("two_stage")) if own("two_stage") else F.lit(False)
     pieces.append(_long(staged, calendar).withColumn("recommended", flagged).withColumn("uses_published_aggregate", F.lit(False)))
     known = TS.two_stage(series, plan, TS.known_paths(aggregate, calendar, plan), agg_array, name=config.known_aggregate)
     pieces.append(_long(known, calendar).withColumn("recommended", F.lit(False)).withColumn("uses_published_aggregate", F.lit(True)))

@@ -1,17 +1,22 @@
 """The panel learner: one boosted-tree regressor per step on panel features.
 
-The frames stay distributed; the driver only loops over folds and steps, a handful of
-large Spark ML jobs. Trees reject NaN, so every nullable feature is a value and a flag.
+The frames stay distributed. Feature vectors are assembled and written once for a table; the fits
+over folds and steps don't depend on each other, so a few threads of the driver submit them side by
+side, each to a scheduler pool of its own (``spark.scheduler.mode`` FAIR makes the pools count), and the
+cluster is not idle between the short stages of a single fit. Trees reject NaN, so every nullable
+feature is a value and a flag.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import TypeVar
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
 from panelwright.functions.frames import union_all, with_scalars
 from panelwright.operators import factor, features as X, two_stage as TS
@@ -20,6 +25,9 @@ from panelwright.protocol import Calendar, Fold, fold_array
 from panelwright.session import cut_lineage, ensure_checkpoint_dir
 
 
+T = TypeVar("T")
+
+
 @dataclass(frozen=True)
 class TreeConfig:
     rounds: int = 300
@@ -28,6 +36,7 @@ class TreeConfig:
     min_leaf: int = 40
     bins: int = 64
     seed: int = 20260920
+    fits_at_once: int = 4
 
 
 @dataclass(frozen=True)
@@ -76,6 +85,9 @@ class PanelContext:
     regions: DataFrame | None = None  # series_id, region
     news: DataFrame | None = None  # region, month, topics
     topics: Sequence[str] = ()
+    adjusted_aggregate: DataFrame | None = None  # month, value, seasonally adjusted
+    national_news: DataFrame | None = None  # month, national topics
+    national_topics: Sequence[str] | None = None
     min_members: int = 8
     notes: list[str] = field(default_factory=list)
 
@@ -138,50 +150,132 @@ def fold_factor(ctx: PanelContext, plan: dict[int, Sequence[Fold]], regional: bo
     return past, ahead.select("series_id", "fold", "step", "multiplier")
 
 
-def fit_step(rows: DataFrame, columns: Sequence[str], config: TreeConfig, target: str = "target", rounds: int | None = None) -> PipelineModel:
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable[[], T]], width: int) -> list[T]:
+    """Results of independent tasks that run Spark jobs; at most ``width`` run at once. The first error is raised."""
+    def pooled(number: int, task: Callable[[], T]) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % width}")
+        return task()
+
+    with ThreadPoolExecutor(max(1, width)) as threads:
+        futures = [threads.submit(inheritable_thread_target(spark)(pooled), n, task) for n, task in enumerate(tasks)]
+        return [f.result() for f in futures]
+
+
+@dataclass
+class Vectors:
+    """A written feature table: ``series_id, t, y, y_1 .., features`` and ``is_total`` where series are stacked."""
+
+    rows: DataFrame
+    columns: list[str]
+
+    def at(self, t: int) -> DataFrame:
+        """The rows of the series themselves at one month."""
+        here = self.rows.where(F.col("t") == t)
+        return here.where("is_total = 1.0") if "is_total" in self.rows.columns else here
+
+
+def vectors(table: DataFrame, columns: Sequence[str]) -> Vectors:
+    """Feature vectors of a table, assembled and written once for all fits."""
+    flagged, inputs = X.with_missing_flags(table, columns)
+    kept = [c for c in table.columns if c in ("series_id", "t", "y", "is_total") or c.startswith("y_")]
+    done = VectorAssembler(inputCols=inputs, outputCol="features").transform(flagged).select(*kept, "features")
+    return Vectors(cut_lineage(done, "vectors"), list(columns))
+
+
+@dataclass
+class StepModel:
+    """Trees of one step; ``base`` are those of long series that were fitted first."""
+
+    trees: GBTRegressionModel
+    base: GBTRegressionModel | None = None
+
+    def ratios(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``ratio``: what the level of the step is to the level of the row."""
+        out = self.trees.transform(rows)
+        if self.base is None:
+            return out
+        return self.base.transform(out.withColumnRenamed("ratio", "_rest")).withColumn("ratio", F.col("ratio") + F.col("_rest")).drop("_rest")
+
+
+def _boosted(rows: DataFrame, config: TreeConfig, target: str, rounds: int) -> GBTRegressionModel:
     ensure_checkpoint_dir(rows.sparkSession)
-    trees = GBTRegressor(
-        featuresCol="features", labelCol=target, predictionCol="ratio", maxIter=rounds or config.rounds, stepSize=config.step_size,
+    return GBTRegressor(
+        featuresCol="features", labelCol=target, predictionCol="ratio", maxIter=max(rounds, 1), stepSize=config.step_size,
         maxDepth=config.depth, minInstancesPerNode=config.min_leaf, maxBins=config.bins, seed=config.seed, checkpointInterval=10,
-    )
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    return PipelineModel([assembler, trees.fit(assembler.transform(rows).select("features", target))])
+    ).fit(rows.select("features", target))
 
 
-def fit_predict(ctx: PanelContext, spec: Variant, table: DataFrame, columns: Sequence[str], fold: Fold, config: TreeConfig,
-                past: DataFrame | None = None, ahead: DataFrame | None = None) -> DataFrame:
-    """``series_id, step, forecast`` of one fold: a regressor per step, fitted on the whole panel."""
-    flagged, inputs = X.with_missing_flags(table, columns)
-    origin = flagged.where((F.col("t") == fold.train_end - 1) & (F.col("is_total") == 1.0) if "is_total" in table.columns
-                           else F.col("t") == fold.train_end - 1)
-    pieces = []
-    pretrain = None
-    if spec.pretrain:
-        long = X.pretrain_rows(ctx.need("long_series"), ctx.calendar.month(fold.train_end - 1), fold.horizon)
-        missing = [c for c in columns if c not in long.columns]
-        long = long.withColumns({c: F.lit(None).cast("double") for c in missing})
-        pretrain, _ = X.with_missing_flags(long, columns)
-    for step in range(1, fold.horizon + 1):
-        seen = past.where((F.col("fold") == fold.index) & (F.col("step") == step)).drop("fold", "step") if past is not None else None
-        train = X.ratio_target(flagged, step, fold.train_end, seen)
-        if train.isEmpty():
-            raise ValueError(f"no training rows for step {step}")
-        if pretrain is not None:
-            # half of the rounds on long series, the rest on what they leave unexplained
-            half = config.rounds // 2
-            base = fit_step(pretrain.where(F.col(f"y_{step}").isNotNull()).withColumn("target", F.col(f"y_{step}") / F.col("y")), inputs, config, rounds=max(half, 1))
-            left = base.transform(train).withColumn("rest", F.col("target") - F.col("ratio")).drop("ratio", "features")
-            model = fit_step(left, inputs, config, target="rest", rounds=max(config.rounds - half, 1))
-            scored = base.transform(origin).withColumnRenamed("ratio", "base_ratio").drop("features")
-            scored = model.transform(scored).withColumn("ratio", F.col("ratio") + F.col("base_ratio"))
-        else:
-            scored = fit_step(train, inputs, config).transform(origin)
-        pieces.append(scored.select("series_id", F.lit(step).alias("step"), (F.col("y") * F.col("ratio")).alias("forecast")))
-    out = union_all(pieces)
+def fit_step(rows: DataFrame, step: int, train_end: int, config: TreeConfig, multipliers: DataFrame | None = None, long: DataFrame | None = None) -> StepModel:
+    """Trees of one step on all rows whose target lies before ``train_end``.
+
+    ``multipliers``: realised common moves to divide out. ``long``: rows of long series, on which half of the
+    rounds are fitted; the other half is fitted on what these leave unexplained.
+    """
+    train = X.ratio_target(rows, step, train_end, multipliers)
+    if train.isEmpty():
+        raise ValueError(f"no training rows for step {step}")
+    if long is None:
+        return StepModel(_boosted(train, config, "target", config.rounds))
+    half = config.rounds // 2
+    seen = long.where(F.col(f"y_{step}").isNotNull()).withColumn("target", F.col(f"y_{step}") / F.col("y"))
+    base = _boosted(seen, config, "target", half)
+    left = base.transform(train).withColumn("rest", F.col("target") - F.col("ratio")).drop("ratio")
+    return StepModel(_boosted(left, config, "rest", config.rounds - half), base)
+
+
+def pretrain_vectors(ctx: PanelContext, spec: Variant, columns: Sequence[str], train_end: int, horizon: int) -> DataFrame | None:
+    """Vectors of the long series up to an origin; features they don't have are missing."""
+    if not spec.pretrain:
+        return None
+    long = X.pretrain_rows(ctx.need("long_series"), ctx.calendar.month(train_end - 1), horizon)
+    missing = [c for c in columns if c not in long.columns]
+    return vectors(long.withColumns({c: F.lit(None).cast("double") for c in missing}), columns).rows
+
+
+def moved(past: DataFrame | None, fold: int, step: int) -> DataFrame | None:
+    """Realised multipliers of one fold and step."""
+    return None if past is None else past.where((F.col("fold") == fold) & (F.col("step") == step)).drop("fold", "step")
+
+
+def predicted(models: Mapping[int, StepModel], rows: DataFrame, ahead: DataFrame | None = None) -> DataFrame:
+    """``series_id, step, forecast`` of the models by step on rows of one month; ``ahead``: multipliers of the common factor."""
+    level = (F.col("y") * F.col("ratio")).alias("forecast")
+    out = union_all([m.ratios(rows).select("series_id", F.lit(step).alias("step"), level) for step, m in models.items()])
     if ahead is not None:
-        here = ahead.where(F.col("fold") == fold.index).drop("fold")
-        keys = [k for k in ("series_id", "step") if k in here.columns]
-        out = out.join(here, keys, "left").withColumn("forecast", F.col("forecast") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
+        keys = [k for k in ("series_id", "step") if k in ahead.columns]
+        out = out.join(ahead, keys, "left").withColumn("forecast", F.col("forecast") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
+    return out
+
+
+def _fold_fits(ctx: PanelContext, spec: Variant, table: Vectors, folds: Sequence[Fold], config: TreeConfig, past: DataFrame | None) -> list[dict[int, StepModel] | Exception]:
+    """Models by step of each fold, or why the fold has none. All folds and steps are fitted side by side."""
+    longs = {f.index: pretrain_vectors(ctx, spec, table.columns, f.train_end, f.horizon) for f in folds}
+
+    def task(fold: Fold, step: int) -> Callable[[], StepModel | Exception]:
+        def run() -> StepModel | Exception:
+            try:
+                return fit_step(table.rows, step, fold.train_end, config, moved(past, fold.index, step), longs[fold.index])
+            except (ValueError, RuntimeError) as why:
+                return why
+
+        return run
+
+    keys = [(f, step) for f in folds for step in range(1, f.horizon + 1)]
+    done = dict(zip([(f.index, s) for f, s in keys], side_by_side(table.rows.sparkSession, [task(*k) for k in keys], config.fits_at_once)))
+    out: list[dict[int, StepModel] | Exception] = []
+    for f in folds:
+        own = {s: done[f.index, s] for s in range(1, f.horizon + 1)}
+        out.append(next((m for m in own.values() if isinstance(m, Exception)), own))
+    return out
+
+
+def fit_predict(ctx: PanelContext, spec: Variant, table: Vectors, folds: Sequence[Fold], config: TreeConfig,
+                past: DataFrame | None = None, ahead: DataFrame | None = None) -> list[DataFrame | Exception]:
+    """``series_id, step, forecast`` of each fold: a regressor per step, fitted on the whole panel; or why there is none."""
+    out: list[DataFrame | Exception] = []
+    for fold, models in zip(folds, _fold_fits(ctx, spec, table, folds, config, past)):
+        here = None if ahead is None else ahead.where(F.col("fold") == fold.index).drop("fold")
+        out.append(models if isinstance(models, Exception) else predicted(models, table.at(fold.train_end - 1), here))
     return out
 
 
@@ -194,20 +288,17 @@ def evaluate_panel(ctx: PanelContext, name: str, plan: Mapping[int, Sequence[Fol
     scored = ctx.arrays if sample is None else ctx.arrays.join(sample.select("series_id"), "series_id", "left_semi")
     parts = []
     for horizon, folds in plan.items():
-        table, columns = feature_table(ctx, spec, horizon)
-        table = cut_lineage(table, "features")
+        table = vectors(*feature_table(ctx, spec, horizon))
         past = ahead = None
         if spec.factor or spec.regional:
             past, ahead = (cut_lineage(x, "factor") for x in fold_factor(ctx, {horizon: folds}, spec.regional))
-        for fold in folds:
+        for fold, found in zip(folds, fit_predict(ctx, spec, table, folds, config, past, ahead)):
             rows = fold_rows(scored, fold_array({horizon: [fold]})).withColumn("model", F.lit(name))
-            try:
-                predicted = fit_predict(ctx, spec, table, columns, fold, config, past, ahead)
-            except (ValueError, RuntimeError) as exc:
-                reason = f"{type(exc).__name__}: {exc}"[:120]
+            if isinstance(found, Exception):
+                reason = f"{type(found).__name__}: {found}"[:120]
                 parts.append(score_rows(rows.withColumn("forecast", F.lit(None).cast("array<double>")).withColumn("error", F.lit(reason))))
                 continue
-            packed = predicted.groupBy("series_id").agg(
+            packed = found.groupBy("series_id").agg(
                 F.transform(F.sort_array(F.collect_list(F.struct("step", "forecast"))), lambda x: x["forecast"]).alias("forecast"))
             joined = rows.join(packed, "series_id", "left").withColumn("error", F.lit(None).cast("string"))
             parts.append(score_rows(joined))

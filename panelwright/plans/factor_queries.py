@@ -435,7 +435,8 @@ def pretrain(spark, sf):
 
 # --- forward and serving --------------------------------------------------------------
 
-FORWARD = ForwardConfig()
+# closed forms, so that SQL can check the rows; plans/tree_queries.py has the forecast with the panel learner
+FORWARD = ForwardConfig(recommended=((1, "seasonal_drift"), (3, "seasonal_drift"), (6, "seasonal_drift"), (12, "two_stage")))
 FWDF = "fplan(horizon) AS (VALUES (1), (3), (6), (12)), folds AS (SELECT horizon, 0 AS fold, 79 AS train_end FROM fplan)"
 LONGCUT = LONG.replace("FROM agg UNION ALL", f"FROM agg WHERE month <= {O.LAST} UNION ALL")
 FWD = O.TOTAL_CLEAN + "," + LONGCUT + "," + chosen(HZ) + "," + staged(folds=FWDF) + f""",

@@ -152,6 +152,6 @@ class BenchConfig:
 @dataclass(frozen=True)
 class ForwardConfig:
     horizons: tuple[int, ...] = (1, 3, 6, 12)
-    recommended: tuple[tuple[int, str], ...] = ((1, "seasonal_drift"), (3, "seasonal_drift"), (6, "seasonal_drift"), (12, "two_stage"))
+    recommended: tuple[tuple[int, str], ...] = ((1, "panel_trees_cat"), (3, "panel_trees_cat"), (6, "panel_trees_cat"), (12, "two_stage"))
     comparison: str = "two_stage"
     known_aggregate: str = "two_stage_known"
