@@ -56,10 +56,3 @@ def check_same_panel(stored: DataFrame, fresh: DataFrame, what: str = "batch", b
     if problems:
         text = "; ".join(f"{p['problem']}: {p['n']}" for p in sorted(problems, key=lambda p: p["problem"]))
         raise ValueError(f"the {what} does not match the stored table: {text}; nothing was written")
-
-
-def leakage(full: DataFrame, cut: DataFrame) -> DataFrame:
-    """Rows that differ between a run on the full history and a run on the history cut at the origin."""
-    a = full.exceptAll(cut).select(F.lit("full").alias("run"))
-    b = cut.exceptAll(full).select(F.lit("cut").alias("run"))
-    return a.unionByName(b).groupBy("run").agg(F.count(F.lit(1)).alias("n"))

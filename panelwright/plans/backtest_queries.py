@@ -438,22 +438,6 @@ def panel_differences(spark, sf):
     return guard.panel_differences(stored, fresh)
 
 
-@query("fold_7_leakage_check", f"""WITH {FC}
-SELECT model, fold, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differ FROM (SELECT DISTINCT model, horizon, fold, series_id FROM fc) WHERE horizon = 3 GROUP BY 1, 2""")
-def leakage(spark, sf):
-    """Forecasts on the full history against forecasts on a history cut at each origin."""
-    rows = backtest.fold_rows(I.category_arrays(spark, sf), I.folds())
-    full = backtest.forecast_series(rows, I.MODELS)
-    spoiled = rows.withColumn("y", F.transform("y", lambda v, i: F.when(i >= F.col("train_end"), v * 1000).otherwise(v)))
-    cut = backtest.forecast_series(spoiled.withColumn("train", F.slice("y", 1, F.col("train_end"))), I.MODELS)
-    keys = ["model", "fold", "series_id"]
-    joined = full.where(F.col("error").isNull()).select(*keys, "forecast").join(
-        cut.select(*keys, F.col("forecast").alias("again")), keys)
-    return joined.groupBy("model", "fold").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(~F.col("forecast").eqNullSafe(F.col("again")), 1)).alias("n_differ"))
-
-
 def _batch(scores, model):
     return scores.where(F.col("model") == model).withColumn("mae", F.col("mae") + 1)
 
@@ -461,8 +445,11 @@ def _batch(scores, model):
 @query("snk_3_upsert_by_model", f"""WITH {S}
 SELECT model, fold, series_id, {r("CASE WHEN model = 'drift' THEN mae + 1 ELSE mae END")} AS mae, error FROM scores""")
 def upsert_model(spark, sf):
+    """A batch merged into the stored table: its folders are written, checked and made current at once."""
     stored = I.score_table(spark, sf)
-    out = sinks.upsert(stored, _batch(stored, "drift"), ["model"])
+    table = sinks.ResultTable(spark, work_path(spark, "results"))
+    table.merge(stored)
+    out = table.merge(_batch(stored, "drift"))
     return rounded(out.select("model", "fold", "series_id", "mae", "error"))
 
 
@@ -473,7 +460,9 @@ def upsert_horizon(spark, sf):
     stored = I.horizon_score_table(spark, sf)
     fresh = _batch(stored, "drift").where(F.col("horizon") == 3)
     cleared = stored.select("model", "horizon").distinct().where((F.col("model") == "naive_last") & (F.col("horizon") == 12))
-    out = sinks.upsert(stored, fresh, ["model", "horizon"], explicit=cleared)
+    table = sinks.ResultTable(spark, work_path(spark, "results"), ["model", "horizon"])
+    table.merge(stored)
+    out = table.merge(fresh, explicit=cleared)
     return rounded(out.select("model", "horizon", "fold", "series_id", "mae"), 7)
 
 
