@@ -252,7 +252,8 @@ def _found(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     met_nodes = met.select("node").distinct()
     marks = cut_lineage(groups.join(met_nodes, "node", "left_semi").select("node", "n", "signature", "head"), "marks")
     heads = marks.select("node", F.col("head.doc_id").alias("doc_id"), F.col("head.mark").alias("mark"))
-    texts = docs.withColumn("mark", text_mark()).join(heads, ["doc_id", "mark"]).select("node", "text")
+    # heads grow with the documents: never broadcast, however few they are today
+    texts = docs.withColumn("mark", text_mark()).join(heads.hint("merge"), ["doc_id", "mark"]).select("node", "text")
     sets = cut_lineage(shingle_sets(texts).dropDuplicates(["node"]), "sets")
 
     nodes = met_nodes.select("node", F.col("node").alias("component"))
