@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     key = ["doc_id", "__mark"]
     kept = neardup.survivors(docs, percent=80).withColumnRenamed("mark", "__mark")
-    once = docs.withColumn("__mark", neardup.text_mark()).join(kept, key, "left_semi")
+    once = docs.withColumn("__mark", neardup.text_mark()).join(kept.hint("merge"), key, "left_semi")  # grows with the documents: never broadcast
     return once.dropDuplicates(key).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
