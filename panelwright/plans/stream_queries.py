@@ -4,11 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.plans import inputs as I, oracle as O
-from panelwright.plans.break_queries import CLEANONLY, LIVE, with_sql
+from panelwright.plans.break_queries import CLEANONLY, EVENTS, LIVE, with_sql
 from panelwright.plans.oracle import r
-from panelwright.plans.registry import query
+from panelwright.plans.registry import ORACLES, query
 from panelwright.plans.rounding import rounded
-from panelwright.session import work_path
+from panelwright.session import cut_lineage, work_path
 from panelwright.streaming import jobs
 
 
@@ -26,40 +26,58 @@ def rollup(spark, sf):
 
 
 def points(spark, sf):
-    """The cleaned panel as ``key, t, value``, in two stages by month."""
-    rows = I.total_clean(spark, sf).select(F.col("series_id").alias("key"), "t", F.col("y").alias("value"))
+    """The cleaned panel as ``key, ts, t, value``, as it might arrive: two parts by month, then a heartbeat.
+
+    One month comes late, after the month that follows it; another comes twice.
+    """
+    rows = I.total_clean(spark, sf).select(
+        F.col("series_id").alias("key"), I.CALENDAR.month_at(F.col("t")).cast("timestamp").alias("ts"), F.col("t").cast("int").alias("t"), F.col("y").alias("value"))
+    rows = cut_lineage(rows, "points")
     middle = I.CALENDAR.n_months // 2
-    return [rows.where(F.col("t") < middle), rows.where(F.col("t") >= middle)]
+    early = (F.col("t") <= middle) & (F.col("t") != middle - 1)
+    again = rows.where(F.col("t") == middle - 3).withColumn("value", F.col("value") * 7)
+    return [rows.where(early), rows.where(~early).unionByName(again), jobs.heartbeat(rows)]
 
 
-def _replayed(spark, sf, name, job):
+def _replayed(spark, sf, name, job, kind):
     path = work_path(spark, name)
     jobs.replay(spark, points(spark, sf), path + "-source", lambda s: jobs.run_available(job(s), path, path + "-state"))
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).where(F.col("kind") == kind)
 
 
 @query("str_2_online_cusum", with_sql(CLEANONLY, "SELECT series_id AS key, CAST(a AS INTEGER) AS alarm FROM alarm JOIN cids USING (cid) WHERE mode = 'raw'"))
 def online_cusum(spark, sf):
-    return _replayed(spark, sf, "cusum", jobs.online_cusum)
+    return _replayed(spark, sf, "cusum", jobs.online_cusum, "alarm").select("key", F.col("t").alias("alarm"))
 
 
 @query("str_3_live_episodes", with_sql(LIVE, "SELECT series_id AS key, t FROM ep"))
 def live_episodes(spark, sf):
-    return _replayed(spark, sf, "episodes", lambda s: jobs.live_episodes(s, "cusum", "raw"))
+    return _replayed(spark, sf, "episodes", lambda s: jobs.live_episodes(s, "cusum", "raw"), "start").select("key", "t")
 
 
 @query("str_3_live_episodes_pelt")
 def live_episodes_pelt(spark, sf):
-    return _replayed(spark, sf, "episodes-pelt", lambda s: jobs.live_episodes(s, "pelt", "ratio", 1.0))
+    return _replayed(spark, sf, "episodes-pelt", lambda s: jobs.live_episodes(s, "pelt", "ratio", 1.0), "start").select("key", "t")
 
 
-@query("str_4_online_shares", with_sql(LIVE, f"SELECT t, n_signals, {r('share')} AS share, share >= 3 AS crossed FROM mon WHERE n_signals > 0"))
-def online_shares(spark, sf):
+def _folded(spark, sf):
+    """Folder of the month counts and event windows of a stream that has ended."""
     path = work_path(spark, "shares")
     jobs.replay(spark, points(spark, sf), path + "-source",
-                lambda s: jobs.month_counts(jobs.live_episodes(s, "cusum", "raw"), path, path + "-state"))
+                lambda s: jobs.month_counts(jobs.live_episodes(s, "cusum", "raw"), path, path + "-state", EVENTS))
     total = I.total_arrays(spark, sf).agg(F.count(F.lit(1)).alias("n_series"))
-    return rounded(jobs.online_shares(spark.read.parquet(path).select("t", "n_signals"), total, 3.0))
+    return path, jobs.online_shares(spark, path, total, I.CALENDAR, 3.0)
+
+
+@query("str_4_online_shares", with_sql(LIVE, f"SELECT t, n_signals, {r('share')} AS share, share >= 3 AS crossed FROM mon"))
+def online_shares(spark, sf):
+    return rounded(_folded(spark, sf)[1].select("t", "n_signals", "share", "crossed"))
+
+
+@query("str_4_online_events", ORACLES["cp_24_realtime_events"])
+def online_events(spark, sf):
+    path, shares = _folded(spark, sf)
+    return rounded(jobs.online_events(spark, path, shares, EVENTS, I.CALENDAR))
 
 
 # the rollup feeds the online detector: daily sums per user, then the first alarm
@@ -69,8 +87,9 @@ def online_cusum_events(spark, sf):
     schema = I.table(spark, sf, "events").schema
     events = jobs.read_stream(spark, sf, schema, glob="events.parquet")
     jobs.run_available(jobs.rollup(events, "user_id"), path, path + "-state")
-    daily = jobs.read_stream(spark, path, spark.read.parquet(path).schema)
-    rows = daily.select(F.col("key").cast("string").alias("key"), F.datediff("start", F.lit("2024-01-01")).alias("t"), F.col("total").alias("value"))
+    daily = spark.read.parquet(path).select(
+        F.col("key").cast("string").alias("key"), F.col("start").alias("ts"), F.datediff("start", F.lit("2024-01-01")).alias("t"), F.col("total").alias("value"))
     out = work_path(spark, "alarms")
-    jobs.run_available(jobs.online_cusum(rows), out, out + "-state")
-    return spark.read.parquet(out)
+    jobs.replay(spark, [daily, jobs.heartbeat(daily, delay=1)], out + "-source",
+                lambda s: jobs.run_available(jobs.online_cusum(s, delay=1), out, out + "-state"))
+    return spark.read.parquet(out).where("kind = 'alarm'").select("key", F.col("t").alias("alarm"))

@@ -1,13 +1,17 @@
 """Structured Streaming: rollup, online CUSUM, live episodes, online month shares.
 
-Every job reads what is available, keeps its state in the checkpoint and can be started
-again on the same checkpoint. Rows of one key must arrive in time order across batches;
-inside a batch they are sorted here. Rows older than the watermark are dropped.
+Every job reads what is available, keeps its state in the checkpoint and can be started again on the
+same checkpoint. Points of a key are taken in event time, not in the order of arrival: they wait in the
+state until the watermark has passed them. A point that comes after its place has been passed is not
+taken but told (``late``), and so is a second point of one place (``duplicate``); points older than the delay and the
+``grace`` together are dropped by Spark and counted in its progress. Rows of the key :data:`HEARTBEAT` only move the event
+time on, so that the last points of a quiet source are released too.
 """
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,9 +20,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # names, not the module: the functions below travel to the workers by value
 from panelwright.operators.detectors import BASELINE, MIN_HISTORY, MIN_SIZE, OFFSET, RECENT, breaks
+from panelwright.protocol import Calendar
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+HEARTBEAT = ""
+DAY = 86_400_000
+#: A point may come so many days after later ones and be put in its place; it is told as late for so many more.
+DELAY, GRACE = 35, 366
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, glob: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -51,7 +61,52 @@ def rollup(events: DataFrame, key: str, window: str = "1 day", delay: str = "1 h
     )
 
 
+WAITING = "last int, wait_t array<int>, wait_ms array<bigint>, wait_v array<double>"
+Advance = Callable[[tuple, int, float], tuple[tuple, list[int]]]
+
+
+def in_event_time(points: DataFrame, start: tuple, own_state: str, advance: Advance, kind: str, delay: int, grace: int) -> DataFrame:
+    """``key, kind, t``: what ``advance`` tells, point by point in event time; late and duplicate points too.
+
+    ``points`` has ``key string, ts timestamp, t int, value double``; ``t`` grows with ``ts``. The state of a
+    key holds the waiting points, which the delay bounds, and ``own_state``.
+    """
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if key[0] == HEARTBEAT:
+            for _ in batches:
+                pass
+            return
+        found = state.get if state.exists else (*start, -(1 << 31), [], [], [])
+        own, last = found[: len(start)], found[-4]
+        waiting = {t: (ms, v) for t, ms, v in zip(*found[-3:])}
+        out: list[tuple[str, int]] = []
+        for batch in batches:
+            for ts, t, value in zip(batch["ts"], batch["t"], batch["value"]):
+                t = int(t)
+                if t <= last:
+                    out.append(("late", t))
+                elif t in waiting:
+                    out.append(("duplicate", t))
+                else:
+                    waiting[t] = (ts.value // 1_000_000, float(value))
+        passed = state.getCurrentWatermarkMs() + grace * DAY
+        for t in sorted(t for t, (ms, _) in waiting.items() if ms <= passed):
+            own, told = advance(own, t, waiting.pop(t)[1])
+            out += [(kind, x) for x in told]
+            last = t
+        left = sorted(waiting)
+        state.update((*own, int(last), left, [waiting[t][0] for t in left], [waiting[t][1] for t in left]))
+        if left:
+            state.setTimeoutTimestamp(max(min(ms for ms, _ in waiting.values()) - grace * DAY - 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({"key": [key[0]] * len(out), "kind": [k for k, _ in out], "t": pd.Series([t for _, t in out], dtype="int32")})
+
+    marked = points.select("key", "ts", "t", "value").withWatermark("ts", f"{delay + grace} days")
+    return marked.groupBy("key").applyInPandasWithState(step, "key string, kind string, t int", f"{own_state}, {WAITING}", "append", "EventTimeTimeout")
+
+
 CUSUM_STATE = "seen int, buffer array<double>, mu double, sigma double, pos double, neg double, alarm int"
+CUSUM_START = (0, [], 0.0, 1.0, 0.0, 0.0, -1)
 
 
 def _baseline(values: list[float]) -> tuple[float, float]:
@@ -62,120 +117,150 @@ def _baseline(values: list[float]) -> tuple[float, float]:
     return mu, 1.4826 * mad if mad > 0 else (spread if spread > 0 else 1.0)
 
 
-def online_cusum(points: DataFrame, threshold: float = 5.0, baseline: int = BASELINE) -> DataFrame:
-    """First alarm per key. State: the baseline points, then level, scale and the two sums.
+def cusum_step(own: tuple, t: int, value: float, threshold: float, baseline: int) -> tuple:
+    """The running sums after one more point; ``alarm`` is the place of the first alarm, or -1."""
+    seen, buffer, mu, sigma, pos, neg, alarm = own
+    if seen < baseline:
+        buffer = [*buffer, float(value)]
+        if len(buffer) == baseline:
+            mu, sigma = _baseline(buffer)
+    elif alarm < 0:
+        pos = max(0.0, pos + (value - mu) - 0.5 * sigma)
+        neg = min(0.0, neg + (value - mu) + 0.5 * sigma)
+        if pos > threshold * sigma or -neg > threshold * sigma:
+            alarm = int(t)
+    return int(seen) + 1, list(buffer), float(mu), float(sigma), float(pos), float(neg), int(alarm)
 
-    ``points`` has ``key string, t int, value double``; the alarm is emitted once.
-    """
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, buffer, mu, sigma, pos, neg, alarm = state.get if state.exists else (0, [], 0.0, 1.0, 0.0, 0.0, -1)
-        buffer = list(buffer)
-        fresh = pd.concat(list(batches)).sort_values("t")
-        found = []
-        for t, value in zip(fresh["t"], fresh["value"]):
-            if seen < baseline:
-                buffer.append(float(value))
-                if len(buffer) == baseline:
-                    mu, sigma = _baseline(buffer)
-            elif alarm < 0:
-                pos = max(0.0, pos + (value - mu) - 0.5 * sigma)
-                neg = min(0.0, neg + (value - mu) + 0.5 * sigma)
-                if pos > threshold * sigma or -neg > threshold * sigma:
-                    alarm = int(t)
-                    found.append(alarm)
-            seen += 1
-        state.update((int(seen), buffer, float(mu), float(sigma), float(pos), float(neg), int(alarm)))
-        yield pd.DataFrame({"key": [key[0]] * len(found), "alarm": pd.Series(found, dtype="int32")})
-
-    return points.groupBy("key").applyInPandasWithState(step, "key string, alarm int", CUSUM_STATE, "append", "NoTimeout")
-
-
-EPISODE_STATE = "y array<double>, last int"
-
-
-def _transform(y: np.ndarray, mode: str) -> np.ndarray:
+def online_cusum(points: DataFrame, threshold: float = 5.0, baseline: int = BASELINE, delay: int = DELAY, grace: int = GRACE) -> DataFrame:
+    """First alarm per key (kind ``alarm``), once there are two points beyond the baseline; the cost of a point is constant."""
+
+    def advance(own: tuple, t: int, value: float) -> tuple[tuple, list[int]]:
+        before = own[-1] if own[0] >= baseline + 2 else -1
+        own = cusum_step(own, t, value, threshold, baseline)
+        return own, [own[-1]] if own[-1] >= 0 and before < 0 and own[0] >= baseline + 2 else []
+
+    return in_event_time(points, CUSUM_START, CUSUM_STATE, advance, "alarm", delay, grace)
+
+
+def _growth(previous: tuple[int, float] | None, t: int, value: float, mode: str) -> float | None:
+    """The detector's value of a month; None where it needs the month before and that is missing."""
     if mode == "raw":
-        return y
+        return value
     if mode != "ratio":
         raise KeyError(f"unknown streaming mode {mode!r}; known: raw, ratio")
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(np.diff(y) / y[:-1], nan=0.0, posinf=0.0, neginf=0.0)
-
-
-def _cusum_alarm(z: np.ndarray, threshold: float = 5.0) -> int | None:
-    if len(z) < BASELINE + 2:
+    if previous is None or previous[0] != t - 1:
         return None
-    mu, sigma = _baseline(list(z[: BASELINE]))
-    pos = neg = 0.0
-    for i in range(BASELINE, len(z)):
-        pos = max(0.0, pos + (z[i] - mu) - 0.5 * sigma)
-        neg = min(0.0, neg + (z[i] - mu) + 0.5 * sigma)
-        if pos > threshold * sigma or -neg > threshold * sigma:
-            return i
-    return None
+    grown = (value - previous[1]) / previous[1] if previous[1] else 0.0
+    return grown if np.isfinite(grown) else 0.0
 
 
-def _near_end(z: np.ndarray, t: int, offset: int, detector: str, penalty: float | None) -> bool:
-    """Does the window that ends at month ``t`` show a break within three months of its end?"""
-    part = z[: t + 1 - offset]
-    if detector == "cusum":
-        alarm = _cusum_alarm(part)
-        return alarm is not None and alarm + offset >= t - RECENT
-    if len(part) < 2 * MIN_SIZE:
-        return False
-    mask = breaks(detector, part[None, :], [penalty])
-    return bool(mask[0, 0, max(t - RECENT - offset, 0) :].any())
+EPISODE_STATE = f"{CUSUM_STATE}, z_t array<int>, z array<double>, y_t int, y double, flagged int"
+EPISODE_START = (*CUSUM_START, [], [], -(1 << 31), 0.0, -(1 << 31))
 
 
-def live_episodes(points: DataFrame, detector: str, mode: str, penalty: float | None = None) -> DataFrame:
-    """Episode starts of an expanding-window detector. State: the values so far and the last flag.
+def live_episodes(points: DataFrame, detector: str, mode: str, penalty: float | None = None, delay: int = DELAY, grace: int = GRACE) -> DataFrame:
+    """Episode starts (kind ``start``) of an expanding-window detector; ``t`` is the month's place in the calendar.
 
-    The state of a key grows with its months and nothing else.
+    A missing month stays missing: it moves no other month, and a mode that needs the month before has no
+    value after it. CUSUM goes on from its running sums; the segmentation detectors see all months so
+    far again, so their state and cost grow with the months of a key.
     """
-    offset = OFFSET[mode]
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        y, last = state.get if state.exists else ([], -1)
-        old = len(y)
-        y = [*y, *map(float, pd.concat(list(batches)).sort_values("t")["value"])]
-        z = _transform(np.asarray(y), mode)
-        starts = []
-        for t in range(max(old, MIN_HISTORY), len(y)):
-            if _near_end(z, t, offset, detector, penalty):
-                if last < 0 or t - last > RECENT:
-                    starts.append(t)
-                last = t
-        state.update((y, int(last)))
-        yield pd.DataFrame({"key": [key[0]] * len(starts), "t": pd.Series(starts, dtype="int32")})
-
-    return points.groupBy("key").applyInPandasWithState(step, "key string, t int", EPISODE_STATE, "append", "NoTimeout")
-
-
-def month_counts(episodes: DataFrame, path: str, checkpoint: str) -> None:
-    """Fold every batch of episode starts to counts per month.
-
-    A batch overwrites its own folder, so a batch replayed after a failure counts once.
+    _growth(None, 0, 0.0, mode)
+
+    def near_end(own: tuple, t: int) -> bool:
+        """Does the window that ends at month ``t`` show a break within three months of its end?"""
+        seen, alarm, z_t, z = own[0], own[6], own[7], own[8]
+        if detector == "cusum":
+            return seen >= BASELINE + 2 and 0 <= alarm and alarm >= t - RECENT
+        if len(z) < 2 * MIN_SIZE:
+            return False
+        mask = breaks(detector, np.asarray(z)[None, :], [penalty])
+        return bool(mask[0, 0, np.asarray(z_t) >= t - RECENT].any())
+
+    def advance(own: tuple, t: int, value: float) -> tuple[tuple, list[int]]:
+        sums, (z_t, z, y_t, y, flagged) = own[:7], own[7:]
+        grown = _growth(None if y_t < 0 else (y_t, y), t, value, mode)
+        if grown is not None:
+            if detector == "cusum":
+                sums = cusum_step(sums, t, grown, 5.0, BASELINE)
+            else:
+                z_t, z = [*z_t, t], [*z, float(grown)]
+        own = (*sums, list(z_t), list(z), int(t), float(value), int(flagged))
+        if t < MIN_HISTORY or not near_end(own, t):
+            return own, []
+        return (*own[:-1], int(t)), [t] if t - flagged > RECENT else []
+
+    return in_event_time(points, EPISODE_START, EPISODE_STATE, advance, "start", delay, grace)
+
+
+def month_counts(episodes: DataFrame, path: str, checkpoint: str, events: Sequence[int] = (), grace: int = GRACE) -> None:
+    """Fold every batch of episode starts to counts per month, and to series per event window.
+
+    A batch overwrites its own folder, so a batch replayed after a failure counts once. At the end the
+    event time that the run has passed is written beside the counts.
     """
+    ordered = sorted(events)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy("t").agg(F.count(F.lit(1)).alias("n_signals"))
-        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch = batch.where("kind = 'start'").persist()
+        batch.groupBy("t").agg(F.count(F.lit(1)).alias("n_signals")).write.mode("overwrite").parquet(f"{path}/months/batch={batch_id}")
+        if ordered:
+            spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for a, z in zip(ordered, [*ordered[1:], (1 << 31) - 1])])
+            inside = batch.select("key", "t", F.explode(spans).alias("w")).where("t >= w.a and t < w.z")
+            inside.select(F.col("w.a").alias("event_t"), "key").distinct().write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
+        batch.unpersist()
 
     query = (
         episodes.writeStream.foreachBatch(fold).outputMode("append").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    reached = max((p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in (p["eventTime"] or {})), default=None)
+    if reached is not None:
+        spark = episodes.sparkSession
+        passed = spark.createDataFrame([(reached,)], "ts string").select((F.to_timestamp("ts") + F.expr(f"interval {grace} days")).alias("passed"))
+        passed.write.parquet(f"{path}/progress/run={uuid.uuid4().hex}")
+
+
+def closed_months(spark: SparkSession, path: str, calendar: Calendar) -> DataFrame:
+    """The calendar joined to the progress of the stream: ``t, month`` of the months it has passed."""
+    passed = spark.read.parquet(f"{path}/progress").agg(F.max("passed").alias("passed"))
+    months = passed.select("passed", F.explode(F.sequence(F.lit(0), F.lit(calendar.n_months - 1))).alias("t"))
+    return months.withColumn("month", calendar.month_at(F.col("t"))).where(F.col("month").cast("timestamp") <= F.col("passed")).select("t", "month")
 
 
-def online_shares(counts: DataFrame, n_series: DataFrame, threshold: float) -> DataFrame:
-    """Share per month from the folded counts, and whether it crossed the threshold."""
+def online_shares(spark: SparkSession, path: str, n_series: DataFrame, calendar: Calendar, threshold: float) -> DataFrame:
+    """Share per closed month from the folded counts, months without a start at zero, and whether it crossed the threshold."""
     from panelwright.functions.frames import with_scalars
 
-    monthly = counts.groupBy("t").agg(F.sum("n_signals").alias("n_signals"))
-    share = F.col("n_signals") / F.col("n_series") * 100
-    return with_scalars(monthly, n_series).select("t", "n_signals", share.alias("share"), (share >= threshold).alias("crossed"))
+    monthly = spark.read.parquet(f"{path}/months").groupBy("t").agg(F.sum("n_signals").alias("n_signals"))
+    every = with_scalars(closed_months(spark, path, calendar).join(monthly, "t", "left"), n_series)
+    n = F.coalesce("n_signals", F.lit(0).cast("bigint"))
+    share = n / F.when(F.col("n_series") > 0, F.col("n_series")) * 100
+    return every.select("t", "month", n.alias("n_signals"), "n_series", share.alias("share"), (share >= threshold).alias("crossed"))
+
+
+def online_events(spark: SparkSession, path: str, shares: DataFrame, events: Sequence[int], calendar: Calendar) -> DataFrame:
+    """Events whose window (to the next event) the stream has passed: first month over the threshold, delay, peak, series with any start."""
+    ordered = sorted(events)
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for a, z in zip(ordered, [*ordered[1:], calendar.n_months])])
+    windows = shares.select("t", "share", "crossed", "n_series", F.explode(spans).alias("w")).where("t >= w.a and t < w.z")
+    rows = windows.groupBy("w").agg(
+        F.min(F.when(F.col("crossed"), F.col("t"))).alias("crossed_t"), F.max("share").alias("max_share"), F.max("n_series").alias("n"), F.max("t").alias("reached"))
+    touched = spark.read.parquet(f"{path}/windows").groupBy("event_t").agg(F.count_distinct("key").alias("k"))
+    # a window is told when its last month is closed
+    closed = rows.where("reached = w.z - 1").join(touched, F.col("w.a") == F.col("event_t"), "left")
+    return closed.select(
+        calendar.month_at(F.col("w.a")).alias("event"), calendar.month_at(F.col("crossed_t")).alias("crossed_month"), (F.col("crossed_t") - F.col("w.a")).alias("delay"),
+        "max_share", (F.coalesce("k", F.lit(0)) / F.col("n") * 100).alias("share_in_window"))
+
+
+def heartbeat(points: DataFrame, delay: int = DELAY) -> DataFrame:
+    """One row that closes a source: the event time goes past its last point and the delay."""
+    last = points.agg(F.max("ts").alias("ts"), F.max("t").alias("t"))
+    return last.where("ts is not null").select(
+        F.lit(HEARTBEAT).alias("key"), (F.col("ts") + F.expr(f"interval {delay + 1} days")).alias("ts"), (F.col("t") + 1).alias("t"), F.lit(0.0).alias("value"))
 
 
 def replay(spark: SparkSession, parts: list[DataFrame], source: str, build: Callable[[DataFrame], None]) -> None:
