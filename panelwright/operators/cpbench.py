@@ -13,7 +13,6 @@ from panelwright.functions import arrays as A
 from panelwright.functions.frames import null_safe
 from panelwright.operators import detectors as D
 from panelwright.protocol import BenchConfig
-from panelwright.session import cut_lineage
 
 SETTING = ("detector", "mode", "penalty")
 CURVE = ("kind", "magnitude", "position")
@@ -60,8 +59,8 @@ def curves(sample: DataFrame, config: BenchConfig, partitions: int | None = None
     ]
     spread = sample.select("series_id", "ordinal", F.explode(F.array(*structs)).alias("c")).select("series_id", "ordinal", "c.*")
     if partitions is not None:
-        # the detectors are heavy per row and the rows are few: spread them by curve
-        spread = spread.repartition(partitions, "series_id", *CURVE)
+        # the detectors are heavy per row and the rows are few: spread them by series
+        spread = spread.repartition(partitions, "series_id")
     return spread
 
 
@@ -172,29 +171,22 @@ def calibrate_kernel(
 
 
 def score(flagged: DataFrame, max_delay: int | None, twin_rule: bool) -> DataFrame:
-    """Bench rows: clean alarms, detections, late and twin-vetoed signals."""
-    signal = F.get("months", F.lit(0))
-    rows = flagged.withColumn("signal", signal)
-    twins = rows.where(F.col("kind") == "none").select("series_id", *SETTING, F.col("months").alias("twin"))
-    clean = rows.where(F.col("kind") == "none").select(
-        *SETTING, "penalty_effective", *CURVE, "series_id", F.lit(False).alias("detected"), F.lit(None).cast("int").alias("delay"),
-        F.col("signal").isNotNull().alias("false_alarm"), "signal", "n_failed", F.lit(False).alias("twin_flag_at_signal"),
-        F.lit(False).alias("late"),
-    )
-    spoiled = null_safe(rows.where(F.col("kind") != "none"), twins, ["series_id", *SETTING])
+    """Bench rows: clean alarms, detections, late and twin-vetoed signals. One pass: a curve meets its untouched twin in a window."""
+    twins = Window.partitionBy("series_id", *SETTING)
+    spoiled = F.col("kind") != "none"
+    rows = flagged.withColumn("signal", F.get("months", F.lit(0))).withColumn("twin", F.max(F.when(~spoiled, F.col("months"))).over(twins))
     heard = F.col("signal").isNotNull()
-    after = heard & (F.col("signal") >= F.col("position"))
+    after = spoiled & heard & (F.col("signal") >= F.col("position"))
     late = after & (F.col("signal") - F.col("position") > max_delay) if max_delay is not None else F.lit(False)
-    twin = heard & F.coalesce(F.array_contains("twin", F.col("signal")), F.lit(False))
-    spoiled = spoiled.withColumn("late", late).withColumn("twin_flag_at_signal", twin)
+    twin = spoiled & heard & F.coalesce(F.array_contains("twin", F.col("signal")), F.lit(False))
+    rows = rows.withColumn("late", F.coalesce(late, F.lit(False))).withColumn("twin_flag_at_signal", twin)
     veto = F.col("twin_flag_at_signal") if twin_rule else F.lit(False)
-    hit = after & ~F.col("late") & ~veto
-    scored = spoiled.select(
-        *SETTING, "penalty_effective", *CURVE, "series_id", hit.alias("detected"),
-        F.when(hit, F.col("signal") - F.col("position")).alias("delay"),
-        (heard & (F.col("signal") < F.col("position"))).alias("false_alarm"), "signal", "n_failed", "twin_flag_at_signal", "late",
+    hit = F.coalesce(after, F.lit(False)) & ~F.col("late") & ~veto
+    early = F.when(spoiled, heard & (F.col("signal") < F.col("position"))).otherwise(heard)
+    return rows.select(
+        *SETTING, "penalty_effective", *CURVE, "series_id", hit.alias("detected"), F.when(hit, F.col("signal") - F.col("position")).alias("delay"),
+        F.coalesce(early, F.lit(False)).alias("false_alarm"), "signal", "n_failed", "twin_flag_at_signal", "late",
     )
-    return clean.unionByName(scored)
 
 
 def run_bench(
@@ -202,41 +194,41 @@ def run_bench(
 ) -> DataFrame:
     """Bench rows of every curve and setting.
 
-    The flags are the costly part and are read three times (twins, clean, spoiled), so they
-    are written once to the shared folder.
+    With ``partitions`` the curves of a series stay together, so the flags meet their twins where they were made.
     """
     rows = prepared(curves(sample, config, partitions), config.modes)
     flagged = flag_sets(rows, config.detectors, config.penalties, kernel_grid).drop("ordinal")
-    flagged = cut_lineage(flagged, "flags")
     return score(flagged, config.max_delay, config.twin_rule)
 
 
 def summarise(bench: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Detection, delay and clean alarms per setting; the empty penalty of CUSUM is a key too."""
+    """Detection, delay and clean alarms per setting; the empty penalty of CUSUM is a key too. The bench is read once."""
     key = [*SETTING, *by]
-    spoiled, clean = bench.where(F.col("kind") != "none"), bench.where(F.col("kind") == "none")
-    hit = F.col("detected")
+    spoiled, hit = F.col("kind") != "none", F.col("detected")
     after = F.col("signal").isNotNull() & (F.col("signal") >= F.col("position"))
     delays = F.when(hit, F.col("delay"))
+    zero = F.lit(0).cast("bigint")
     # a delay is at most max_delay or the series length, so the median state stays small
-    found = spoiled.groupBy(*key).agg(
-        (F.avg(hit.cast("double")) * 100).alias("detected_pct"),
+    found = bench.groupBy(*key).agg(
+        (F.avg(F.when(spoiled, hit.cast("double"))) * 100).alias("detected_pct"),
         F.median(delays).alias("delay_median"),
         F.avg(delays).alias("delay_mean"),
         (F.avg(F.when(hit, (F.col("delay") == 0).cast("double"))) * 100).alias("zero_delay_pct"),
-        F.count(F.lit(1)).alias("n_spoiled"),
-        F.sum("n_failed").alias("_fs"),
-        F.count(F.when(F.col("late"), 1)).alias("n_late"),
-        F.count(F.when(after & ~F.col("late") & ~hit, 1)).alias("n_twin_vetoed"),
-    )
-    alarms = clean.groupBy(*SETTING).agg(
-        (F.avg(F.col("false_alarm").cast("double")) * 100).alias("clean_alarms_pct"), F.count(F.lit(1)).alias("n_clean"),
-        F.sum("n_failed").alias("_fc"),
+        F.count(F.when(spoiled, 1)).alias("n_spoiled"),
+        F.count(F.when(spoiled & F.col("late"), 1)).alias("n_late"),
+        F.count(F.when(spoiled & after & ~F.col("late") & ~hit, 1)).alias("n_twin_vetoed"),
+        F.sum(F.when(spoiled, F.col("n_failed"))).alias("_fs"),
+        F.sum(F.when(~spoiled, F.col("n_failed"))).alias("_fc"),
+        F.count(F.when(~spoiled, 1)).alias("_clean"),
+        F.count(F.when(~spoiled & F.col("false_alarm"), 1)).alias("_alarms"),
     )
-    out = null_safe(found, alarms, list(SETTING))
-    return out.withColumn("youden_j", F.col("detected_pct") - F.col("clean_alarms_pct")).withColumn(
-        "n_clean", F.coalesce("n_clean", F.lit(0).cast("bigint"))
-    ).withColumn("n_failed", F.col("_fs") + F.coalesce("_fc", F.lit(0).cast("bigint"))).drop("_fs", "_fc")
+    # untouched curves belong to every group of their setting; here are a few rows per setting
+    setting = Window.partitionBy(*SETTING)
+    n_clean = F.sum("_clean").over(setting)
+    out = found.withColumns({
+        "clean_alarms_pct": F.when(n_clean > 0, F.sum("_alarms").over(setting) / n_clean * 100), "n_clean": n_clean, "_fc": F.coalesce(F.sum("_fc").over(setting), zero)})
+    out = out.where("n_spoiled > 0").withColumn("youden_j", F.col("detected_pct") - F.col("clean_alarms_pct"))
+    return out.withColumn("n_failed", F.col("_fs") + F.col("_fc")).drop("_fs", "_fc", "_clean", "_alarms")
 
 
 def select_penalty(summary: DataFrame) -> DataFrame:

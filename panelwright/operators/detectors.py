@@ -117,40 +117,59 @@ def _l2_cost(z: np.ndarray) -> np.ndarray:
     return np.where(size > 0, np.maximum(cost, 0.0), np.inf)
 
 
+def _squared_distances(z: np.ndarray) -> np.ndarray:
+    return (z[:, :, None] - z[:, None, :]) ** 2
+
+
 def _rbf_cost(z: np.ndarray) -> np.ndarray:
     """Kernel cost with the width set by the median squared distance."""
-    n = z.shape[1]
-    d = (z[:, :, None] - z[:, None, :]) ** 2
-    upper = d[:, *np.triu_indices(n, 1)]
-    middle = np.median(upper, axis=1)
+    return _kernel_cost(_squared_distances(z))
+
+
+def _kernel_cost(d: np.ndarray) -> np.ndarray:
+    """The same from squared distances of the points."""
+    n = d.shape[1]
+    middle = np.median(d[:, *np.triu_indices(n, 1)], axis=1)
     gamma = np.where(middle > 0, 1.0 / np.where(middle > 0, middle, 1.0), 1.0)
-    gram = np.exp(-np.clip(gamma[:, None, None] * d, 1e-2, 1e2))
-    block = np.zeros((len(z), n + 1, n + 1))
+    gram = gamma[:, None, None] * d
+    np.clip(gram, 1e-2, 1e2, out=gram)
+    np.exp(np.negative(gram, out=gram), out=gram)
+    trace = np.concatenate([np.zeros((len(d), 1)), np.einsum("bii->bi", gram).cumsum(1)], axis=1)
+    block = np.zeros((len(d), n + 1, n + 1))
     block[:, 1:, 1:] = gram.cumsum(1).cumsum(2)
-    corner = np.einsum("bii->bi", block)
-    trace = np.concatenate([np.zeros((len(z), 1)), np.einsum("bii->bi", gram).cumsum(1)], axis=1)
-    inside = corner[:, None, :] - block - np.swapaxes(block, 1, 2) + corner[:, :, None]
+    corner = np.einsum("bii->bi", block).copy()
+    block *= -2.0  # the kernel is symmetric, and so are its sums
+    block += corner[:, None, :] + corner[:, :, None]
     size = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        cost = trace[:, None, :] - trace[:, :, None] - inside / size
-    return np.where(size > 0, cost, np.inf)
+        block /= size
+        np.subtract(trace[:, None, :] - trace[:, :, None], block, out=block)
+    block[:, size <= 0] = np.inf
+    return block
 
 
 # --- detectors: (cost, penalty rows x penalties, length) -> mask of breaks (rows, penalties, length) ---
 
 
-def _optimal(cost: np.ndarray, pen: np.ndarray, n: int) -> np.ndarray:
-    """Exact penalised partition by dynamic programming."""
+def _partition(cost: np.ndarray, pen: np.ndarray, n: int) -> np.ndarray:
+    """Where the last segment of the cheapest penalised partition of each prefix starts: ``(rows, penalties, n + 1)``."""
     rows, k = pen.shape
     best = np.full((rows, k, n + 1), np.inf)
     back = np.zeros((rows, k, n + 1), dtype=int)
     best[:, :, 0] = -pen
     for j in range(MIN_SIZE, n + 1):
-        starts = np.array([0, *range(MIN_SIZE, j - MIN_SIZE + 1)])
-        value = best[:, :, starts] + cost[:, None, starts, j] + pen[:, :, None]
+        m = max(j - MIN_SIZE, 0) + 1  # starts too near to 0 cost infinity
+        value = best[:, :, :m] + cost[:, None, :m, j]
         pick = value.argmin(2)
-        best[:, :, j] = np.take_along_axis(value, pick[:, :, None], 2)[:, :, 0]
-        back[:, :, j] = starts[pick]
+        best[:, :, j] = np.take_along_axis(value, pick[:, :, None], 2)[:, :, 0] + pen
+        back[:, :, j] = pick
+    return back
+
+
+def _optimal(cost: np.ndarray, pen: np.ndarray, n: int) -> np.ndarray:
+    """Exact penalised partition by dynamic programming."""
+    rows, k = pen.shape
+    back = _partition(cost, pen, n)
     mask = np.zeros((rows, k, n + 1), dtype=bool)
     at = back[:, :, n].copy()
     r, p = np.indices((rows, k))
@@ -161,24 +180,29 @@ def _optimal(cost: np.ndarray, pen: np.ndarray, n: int) -> np.ndarray:
 
 
 def _binary(cost: np.ndarray, pen: np.ndarray, n: int) -> np.ndarray:
-    """Greedy halving: every segment whose best split gains more than the penalty is split."""
+    """Greedy halving: every segment whose best split gains more than the penalty is split.
+
+    Where a segment is split doesn't depend on the penalty, only whether it is, so all rows and
+    penalties go down the same halvings level by level.
+    """
     rows, k = pen.shape
     mask = np.zeros((rows, k, n), dtype=bool)
-    todo = [(b, p, 0, n) for b in range(rows) for p in range(k)]
-    found: dict[tuple[int, int, int], tuple[int, float]] = {}
-    while todo:
-        b, p, i, j = todo.pop()
-        if j - i < 2 * MIN_SIZE:
-            continue
-        if (b, i, j) not in found:
-            splits = np.arange(i + MIN_SIZE, j - MIN_SIZE + 1)
-            gain = cost[b, i, j] - cost[b, i, splits] - cost[b, splits, j]
-            found[b, i, j] = (int(splits[gain.argmax()]), float(gain.max()))
-        at, gain = found[b, i, j]
-        if gain > pen[b, p]:
-            mask[b, p, at] = True
-            todo += [(b, p, i, at), (b, p, at, j)]
-    return mask
+    spots, each = np.arange(n + 1), np.arange(k)
+    row, low, high, there = np.arange(rows), np.zeros(rows, dtype=int), np.full(rows, n), np.ones((rows, k), dtype=bool)
+    while True:
+        long = high - low >= 2 * MIN_SIZE
+        row, low, high, there = row[long], low[long], high[long], there[long]
+        if not len(row):
+            return mask
+        inside = (spots >= (low + MIN_SIZE)[:, None]) & (spots <= (high - MIN_SIZE)[:, None])
+        with np.errstate(invalid="ignore"):
+            gain = np.where(inside, cost[row, low, high][:, None] - cost[row, low] - cost[row, :, high], -np.inf)
+        at = gain.argmax(1)
+        there = there & (gain[np.arange(len(at)), at][:, None] > pen[row])
+        mask[row[:, None], each[None, :], at[:, None]] |= there
+        split = there.any(1)
+        row, low, high, at, there = row[split], low[split], high[split], at[split], there[split]
+        row, low, high, there = np.concatenate([row, row]), np.concatenate([low, at]), np.concatenate([at, high]), np.concatenate([there, there])
 
 
 def _around(accepted: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,15 +293,21 @@ def flags(detector: str, z: np.ndarray, penalties: Sequence[float], offset: int,
     rows, n = z.shape
     out = np.zeros((rows, len(penalties), n + offset), dtype=bool)
     pen = np.broadcast_to(np.asarray(penalties, dtype=float), (rows, len(penalties)))
-    full = None if detector == "kernel_rbf" else _l2_cost(z)
+    full = _squared_distances(z) if detector == "kernel_rbf" else _l2_cost(z)
     for t in range(MIN_HISTORY, n + offset):
         size = t + 1 - offset
-        part = z[:, :size]
-        if full is None:
-            mask = _optimal(_rbf_cost(part), pen, size)
+        recent = max(t - RECENT - offset, 0)
+        if detector == "kernel_rbf":
+            last = _partition(_kernel_cost(full[:, :size, :size]), pen, size)[:, :, size]
+            out[:, :, t] = (last > 0) & (last >= recent)  # no break is later than the last one
         else:
-            mask = SEGMENTERS[detector](full[:, : size + 1, : size + 1], pen * part.var(1)[:, None], size)
-        out[:, :, t] = mask[:, :, max(t - RECENT - offset, 0) :].any(2)
+            part = full[:, : size + 1, : size + 1]
+            scaled = pen * z[:, :size].var(1)[:, None]
+            if detector == "pelt":
+                last = _partition(part, scaled, size)[:, :, size]
+                out[:, :, t] = (last > 0) & (last >= recent)
+            else:
+                out[:, :, t] = SEGMENTERS[detector](part, scaled, size)[:, :, recent:].any(2)
         if first_only and out.any(2).all():
             break
     return out
