@@ -151,6 +151,21 @@ def realised_multipliers(federal: DataFrame, scale: DataFrame) -> DataFrame:
     )
 
 
+def realised_by_series(series: DataFrame, federal: DataFrame, scale: DataFrame, ratios: DataFrame) -> DataFrame:
+    """The same for every series, with the ratio of its region: ``exp(ratio x scale[step] x log_federal[t, step])``.
+
+    ``series``: ``series_id, region``. A series without a region, or whose region has no ratio, moves with ratio 1.
+    The moves are a few per fold, so they travel as one row and are spread over the series.
+    """
+    seen = federal.join(scale.select("horizon", "fold", "step", "scale"), "step")
+    moves = seen.groupBy("horizon", "fold").agg(F.collect_list(F.struct("t", "step", (F.col("scale") * F.col("log_federal")).alias("move"))).alias("moves"))
+    every = moves.agg(F.collect_list(F.struct("horizon", "fold", "moves")).alias("folds"))
+    spread = with_scalars(series.select("series_id", "region"), every).select("series_id", "region", F.inline("folds"))
+    own = spread.join(ratios.select("horizon", "fold", "region", "ratio"), ["horizon", "fold", "region"], "left")
+    return own.select("series_id", "horizon", "fold", F.coalesce("ratio", F.lit(1.0)).alias("ratio"), F.inline("moves")).select(
+        "series_id", "horizon", "fold", "t", "step", F.exp(F.coalesce(F.col("ratio") * F.col("move"), F.lit(0.0))).alias("multiplier"))
+
+
 def factor_report(scale: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
     out = scale.groupBy("horizon", "fold").agg(
         F.max("model").alias("model"),

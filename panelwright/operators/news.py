@@ -107,14 +107,25 @@ def reproduction_gap(fresh: DataFrame, stored: DataFrame, keys: Sequence[str], c
     )
 
 
+def misaligned(fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """``problem, n``: columns of another name or type, and rows that differ outside the topic dictionary; no rows: aligned."""
+    columns = sorted(set(fresh.dtypes) ^ set(stored.dtypes))
+    spark = fresh.sparkSession
+    if columns or fresh.columns != stored.columns:
+        return spark.createDataFrame([("columns", len({c for c, _ in columns}))], "problem string, n long")
+    keys = [c for c in stored.columns if not c.startswith("t_")]
+    tagged = fresh.select(*keys, F.lit(1).alias("_s")).unionByName(stored.select(*keys, F.lit(-1).alias("_s")))
+    off = tagged.groupBy(*keys).agg(F.sum("_s").alias("_d")).where("_d <> 0")
+    side = F.when(F.col("_d") > 0, F.lit("rows only fresh")).otherwise(F.lit("rows only stored"))
+    return off.groupBy(side.alias("problem")).agg(F.sum(F.abs("_d")).alias("n"))
+
+
 def check_aligned(fresh: DataFrame, stored: DataFrame) -> None:
     """Column names and types must match, and so must every column that is not a topic."""
-    if fresh.dtypes != stored.dtypes:
-        different = sorted(set(fresh.dtypes) ^ set(stored.dtypes))
-        raise ValueError(f"columns differ from the stored table: {different or 'order'}; nothing was written")
-    keys = [c for c in stored.columns if not c.startswith("t_")]
-    if not fresh.select(*keys).exceptAll(stored.select(*keys)).isEmpty() or not stored.select(*keys).exceptAll(fresh.select(*keys)).isEmpty():
-        raise ValueError("columns outside the topic dictionary differ from the stored table; nothing was written")
+    problems = misaligned(fresh, stored).collect()  # at most two rows
+    if problems:
+        text = "; ".join(f"{p['problem']}: {p['n']}" for p in sorted(problems))
+        raise ValueError(f"the table is not aligned with the stored one: {text}; nothing was written")
 
 
 def sample_per_month(rows: DataFrame, key: str, per_month: int, seed: int) -> DataFrame:
@@ -126,27 +137,56 @@ def sample_per_month(rows: DataFrame, key: str, per_month: int, seed: int) -> Da
     return local.withColumn("_r", F.row_number().over(far)).where(F.col("_r") <= per_month).drop("_h", "_b", "_r")
 
 
+DATED = r"^https?://[^\"]*?/(\d{4})/(\d{2})/(\d{2})/"
+
+
+def _host(url: Column) -> Column:
+    return F.regexp_extract(url, r"^https?://([^/?#]*)", 1)
+
+
 def archive_links(pages: DataFrame, domain: str) -> DataFrame:
     """Dated article links of the wanted month of each page (``page_id, html, year, month``).
 
-    The title comes from an anchor with plain text, else from the slug. A link counts once
-    per page, and only on the given domain.
+    The title comes from the first anchor of the link with plain text, else from the slug. A link counts once
+    per page, and only on the given domain. Links and anchors meet as rows, so a page with many of both stays linear.
     """
     links = F.regexp_extract_all("html", F.lit(r'href="(https?://[^"]*?/\d{4}/\d{2}/\d{2}/[^"]+?)"'), F.lit(1))
     anchor = r'<a[^>]+href="([^"]+)"[^>]*>([^<]{15,300})</a>'
     urls = F.regexp_extract_all("html", F.lit(anchor), F.lit(1))
     titles = F.regexp_extract_all("html", F.lit(anchor), F.lit(2))
-    rows = pages.select(
-        "page_id", "year", "month", F.arrays_zip(urls.alias("u"), titles.alias("t")).alias("_a"), F.explode(F.array_distinct(links)).alias("url")
-    )
-    first = F.get(F.filter("_a", lambda a: a["u"] == F.col("url")), F.lit(0))["t"]
-    stamp = [F.regexp_extract("url", r"^https?://[^\"]*?/(\d{4})/(\d{2})/(\d{2})/", i) for i in (1, 2, 3)]
-    host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
-    out = rows.withColumn("_t", F.trim(first)).where(host.contains(domain) & (stamp[0].cast("int") == F.col("year")) & (stamp[1].cast("int") == F.col("month")))
+    entry = lambda url, title, link: F.struct(url.alias("url"), title.alias("t"), F.lit(link).alias("link"))
+    found = F.concat(
+        F.transform(F.array_distinct(links), lambda u: entry(u, F.lit(None).cast("string"), True)),
+        F.transform(F.arrays_zip(urls.alias("u"), titles.alias("t")), lambda a: entry(a["u"], a["t"], False)))
+    page = ["page_id", "year", "month", "page"]
+    rows = pages.select("page_id", "year", "month", F.xxhash64("html").alias("page"), F.posexplode(found).alias("i", "e"))
+    each = rows.groupBy(*page, "e.url").agg(F.max("e.link").alias("link"), F.min_by("e.t", F.when(~F.col("e.link"), F.col("i"))).alias("t")).where("link")
+    stamp = [F.regexp_extract("url", DATED, i) for i in (1, 2, 3)]
+    out = each.withColumn("_t", F.trim("t")).where(
+        _host(F.col("url")).contains(domain) & (stamp[0].cast("int") == F.col("year")) & (stamp[1].cast("int") == F.col("month")))
     title = F.when(F.length("_t") > 0, F.col("_t")).otherwise(T.title_from_slug(F.col("url")))
     return out.select("page_id", "url", title.alias("title"), F.concat_ws("-", *stamp).alias("date"))
 
 
+def sitemap_links(maps: DataFrame, domain: str) -> DataFrame:
+    """Article links of the wanted month of each sitemap (``page_id, xml, year, month``).
+
+    Each ``<url>`` block gives its ``<loc>``, dated by ``<lastmod>`` or else by the address; a block without
+    either is left out. An address counts once per map, by its first block of the month; the title comes from the slug.
+    """
+    blocks = F.regexp_extract_all("xml", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))
+    rows = maps.select("page_id", "year", "month", F.xxhash64("xml").alias("page"), F.posexplode(blocks).alias("i", "b"))
+    rows = rows.withColumn("url", F.regexp_extract("b", r"<loc>\s*(https?://[^<\s]+)\s*</loc>", 1)).where("url <> ''")
+    tag = r"<lastmod>\s*(\d{4})-(\d{2})-(\d{2})"
+    dated = F.regexp_extract("b", tag, 1) != ""
+    part = [F.when(dated, F.regexp_extract("b", tag, i)).otherwise(F.regexp_extract("url", DATED, i)) for i in (1, 2, 3)]
+    rows = rows.where(_host(F.col("url")).contains(domain)).select(
+        "page_id", "page", "year", "month", "url", "i", *[p.alias(n) for p, n in zip(part, ("_y", "_m", "_d"))])
+    here = rows.where((F.col("_y") != "") & (F.col("_y").cast("int") == F.col("year")) & (F.col("_m").cast("int") == F.col("month")))
+    first = here.groupBy("page_id", "page", "year", "month", "url").agg(F.min_by(F.concat_ws("-", "_y", "_m", "_d"), "i").alias("date"))
+    return first.select("page_id", "url", T.title_from_slug(F.col("url")).alias("title"), "date")
+
+
 def headline_vs_body(bodies: DataFrame, topics: Topics, budget: int, excluded_domain: str, compound: Sequence[str] | set[str] = T.COMPOUND_ROOTS) -> DataFrame:
     """Topic shares by headline and by headline with an equal budget of body text.
 

@@ -18,7 +18,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.util import inheritable_thread_target
 
-from panelwright.functions.frames import union_all, with_scalars
+from panelwright.functions.frames import union_all
 from panelwright.operators import factor, features as X, two_stage as TS
 from panelwright.operators.backtest import score_rows
 from panelwright.protocol import Calendar, Fold, fold_array
@@ -139,13 +139,8 @@ def fold_factor(ctx: PanelContext, plan: dict[int, Sequence[Fold]], regional: bo
         factor.median_log_ratios(ctx.arrays.join(regions, "series_id"), horizon, ("region",)), federal, folds), ("region",))
     members = ctx.arrays.join(regions, "series_id").groupBy("region").agg(F.count(F.lit(1)).alias("n_members"))
     ratios = cut_lineage(factor.regional_ratios(by_region, factor.pooled_slope(pairs), members, min_members=ctx.min_members), "ratios")
-    # a series without a region, or whose region has no ratio, moves with ratio 1 on both sides
     series = ctx.arrays.select("series_id").join(regions.select("series_id", "region"), "series_id", "left")
-    moves = seen.groupBy("fold").agg(F.collect_list(F.struct("t", "step", (F.col("scale") * F.col("log_federal")).alias("move"))).alias("moves"))
-    spread = with_scalars(series, moves.agg(F.collect_list(F.struct("fold", "moves")).alias("folds"))).select("series_id", "region", F.inline("folds"))
-    past = spread.join(ratios.select("fold", "region", "ratio"), ["fold", "region"], "left").select(
-        "series_id", "fold", F.coalesce("ratio", F.lit(1.0)).alias("ratio"), F.inline("moves")).select(
-        "series_id", "fold", "t", "step", F.exp(F.col("ratio") * F.col("move")).alias("multiplier"))
+    past = factor.realised_by_series(series, federal, scale, ratios).drop("horizon")
     ahead = factor.series_multipliers(series, scale, ratios)
     return past, ahead.select("series_id", "fold", "step", "multiplier")
 

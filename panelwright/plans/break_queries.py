@@ -275,6 +275,15 @@ def cusum_breaks(spark, sf):
     return R.offline_breaks(_series(spark, sf), "cusum", "ratio", [], I.CALENDAR)
 
 
+@query("fwd_10_document_breaks", with_sql(OFF, """SELECT c.series_id, string_agg(strftime(CAST(DATE '1995-01-01' + to_months(br.t) AS DATE), '%Y-%m'), ',' ORDER BY br.t) AS breaks
+FROM (SELECT DISTINCT series_id FROM clean) c LEFT JOIN br USING (series_id) GROUP BY 1"""))
+def document_breaks(spark, sf):
+    """The breaks that stand in the series documents; NULL for a series without one."""
+    from panelwright.plans.factor_queries import _documents
+
+    return _documents(spark, sf).select("series_id", F.array_join("breaks", ",").alias("breaks"))
+
+
 @query("cp_20_offline_breaks", with_sql(OFF, "SELECT series_id, t, CAST(DATE '1995-01-01' + to_months(t) AS DATE) AS month FROM br"))
 def offline(spark, sf):
     return cusum_breaks(spark, sf).drop("penalty")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import backtest, factor, features as X, longseries as L, metrics, serving, two_stage as TS
+from panelwright.operators import backtest, factor, features as X, longseries as L, metrics, realtime, serving, two_stage as TS
 from panelwright.plans import inputs as I, oracle as O
 from panelwright.plans.backtest_queries import summary_sql
 from panelwright.plans.oracle import r
@@ -221,6 +221,14 @@ def realised(spark, sf):
     return rounded(factor.realised_multipliers(_federal(spark, sf), _scale(spark, sf)))
 
 
+@query("cf_6_realised_by_series", f"""WITH {CFS}
+SELECT s.series_id, CAST(horizon AS INTEGER) AS horizon, fold, t, CAST(step AS INTEGER) AS step, {r('exp(coalesce(ratio, 1) * scale * lf)')} AS multiplier
+FROM (SELECT DISTINCT series_id FROM clean) s JOIN regions USING (series_id) CROSS JOIN scale JOIN fed USING (step) LEFT JOIN rr USING (horizon, fold, region)""")
+def realised_by_series(spark, sf):
+    series = _arrays(spark, sf).select("series_id").join(I.regions(spark, sf).select("series_id", "region"), "series_id")
+    return rounded(factor.realised_by_series(series, _federal(spark, sf), _scale(spark, sf), _ratios(spark, sf)))
+
+
 @query("cf_7_factor_report", f"""WITH {CFS}
 SELECT CAST(horizon AS INTEGER) AS horizon, fold, max(model) AS model, {r('max(explained)')} AS shrinkage, CAST(sum(n_pairs) AS BIGINT) AS n_pairs,
        {r('max(CASE WHEN step = 1 THEN elasticity END)')} AS elasticity_1, {r('max(CASE WHEN step = 3 THEN exp(scale * lfc) END)')} AS multiplier_3,
@@ -561,7 +569,8 @@ def total_scores(spark, sf):
 
 
 def _documents(spark, sf):
-    return serving.series_documents(_arrays(spark, sf), _stored_forward(spark, sf), total_scores(spark, sf), I.CALENDAR, FORWARD.horizons)
+    breaks = realtime.offline_breaks(_arrays(spark, sf), "cusum", "ratio", [], I.CALENDAR)
+    return serving.series_documents(_arrays(spark, sf), _stored_forward(spark, sf), total_scores(spark, sf), I.CALENDAR, FORWARD.horizons, breaks)
 
 
 @query("fwd_10_series_document", f"""WITH {BYSTEP}, {O.scores('clean').replace('folds AS', 'folds3 AS', 1).replace('FROM folds', 'FROM folds3').replace('folds f', 'folds3 f').replace('FROM folds3,', 'FROM folds3,')},

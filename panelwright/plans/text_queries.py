@@ -208,6 +208,17 @@ def reproduction_gap(spark, sf):
     return rounded(N.reproduction_gap(fresh, stored, ["month"], ["t_motion", "t_place"]))
 
 
+# a stored table with other topics is aligned; another intensity in one month and a missing month are not
+@query("txt_8_misaligned", f"""WITH {NATIONAL}, d AS (SELECT count(*) FILTER (WHERE month = DATE '2000-03-01') AS moved, count(*) FILTER (WHERE month = DATE '1999-08-01') AS gone FROM nat)
+SELECT * FROM (SELECT 'rows only fresh' AS problem, CAST(moved + gone AS BIGINT) AS n FROM d UNION ALL SELECT 'rows only stored', CAST(moved AS BIGINT) FROM d) WHERE n > 0""")
+def misaligned(spark, sf):
+    fresh = national(spark, sf)
+    topics = fresh.withColumn("t_motion", F.col("t_motion") + 1)
+    moved = F.when(F.col("month") == F.lit(date(2000, 3, 1)), F.col("intensity") + 1).otherwise(F.col("intensity"))
+    N.check_aligned(fresh, topics)
+    return N.misaligned(fresh, topics.where(F.col("month") != F.lit(FIRST)).withColumn("intensity", moved))
+
+
 @query("txt_9_sample_per_month", f"WITH {RAW} SELECT month, least(20, count(*)) AS n FROM heads GROUP BY 1")
 def sample_per_month(spark, sf):
     return N.sample_per_month(headlines(spark, sf), "url", 20, 20260920).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
@@ -243,6 +254,28 @@ def archive_links(spark, sf):
     return out
 
 
+# planted sitemaps: white space around an address, a date in the address only, a foreign domain, a second block of one
+# address with another date, a block without an address, and the page's own address
+SITEMAP = [
+    "'<urlset><url><loc> https://news.example.com/story-'", "page_id", "'-of_day </loc><lastmod>2024-0'", "page_id % 3 + 1", "'-1'", "page_id % 10",
+    "'T10:00</lastmod></url><url><loc>https://news.example.com/2024/01/0'", "page_id % 9 + 1", "'/dated-'", "page_id",
+    "'</loc></url><url><loc>https://other.example.org/x-'", "page_id", "'</loc><lastmod>2024-01-05</lastmod></url><url><loc>https://news.example.com/story-'", "page_id",
+    "'-of_day</loc><lastmod>2024-01-28</lastmod></url><url><lastmod>2024-01-01</lastmod></url><url><loc>'", "url", "'</loc><lastmod>2024-01-15</lastmod></url></urlset>'"]
+
+
+@query("txt_11_sitemap_links", f"""WITH x AS (SELECT page_id, concat({', '.join(SITEMAP)}) AS xml FROM pages),
+b AS (SELECT page_id, unnest(regexp_extract_all(xml, '(?s)<url>(.*?)</url>', 1)) AS b, generate_subscripts(regexp_extract_all(xml, '(?s)<url>(.*?)</url>', 1), 1) AS i FROM x),
+u AS (SELECT page_id, i, regexp_extract(b, '<loc>\\s*(https?://[^<\\s]+)\\s*</loc>', 1) AS url, regexp_extract(b, '<lastmod>\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS tag FROM b),
+d AS (SELECT page_id, i, url, CASE WHEN tag <> '' THEN tag ELSE replace(regexp_extract(url, '/(\\d{{4}}/\\d{{2}}/\\d{{2}})/', 1), '/', '-') END AS date FROM u
+  WHERE contains(regexp_extract(url, '^https?://([^/?#]*)', 1), 'example.com')),
+f AS (SELECT page_id, url, arg_min(date, i) AS date FROM d WHERE date LIKE '2024-01-%' GROUP BY 1, 2),
+k AS (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM f)
+SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(path, '/+$', ''), '([^/]*)$', 1), '\\d+$', ''), '[-_]+', ' ', 'g')) AS title, date FROM k""")
+def sitemap_links(spark, sf):
+    maps = I.table(spark, sf, "pages").select("page_id", F.expr(f"concat({', '.join(SITEMAP)})").alias("xml"), F.lit(2024).alias("year"), F.lit(1).alias("month"))
+    return N.sitemap_links(maps, "example.com")
+
+
 BODIES = """bodies AS (SELECT source AS domain, CAST(DATE '1999-08-01' + to_months(CAST(doc_id % 24 AS INTEGER)) AS DATE) AS month,
   regexp_extract(text, '^[^.]*', 0) AS title, text AS body FROM documents),
 cut AS (SELECT month, lower(title) AS ti, lower(title || ' ' || substring(body, 1, 1500)) AS bo FROM bodies WHERE domain <> 'src3' AND length(body) >= 1500)"""

@@ -83,3 +83,36 @@ def test_permutation_tests_see_a_signal(spark):
     weak = S.within_month_effect(df.drop("y").withColumnRenamed("z", "y"), "x", "y", n_permutations=200).first()
     assert strong["slope"] == pytest.approx(2, abs=0.1) and strong["p"] == pytest.approx(1 / 201)
     assert weak["p"] > 0.02
+
+
+def test_titles_of_links_come_from_the_first_anchor(spark):
+    from panelwright.operators import news as N
+
+    long = "a title of more than fifteen letters"
+    link = "https://news.example.com/2024/02/15/some-story-7"
+    html = f'<a href="{link}">{long} one</a> <a href="{link}">{long} two</a><a href="https://news.example.com/2024/02/16/other_story">short</a><a href="https://x.org/2024/02/15/foreign">{long}</a>'
+    pages = spark.createDataFrame([(1, html, 2024, 2), (2, html, 2024, 3), (3, None, 2024, 2), (4, "", 2024, 2)], "page_id long, html string, year int, month int")
+    rows = sorted(tuple(r) for r in N.archive_links(pages, "example.com").collect())
+    assert rows == [(1, link, f"{long} one", "2024-02-15"), (1, "https://news.example.com/2024/02/16/other_story", "other story", "2024-02-16")]
+
+
+def test_sitemap_blocks(spark):
+    from panelwright.operators import news as N
+
+    block = lambda loc, tag="": f"<url>\n<loc> {loc} </loc>{tag}</url>"
+    site = "https://example.com/"
+    xml = "<urlset>" + block(site + "a-b_c-12", "<lastmod> 2024-02-03T00:00</lastmod>") + block(site + "2024/02/09/dated") + block(site + "undated") + block(site + "twice", "<lastmod>2024-01-01</lastmod>") + block(
+        site + "twice", "<lastmod>2024-02-20</lastmod>") + block(site + "twice", "<lastmod>2024-02-21</lastmod>") + block("https://other.org/x", "<lastmod>2024-02-01</lastmod>") + "<url></url></urlset>"
+    maps = spark.createDataFrame([(1, xml, 2024, 2), (2, "no map", 2024, 2), (3, None, 2024, 2)], "page_id long, xml string, year int, month int")
+    rows = sorted(tuple(r) for r in N.sitemap_links(maps, "example.com").collect())
+    assert rows == [(1, site + "2024/02/09/dated", "dated", "2024-02-09"), (1, site + "a-b_c-12", "a b c", "2024-02-03"), (1, site + "twice", "twice", "2024-02-20")]
+
+
+def test_a_table_that_is_not_aligned_is_refused(spark):
+    from panelwright.operators import news as N
+
+    a = spark.createDataFrame([(1, 0.5, 0.1), (2, 0.25, 0.2)], "month int, intensity double, t_x double")
+    N.check_aligned(a, a.withColumn("t_x", F.col("t_x") + 1))
+    for other in (a.where("month = 1"), a.withColumn("intensity", F.col("intensity") + 1), a.drop("t_x"), a.withColumn("month", F.col("month").cast("long"))):
+        with pytest.raises(ValueError):
+            N.check_aligned(a, other)
