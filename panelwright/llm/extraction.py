@@ -4,11 +4,11 @@ A page is read once, tag by tag. Text between block-level tags is a block; inlin
 it. A block knows its number of words, its link density (share of characters inside links), the same
 two numbers of the blocks before and after it, whether it stands in a container of page furniture
 (navigation, header, footer, sidebar, form, advert, notice, comments, by element or by the words of
-its class, id or role), whether it stands in an article or main element, and whether its own element
+its class, id or role; half where the same name speaks of content too), whether it stands in an article or main element, and whether its own element
 is a paragraph or heading. A decision tree (Gini, grown here from ``LABELLED``) decides on these
 nine numbers. Blocks that stay are joined in page order by an empty line.
 
-Scripts, styles and comments of the markup are skipped whole; character references are decoded
+Scripts, styles, buttons, drawings, hidden elements and comments of the markup are skipped whole; character references are decoded
 once; white space in a block becomes one space. Nothing is dropped for its length.
 
 Rows: a null or empty page, or one without text, has an empty text; malformed or cut-off markup is
@@ -30,21 +30,31 @@ from panelwright.llm.common import with_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|textarea|title|select"
+RAW = "script|style|noscript|iframe|textarea|title"
+UNSHOWN = frozenset("svg math object template select button".split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({SKIPPED})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 CONTAINERS = frozenset("div section article main nav header footer aside form ul ol dl table body figure menu dialog fieldset blockquote details".split())
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog fieldset button".split())
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
-    r"sidebar|aside|widget|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
-    r"comments?|discussion|disqus|repl(?:y|ies)|respond|search|pagination|pager|toolbar|copyright|legal|disclaimer|skip|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
-NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FURNITURE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+# words of class and id: of furniture whatever stands beside them; of furniture unless a content word does; of content
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget "
+    "cookie cookies consent gdpr popup newsletter related recommended comment comments discussion disqus reply replies respond pagination pager "
+    "copyright complementary contentinfo".split())
+DOUBTFUL = frozenset(
+    "promo promotion banner header masthead notice alert modal overlay subscribe signup login share sharing social search toolbar legal disclaimer skip".split())
+CONTENT = frozenset("content article story post entry text body main".split())
+ROLES = frozenset("banner navigation complementary contentinfo search alert alertdialog dialog menu menubar toolbar".split())
+NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDDEN = re.compile(r"""(?<![\w-])(?:hidden(?![\w-])(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
+QUOTED = re.compile(r"""(?<![\w-])(?!(?:style|aria-hidden)\s*=)[\w:-]+\s*=\s*(?:"[^"]*"|'[^']*')""", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td figcaption".split())
 
 #: A small labelled table. Columns: words and link density of the block, of the one before, of the
@@ -69,6 +79,10 @@ LABELLED = [
     (2, 0, 3, 1, 5, 0.9, 0, 0, 0, 0), (6, 0, 4, 0.5, 3, 0, 0, 0, 0, 0), (8, 0.6, 5, 1, 4, 1, 0, 0, 0, 0), (4, 0, 5, 0, 6, 0, 0, 0, 0, 0),
     (5, 0, 0, 0, 3, 1, 0, 0, 0, 0), (10, 0, 3, 1, 8, 0, 0, 0, 0, 0), (12, 0, 8, 0, 0, 0, 0, 0, 0, 0), (8, 0, 120, 0, 0, 0, 0, 0, 0, 0),
     (3, 0, 90, 0, 1, 1, 0, 0, 0, 0),
+    (5, 0, 2, 1, 60, 0, 0.5, 0, 1, 1), (60, 0, 5, 0, 80, 0, 0.5, 0, 1, 1), (4, 0, 70, 0, 50, 0, 0.5, 0, 1, 1), (30, 0.1, 60, 0, 3, 1, 0.5, 0, 1, 1),
+    (15, 0, 40, 0, 0, 0, 0.5, 0, 1, 1), (90, 0, 3, 1, 4, 1, 0.5, 0, 0, 1), (45, 0.2, 80, 0, 20, 0, 0.5, 0, 0, 1), (20, 0, 5, 0, 6, 0, 0.5, 0, 1, 1),
+    (3, 0, 0, 0, 4, 0, 0.5, 0, 1, 0), (4, 0, 3, 0, 2, 1, 0.5, 0, 1, 0), (3, 1, 4, 1, 3, 1, 0.5, 0, 1, 0), (2, 1, 60, 0, 2, 1, 0.5, 0, 0, 0),
+    (12, 0.9, 5, 1, 6, 1, 0.5, 0, 1, 0), (4, 0, 2, 1, 3, 1, 0.5, 0, 0, 0), (5, 0, 1, 1, 0, 0, 0.5, 0, 0, 0), (3, 0.9, 50, 0, 70, 0, 0.5, 0, 1, 0),
 ]
 
 
@@ -77,60 +91,113 @@ class Block:
     text: str
     words: int
     links: float
-    furniture: bool
+    furniture: float
     article: bool
     paragraph: bool
 
 
+def mark(attributes: str, container: bool, heading: bool) -> float:
+    """1: named as page furniture; 0.5: named both so and as content; 0: neither.
+
+    A name is split at hyphens and underscores. A doubtful word counts only half beside a content
+    word (``post-header-content``, ``story share``), and not at all on a heading.
+    """
+    doubtful = content = False
+    for attribute, *values in NAMED.findall(attributes):
+        names = "".join(values).lower().split()
+        if attribute.lower() == "role" and not ROLES.isdisjoint(names):
+            return 1.0
+        for name in names:
+            words = re.split("[_-]+", name)
+            if not FURNITURE.isdisjoint(words):
+                return 1.0
+            doubtful |= not DOUBTFUL.isdisjoint(words)
+            content |= words[-1] in CONTENT
+    if not doubtful or heading:
+        return 0.0
+    return 0.5 if content and container else 1.0
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture, article; both inherited
-    in_link, element = False, ""
+    # containers, and other elements that are marked: element, furniture, article, hidden; the last three inherited
+    stack: list[tuple[str, float, bool, bool]] = []
+    in_link, element, unseen = False, "", ""  # ``unseen``: the hidden inline element that is open
 
     def cut() -> None:
         if parts:
-            whole = html.unescape("".join(t for t, _ in parts))
+            _, furniture, article, hidden = stack[-1] if stack else ("", 0.0, False, False)
+            whole = "" if hidden else html.unescape("".join(t for t, _ in parts))
             text = " ".join(whole.split())
             if text:
                 linked = sum(len("".join(html.unescape(t).split())) for t, k in parts if k)
-                _, furniture, article = stack[-1] if stack else ("", False, False)
                 out.append(Block(text, text.count(" ") + 1, min(1.0, linked / max(1, len(text.replace(" ", "")))), furniture, article, element in PARAGRAPHS))
             parts.clear()
 
-    at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
+    def leave(name: str, within: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open ``name``, unless an element of ``within`` stands inside it."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                del stack[k:]
+                return
+            if stack[k][0] in within:
+                return
+
+    at, without_end = 0, set()
+    while m := MARKUP.search(page, at):
+        if m.start() > at and not unseen:
             parts.append((page[at : m.start()], in_link))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
+        attributes = m[4] or ""
+        alone = attributes.rstrip().endswith("/")
+        if name in UNSHOWN:
+            if not m[2] and not alone and name not in without_end:
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    without_end.add(name)
+            continue
+        hidden = bool(attributes) and not m[2] and name not in VOID and not alone and bool(HIDDEN.search(QUOTED.sub("", attributes)))
         if name in INLINE:
+            if name == unseen and m[2]:
+                unseen = ""
+            elif hidden and not unseen:
+                unseen = name
             if name == "a":
                 in_link = not m[2]
-            elif name == "br":
+            elif name == "br" and not unseen:
                 parts.append((" ", in_link))
             continue
         cut()
-        in_link = False
+        in_link, unseen = False, ""
         if m[2]:
-            if name in CONTAINERS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+            leave(name, frozenset() if name in CONTAINERS else CONTAINERS)
             element = ""
             continue
         element = name
-        if name in CONTAINERS and not (m[4] or "").rstrip().endswith("/"):
-            _, furniture, article = stack[-1] if stack else ("", False, False)
-            main = name in ("article", "main")
-            named = " ".join(x for t in NAMED.findall(m[4] or "") for x in t if x)
-            own = name in FURNITURE_TAGS or (name == "header" and not article) or (not main and name != "body" and bool(FURNITURE_NAMES.search(named)))
-            stack.append((name, furniture or own, article or main))
-    if at < len(page):
+        container, heading = name in CONTAINERS, name in HEADINGS
+        # a paragraph or heading ends at the next block, a list item or cell at the next of its kind
+        while stack and (stack[-1][0] == "p" or stack[-1][0] in HEADINGS):
+            stack.pop()
+        if not container:
+            leave(name, CONTAINERS)
+        if alone or name in VOID:
+            continue
+        _, furniture, article, unshown = stack[-1] if stack else ("", 0.0, False, False)
+        main = name in ("article", "main")
+        own = 0.0 if main or name in ("body", "html") else mark(attributes, container, heading) if attributes else 0.0
+        if name in FURNITURE_TAGS or (name == "header" and not article):
+            own = 1.0
+        inherited = 0.0 if main and furniture < 1 else furniture
+        if container or own or hidden:
+            stack.append((name, max(inherited, own), article or main, unshown or hidden))
+    if at < len(page) and not unseen:
         parts.append((page[at:], in_link))
     cut()
     return out

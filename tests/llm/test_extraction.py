@@ -55,6 +55,37 @@ def test_edges(page, want):
     assert text_of(page) == want
 
 
+LONG = "A long paragraph with more than enough words to be the text of an article about something."
+
+
+@pytest.mark.parametrize("page, want", [
+    # names on any element, not only on containers
+    (f'<article><p>{LONG}</p><p class="advert">{LONG} Buy.</p><ul><li class="comment">{LONG} Me too.<li>one point</ul><h3 class="related">More</h3><p>{LONG} End.</p></article>',
+     [LONG, "one point", f"{LONG} End."]),
+    (f'<article><ul><li class="comment"><p>{LONG}</p><p>{LONG}</p></li><li>kept point</li></ul><p>{LONG}</p></article>', ["kept point", LONG]),
+    (f'<article><h2 class="section-header">Part</h2><p>{LONG}</p></article>', ["Part", LONG]),
+    # hidden elements
+    (f'<article><p>{LONG}</p><div style="margin:0; display: none"><p>secret</p></div><p hidden>no</p><p>a <span style="display:none">b</span>c</p></article>', [LONG, "a c"]),
+    (f'<article><p title="not hidden at all">{LONG}</p><p class="is-hidden-not">{LONG}</p><br hidden><p>{LONG}</p></article>', [LONG] * 3),
+    (f'<article><p aria-hidden="true">x<p>{LONG}</article>', [LONG]),
+    # drawings and buttons, closed in themselves, closed and left open
+    (f'<article><p><svg class="i"/>{LONG}</p><p>one <svg><text>no</text></svg>two <button>Share</button>three</p></article>', [LONG, "one two three"]),
+    (f'<article><p><svg class="i">{LONG}</p><p><button>{LONG}</p></article>', [LONG, LONG]),
+    # names of content around the article
+    (f'<div class="post-header-content"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>', ["Title", LONG, LONG]),
+    (f'<div class="story share"><p>{LONG}</p></div>', [LONG]),
+    (f'<div class="story share"><article><p>Short.</p></article></div>', ["Short."]),
+    (f'<div class="comment-content"><p>{LONG}</p></div><div role="banner" class="content"><p>{LONG}</p></div><div class="article"><p>{LONG}</p></div>', [LONG]),
+    (f'<div class="header-content"><h1>Site</h1><p>Our small slogan</p></div><nav><a href="/">Home</a></nav><div id=main><p>{LONG}</p></div>', [LONG]),
+])
+def test_names_and_hidden_elements(page, want):
+    assert text_of(page).split("\n\n") == want
+
+
+def test_open_elements_cost_linear_time():
+    assert text_of("<article>" + "<p><svg>word " * 100_000 + "</article>").count("word") == 100_000
+
+
 def test_frames(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x", 5), (1, "u", PAGE, "x", 5), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
     rows = extraction.extract(pages, ["page_id", "url"]).collect()
