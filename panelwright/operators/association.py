@@ -17,37 +17,53 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: st
 def exact_permutation(monthly: DataFrame, features: Sequence[str], events: Sequence[int], lags: Sequence[int] = (0, 1, 2)) -> DataFrame:
     """Exact p of the gap between event months and the rest, over all subsets of as many months.
 
-    ``monthly`` has a position ``t`` and the features: one row per month, so the C(n, k)
-    subsets are bounded by the calendar. Each (feature, lag) is one array; the subsets are
-    generated beside it and only their counts leave the task.
+    ``monthly`` has a position ``t`` and the features, one row per month; months without a value are
+    left out. The C(n, k) subsets are counted, not written: the months are halved, sums of up to ``k``
+    months of either half become rows, and each sum of the second half meets the sorted sums of the
+    first, where its rank says with how many of them it passes the upper or the lower limit. So k = 5
+    of 24 months takes 3,174 rows in place of 42,504. A feature with no more than ``k`` months is left out.
     """
     k = len(events)
-    long = unpivot(monthly, ["t"], features)
-    packed = long.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("p"))
-    shifted = F.array(*[
-        F.struct(F.lit(lag).alias("lag"), F.array(*[F.lit(e - lag) for e in events]).alias("e")) for lag in lags if min(events) - lag >= 0
-    ])
-    rows = packed.select("feature", "p", F.inline(shifted))
-    total = F.aggregate("p", F.lit(0.0), lambda acc, c: acc + c["x"])
-    inside = F.aggregate(F.filter("p", lambda c: F.array_contains("e", c["t"])), F.lit(0.0), lambda acc, c: acc + c["x"])
-    n = F.size("p")
-    rows = rows.withColumn("n", n).withColumn("total", total).withColumn("inside", inside)
-    gap = lambda s: F.abs(s / k - (F.col("total") - s) / (F.col("n") - k))
-    rows = rows.withColumn("observed", gap(F.col("inside")))
-    # partial sums of subsets, one more month per round: (last index, sum)
-    subsets = rows.withColumn("_i", F.lit(-1)).withColumn("_s", F.lit(0.0))
-    for level in range(k):
-        left = k - 1 - level
-        nxt = F.sequence(F.col("_i") + 1, F.col("n") - 1 - left)
-        subsets = subsets.withColumn("_j", F.explode(nxt)).withColumn("_s", F.col("_s") + F.get("p", F.col("_j"))["x"]).withColumn("_i", F.col("_j")).drop("_j")
-    extreme = gap(F.col("_s")) >= F.col("observed") - 1e-12
-    out = subsets.groupBy("feature", "lag").agg(
-        F.first("n").alias("n_months"), F.first("inside").alias("_in"), F.first("total").alias("_all"),
-        F.count(F.lit(1)).alias("n_subsets"), F.count(F.when(extreme, 1)).alias("_x"),
+    long = unpivot(monthly, ["t"], features).where("x IS NOT NULL")
+    packed = long.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("p")).where(F.size("p") > k)
+    n, x = F.size("p"), lambda c: c["x"]
+    add = lambda cells: F.aggregate(F.transform(cells, x), F.lit(0.0), lambda acc, v: acc + v)
+    totals = packed.select("feature", "p", n.alias("n"), add(F.col("p")).alias("all"))
+    totals = totals.select("*", (F.lit(1.0) / k + F.lit(1.0) / (F.col("n") - k)).alias("c"), (F.col("all") / (F.col("n") - k)).alias("m"))
+    at = lambda lag: lambda c: c["t"].isin([e - lag for e in events])
+    tests = F.array(*[F.struct(F.lit(lag).alias("lag"), add(F.filter("p", at(lag))).alias("inside")) for lag in lags if min(events) - lag >= 0])
+    limit = lambda t: F.abs(t["inside"] / k - (F.col("all") - t["inside"]) / (F.col("n") - k)) - 1e-12
+    limits = F.transform(F.col("tests"), lambda t: F.struct(
+        t["lag"].alias("lag"), t["inside"].alias("inside"), limit(t).alias("g"),
+        ((F.col("m") + limit(t)) / F.col("c")).alias("high"), ((F.col("m") - limit(t)) / F.col("c")).alias("low")))
+    tested = totals.withColumn("tests", tests).withColumn("tests", limits)
+    cut = F.floor(F.col("n") / 2).cast("int")
+    halves = F.array(F.struct(F.lit(0).alias("half"), F.slice("p", F.lit(1), cut).alias("q")), F.struct(F.lit(1).alias("half"), F.slice("p", cut + 1, F.col("n") - cut).alias("q")))
+    sums = tested.select("feature", "n", "all", "tests", F.inline(halves))
+    sums = sums.withColumn("_i", F.lit(-1)).withColumn("_s", F.lit(0.0)).withColumn("_k", F.lit(0))
+    for _ in range(k):  # one more month, or an end: index ``size`` takes none and stays
+        size = F.size("q")
+        sums = sums.withColumn("_i", F.explode(F.sequence(F.least(F.col("_i") + 1, size), size)))
+        sums = sums.withColumn("_s", F.col("_s") + F.coalesce(F.get("q", F.col("_i"))["x"], F.lit(0.0))).withColumn("_k", F.col("_k") + (F.col("_i") < size).cast("int"))
+    # sums of the first half (kind 1) between the limits that the second half leaves: before equal sums (0) or after them (2)
+    row = lambda size, kind, value, t=None: F.struct(
+        size.alias("size"), F.lit(kind).alias("kind"), value.alias("value"), (t["lag"] if t is not None else F.lit(None).cast("int")).alias("lag"),
+        (t["inside"] if t is not None else F.lit(None).cast("double")).alias("inside"), (t["g"] if t is not None else F.lit(None).cast("double")).alias("g"))
+    asked = F.flatten(F.transform("tests", lambda t: F.array(row(k - F.col("_k"), 0, t["high"] - F.col("_s"), t), row(k - F.col("_k"), 2, t["low"] - F.col("_s"), t))))
+    points = sums.select("feature", "n", "all", F.inline(F.when(F.col("half") == 0, F.array(row(F.col("_k"), 1, F.col("_s")))).otherwise(asked)))
+    same = Window.partitionBy("feature", "size")
+    is_sum = (F.col("kind") == 1).cast("long")
+    ranked = points.withColumn("_below", F.sum(is_sum).over(same.orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = ranked.withColumn("_of", F.sum(is_sum).over(same)).where("kind <> 1")
+    upper = F.col("kind") == 0
+    out = ranked.groupBy("feature", "lag").agg(
+        F.first("n").alias("n_months"), F.first("inside").alias("_in"), F.first("all").alias("_all"), F.first("g").alias("_g"),
+        F.sum(F.when(upper, F.col("_of"))).alias("n_subsets"), F.sum(F.when(upper, F.col("_of") - F.col("_below")).otherwise(F.col("_below"))).alias("_x"),
     )
+    extreme = F.when(F.col("_g") <= 0, F.col("n_subsets")).otherwise(F.col("_x"))  # no gap: every subset has as large a one
     return out.select(
         "feature", "lag", "n_months", "n_subsets", (F.col("_in") / k).alias("inside"),
-        ((F.col("_all") - F.col("_in")) / (F.col("n_months") - k)).alias("outside"), (F.col("_x") / F.col("n_subsets")).alias("p"),
+        ((F.col("_all") - F.col("_in")) / (F.col("n_months") - k)).alias("outside"), (extreme / F.col("n_subsets")).alias("p"),
     )
 
 

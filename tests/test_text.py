@@ -74,6 +74,30 @@ def test_exact_permutation_by_enumeration(spark):
     assert got["p"] == pytest.approx(want) and got["n_subsets"] == 120
 
 
+@pytest.mark.parametrize("n, events, lags", [(10, [2, 5, 7, 8, 9], (0, 1, 2)), (11, [4], (0, 3)), (7, [0, 6], (0,)), (4, [1, 2, 3], (0, 1))])
+def test_exact_permutation_counts_subsets_without_writing_them(spark, n, events, lags):
+    from itertools import combinations
+
+    rng, k = np.random.default_rng(n), len(events)
+    values = {"a": rng.normal(size=n), "tied": rng.integers(0, 3, n).astype(float), "flat": np.ones(n)}
+    df = spark.createDataFrame([(t, *(float(v[t]) for v in values.values())) for t in range(n)], "t int, a double, tied double, flat double")
+    got = {(r.feature, r.lag): r for r in S.exact_permutation(df, list(values), events, lags).collect()}
+    assert set(got) == {(f, lag) for f in values for lag in lags if min(events) >= lag}
+    for (f, lag), row in got.items():
+        x = values[f]
+        gap = lambda idx: abs(x[list(idx)].mean() - np.delete(x, list(idx)).mean())
+        observed, sets = gap([e - lag for e in events]), list(combinations(range(n), k))
+        assert row.n_subsets == len(sets) and row.p == pytest.approx(np.mean([gap(c) >= observed - 1e-12 for c in sets]))
+        assert row.n_months == n and row.inside == pytest.approx(x[[e - lag for e in events]].mean())
+
+
+def test_exact_permutation_of_few_months_and_missing_values(spark):
+    df = spark.createDataFrame([(0, 1.0, None), (1, 2.0, None), (2, 4.0, 1.0)], "t int, a double, b double")
+    rows = S.exact_permutation(df, ["a", "b"], [2], (0,)).collect()
+    assert [(r.feature, r.n_months, r.n_subsets) for r in rows] == [("a", 3, 3)] and rows[0].p == pytest.approx(1 / 3)
+    assert S.exact_permutation(df.limit(0), ["a"], [2], (0,)).count() == 0
+
+
 def test_permutation_tests_see_a_signal(spark):
     rng = np.random.default_rng(11)
     rows = [(f"r{r}", f"2024-{m:02d}-01", float(v), float(2 * v + 0.1 * rng.normal()), float(rng.normal())) for m in range(1, 7) for r, v in enumerate(rng.normal(size=8))]
