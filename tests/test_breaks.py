@@ -56,6 +56,36 @@ def test_every_detector_finds_a_planted_break(detector):
     assert all(20 in np.flatnonzero(mask[b, 0]) for b in range(3))
 
 
+def test_flags_take_a_fraction_of_a_run_per_window_and_penalty():
+    import time
+
+    z = np.random.default_rng(8).normal(size=(32, 79))
+    grid = [0.001 * 1e5 ** (i / 59) for i in range(60)]
+    for detector, penalties in [(d, grid[::10]) for d in D.SEGMENTERS] + [("kernel_rbf", grid)]:
+        began = time.process_time()
+        got = D.flags(detector, z, penalties, 0)
+        took = time.process_time() - began
+        began = time.process_time()
+        for t in (30, 60, 78):
+            mask = D.breaks(detector, z[:, : t + 1], penalties)
+            assert (got[:, :, t] == mask[:, :, t - D.RECENT :].any(2)).all(), (detector, t)
+        # 71 windows cost less than 20 runs of the detector on long prefixes
+        assert took < 20 / 3 * (time.process_time() - began) + 0.05, (detector, took)
+
+
+def test_first_flags_are_the_first_of_all_flags(spark):
+    rng = np.random.default_rng(9)
+    y = rng.normal(10.0, 1.0, size=(40, 30))
+    y[::2, 14:] += 4
+    df = spark.createDataFrame([(i, [float(v) for v in row], i % 2 == 0) for i, row in enumerate(y)] + [(40, [1.0] * 4, True), (41, None, False)], "i int, z array<double>, first boolean")
+    for detector in D.SEGMENTERS:
+        every, some = (D.flag_column(F.col("z"), F.lit(0), detector, [0.5, 1.0, 3.0], first) for first in (False, F.col("first")))
+        rows = df.select("i", "first", every.alias("a"), some.alias("b")).collect()
+        assert len(rows) == 42 and all(r.a is None and r.b is None for r in rows if r.i >= 40)
+        for r in rows[:40]:
+            assert r.b == ([m[:1] for m in r.a] if r.first else r.a), (detector, r.i)
+
+
 def test_flags_are_the_detector_on_every_prefix():
     rng = np.random.default_rng(4)
     z = rng.normal(size=(2, 22))
