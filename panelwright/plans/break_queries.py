@@ -258,7 +258,8 @@ TURN = dataclasses.replace(CUSUM, positions=(8, 11, 12, 20))
 SELECT 'injection in December or January' AS warning, CAST(position AS VARCHAR) AS "where", count(*) AS n FROM bench
 WHERE kind <> 'none' AND position % 12 IN (11, 0) GROUP BY 2"""))
 def warnings(spark, sf):
-    bench = B.run_bench(_ordinals(spark, sf), TURN)
+    # four summaries read the bench: its detectors run once
+    bench = cut_lineage(B.run_bench(_ordinals(spark, sf), TURN).drop("series_id", "twin_flag_at_signal", "penalty_effective"), "bench")
     return B.warnings(bench, B.select_penalty(B.summarise(bench)), None, FULL.penalties)
 
 
