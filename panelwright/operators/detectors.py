@@ -436,11 +436,13 @@ def _segments(costs, levels: int, n: int, rows: int, done: np.ndarray | None = N
     return best
 
 
-def _late(best: np.ndarray, cost: np.ndarray, size: int, pen: np.ndarray) -> np.ndarray:
+def _late(best: np.ndarray, cost: np.ndarray, size: int, pen: np.ndarray, near: int | None = None) -> np.ndarray:
     """``(penalties, rows)``: is a last break near the end cheaper than any other? ``best`` by number of pieces, ``pen`` as the result."""
     used = min(size // MIN_SIZE, len(best))
-    near = int(_near(size))
+    near = int(_near(size)) if near is None else max(near, 1)
     value = best[:used, : size - MIN_SIZE + 1] + cost
+    if near >= value.shape[1]:
+        return np.zeros(pen.shape, dtype=bool)
     early, late = value[:, :near].min(1), value[:, near:].min(1)
     count = np.arange(used, dtype=float)[:, None, None] * pen[None]
     return (late[:, None] + count).min(0) < (early[:, None] + count).min(0)
@@ -592,6 +594,21 @@ def flags(detector: str, z: np.ndarray, penalties: Sequence[float], offset: int,
     return out
 
 
+def breaks_near_ends(detector: str, z: np.ndarray, penalty: float, sizes: Sequence[int], first: Sequence[int]) -> list[bool]:
+    """Does the window of the first ``size`` points of a series show a break at the place ``first`` or later, for each size?"""
+    if detector != "pelt":
+        return [bool(breaks(detector, z[None, :size], [penalty])[0, 0, k:].any()) for size, k in zip(sizes, first)]
+    s1, s2 = (np.concatenate([[0.0], x.cumsum()])[:, None] for x in (z, z * z))
+
+    def costs(j: int) -> np.ndarray:
+        m = j - MIN_SIZE + 1
+        return np.maximum((s2[j] - s2[:m]) - (s1[j] - s1[:m]) ** 2 / (j - np.arange(m))[:, None], 0.0)
+
+    most = max(sizes)
+    best = _segments(costs, most // MIN_SIZE, most + 1, 1)
+    return [bool(_late(best, costs(size), size, np.array([[penalty * z[:size].var()]]), k)[0, 0]) for size, k in zip(sizes, first)]
+
+
 def _by_length(series: pd.Series, offsets: pd.Series | None = None):
     """Row numbers, stacked values and month offset of usable series, in chunks of equal shape."""
     groups: dict[tuple[int, int], list[int]] = {}

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # names, not the module: the functions below travel to the workers by value
-from panelwright.operators.detectors import BASELINE, MIN_HISTORY, MIN_SIZE, OFFSET, RECENT, breaks
+from panelwright.operators.detectors import BASELINE, MIN_HISTORY, MIN_SIZE, RECENT, breaks_near_ends
 from panelwright.protocol import Calendar
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -62,11 +62,11 @@ def rollup(events: DataFrame, key: str, window: str = "1 day", delay: str = "1 h
 
 
 WAITING = "last int, wait_t array<int>, wait_ms array<bigint>, wait_v array<double>"
-Advance = Callable[[tuple, int, float], tuple[tuple, list[int]]]
+Advance = Callable[[tuple, list[tuple[int, float]]], tuple[tuple, list[int]]]
 
 
 def in_event_time(points: DataFrame, start: tuple, own_state: str, advance: Advance, kind: str, delay: int, grace: int) -> DataFrame:
-    """``key, kind, t``: what ``advance`` tells, point by point in event time; late and duplicate points too.
+    """``key, kind, t``: what ``advance`` tells of the points of a batch, in event time; late and duplicate points too.
 
     ``points`` has ``key string, ts timestamp, t int, value double``; ``t`` grows with ``ts``. The state of a
     key holds the waiting points, which the delay bounds, and ``own_state``.
@@ -81,19 +81,20 @@ def in_event_time(points: DataFrame, start: tuple, own_state: str, advance: Adva
         waiting = {t: (ms, v) for t, ms, v in zip(*found[-3:])}
         out: list[tuple[str, int]] = []
         for batch in batches:
-            for ts, t, value in zip(batch["ts"], batch["t"], batch["value"]):
-                t = int(t)
+            stamps = batch["ts"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+            for ms, t, value in zip(stamps, batch["t"].tolist(), batch["value"].tolist()):
                 if t <= last:
                     out.append(("late", t))
                 elif t in waiting:
                     out.append(("duplicate", t))
                 else:
-                    waiting[t] = (ts.value // 1_000_000, float(value))
+                    waiting[t] = (ms, float(value))
         passed = state.getCurrentWatermarkMs() + grace * DAY
-        for t in sorted(t for t, (ms, _) in waiting.items() if ms <= passed):
-            own, told = advance(own, t, waiting.pop(t)[1])
+        due = sorted(t for t, (ms, _) in waiting.items() if ms <= passed)
+        if due:
+            own, told = advance(own, [(t, waiting.pop(t)[1]) for t in due])
             out += [(kind, x) for x in told]
-            last = t
+            last = due[-1]
         left = sorted(waiting)
         state.update((*own, int(last), left, [waiting[t][0] for t in left], [waiting[t][1] for t in left]))
         if left:
@@ -135,9 +136,10 @@ def cusum_step(own: tuple, t: int, value: float, threshold: float, baseline: int
 def online_cusum(points: DataFrame, threshold: float = 5.0, baseline: int = BASELINE, delay: int = DELAY, grace: int = GRACE) -> DataFrame:
     """First alarm per key (kind ``alarm``), once there are two points beyond the baseline; the cost of a point is constant."""
 
-    def advance(own: tuple, t: int, value: float) -> tuple[tuple, list[int]]:
+    def advance(own: tuple, due: list[tuple[int, float]]) -> tuple[tuple, list[int]]:
         before = own[-1] if own[0] >= baseline + 2 else -1
-        own = cusum_step(own, t, value, threshold, baseline)
+        for t, value in due:
+            own = cusum_step(own, t, value, threshold, baseline)
         return own, [own[-1]] if own[-1] >= 0 and before < 0 and own[0] >= baseline + 2 else []
 
     return in_event_time(points, CUSUM_START, CUSUM_STATE, advance, "alarm", delay, grace)
@@ -168,28 +170,33 @@ def live_episodes(points: DataFrame, detector: str, mode: str, penalty: float |
     """
     _growth(None, 0, 0.0, mode)
 
-    def near_end(own: tuple, t: int) -> bool:
-        """Does the window that ends at month ``t`` show a break within three months of its end?"""
-        seen, alarm, z_t, z = own[0], own[6], own[7], own[8]
-        if detector == "cusum":
-            return seen >= BASELINE + 2 and 0 <= alarm and alarm >= t - RECENT
-        if len(z) < 2 * MIN_SIZE:
-            return False
-        mask = breaks(detector, np.asarray(z)[None, :], [penalty])
-        return bool(mask[0, 0, np.asarray(z_t) >= t - RECENT].any())
-
-    def advance(own: tuple, t: int, value: float) -> tuple[tuple, list[int]]:
+    def advance(own: tuple, due: list[tuple[int, float]]) -> tuple[tuple, list[int]]:
         sums, (z_t, z, y_t, y, flagged) = own[:7], own[7:]
-        grown = _growth(None if y_t < 0 else (y_t, y), t, value, mode)
-        if grown is not None:
-            if detector == "cusum":
-                sums = cusum_step(sums, t, grown, 5.0, BASELINE)
-            else:
-                z_t, z = [*z_t, t], [*z, float(grown)]
-        own = (*sums, list(z_t), list(z), int(t), float(value), int(flagged))
-        if t < MIN_HISTORY or not near_end(own, t):
-            return own, []
-        return (*own[:-1], int(t)), [t] if t - flagged > RECENT else []
+        z_t, z, ends, near = list(z_t), list(z), [], []
+        for t, value in due:
+            grown = _growth(None if y_t < 0 else (y_t, y), t, value, mode)
+            if grown is not None:
+                if detector == "cusum":
+                    sums = cusum_step(sums, t, grown, 5.0, BASELINE)
+                else:
+                    z_t.append(t)
+                    z.append(float(grown))
+            y_t, y = t, value
+            if t >= MIN_HISTORY and detector == "cusum" and sums[0] >= BASELINE + 2 and 0 <= sums[6] and sums[6] >= t - RECENT:
+                near.append(t)
+            elif t >= MIN_HISTORY and detector != "cusum" and len(z) >= 2 * MIN_SIZE:
+                ends.append((t, len(z)))
+        if ends:
+            places = np.asarray(z_t)
+            first = [int(np.searchsorted(places[:size], t - RECENT)) for t, size in ends]
+            told = breaks_near_ends(detector, np.asarray(z, dtype=float), penalty, [size for _, size in ends], first)
+            near = [t for (t, _), here in zip(ends, told) if here]
+        starts = []
+        for t in near:
+            if t - flagged > RECENT:
+                starts.append(t)
+            flagged = t
+        return (*sums, z_t, z, int(y_t), float(y), int(flagged)), starts
 
     return in_event_time(points, EPISODE_START, EPISODE_STATE, advance, "start", delay, grace)
 

@@ -73,6 +73,17 @@ def test_flags_take_a_fraction_of_a_run_per_window_and_penalty():
         assert took < 20 / 3 * (time.process_time() - began) + 0.05, (detector, took)
 
 
+def test_breaks_near_the_ends_of_a_growing_series():
+    z = np.random.default_rng(10).normal(size=60)
+    z[25:] += 2
+    sizes = list(range(6, 61))
+    first = [max(s - 1 - k % 6, 0) for k, s in enumerate(sizes)]
+    for detector in D.SEGMENTERS:
+        got = D.breaks_near_ends(detector, z, 1.0, sizes, first)
+        assert got == [bool(D.breaks(detector, z[None, :s], [1.0])[0, 0, k:].any()) for s, k in zip(sizes, first)], detector
+        assert detector != "pelt" or any(got)
+
+
 def test_first_flags_are_the_first_of_all_flags(spark):
     rng = np.random.default_rng(9)
     y = rng.normal(10.0, 1.0, size=(40, 30))
