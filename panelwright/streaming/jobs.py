@@ -62,48 +62,60 @@ def rollup(events: DataFrame, key: str, window: str = "1 day", delay: str = "1 h
 
 
 WAITING = "last int, wait_t array<int>, wait_ms array<bigint>, wait_v array<double>"
+#: Series share the state of a bucket by hash: for one series, the call into Python costs many times its own steps.
+BUCKETS = 1024
 Advance = Callable[[tuple, list[tuple[int, float]]], tuple[tuple, list[int]]]
 
 
-def in_event_time(points: DataFrame, start: tuple, own_state: str, advance: Advance, kind: str, delay: int, grace: int) -> DataFrame:
+def in_event_time(points: DataFrame, start: tuple, own_state: str, advance: Advance, kind: str, delay: int, grace: int, buckets: int = BUCKETS) -> DataFrame:
     """``key, kind, t``: what ``advance`` tells of the points of a batch, in event time; late and duplicate points too.
 
     ``points`` has ``key string, ts timestamp, t int, value double``; ``t`` grows with ``ts``. The state of a
-    key holds the waiting points, which the delay bounds, and ``own_state``.
+    key holds the waiting points, which the delay bounds, and ``own_state``. Raise ``buckets`` with the number of
+    keys, before the first run on a checkpoint: the states of a bucket are read and written together.
     """
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if key[0] == HEARTBEAT:
-            for _ in batches:
-                pass
-            return
-        found = state.get if state.exists else (*start, -(1 << 31), [], [], [])
-        own, last = found[: len(start)], found[-4]
-        waiting = {t: (ms, v) for t, ms, v in zip(*found[-3:])}
-        out: list[tuple[str, int]] = []
+    def step(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = {x[0]: (tuple(x[1:-4]), x[-4], {t: (ms, v) for t, ms, v in zip(*x[-3:])}) for x in state.get[0]} if state.exists else {}
+        out: list[tuple[str, str, int]] = []
         for batch in batches:
             stamps = batch["ts"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
-            for ms, t, value in zip(stamps, batch["t"].tolist(), batch["value"].tolist()):
+            for key, ms, t, value in zip(batch["key"].tolist(), stamps, batch["t"].tolist(), batch["value"].tolist()):
+                if key == HEARTBEAT:
+                    continue
+                if key not in held:
+                    held[key] = (start, -(1 << 31), {})
+                _, last, waiting = held[key]
                 if t <= last:
-                    out.append(("late", t))
+                    out.append((key, "late", t))
                 elif t in waiting:
-                    out.append(("duplicate", t))
+                    out.append((key, "duplicate", t))
                 else:
                     waiting[t] = (ms, float(value))
+        if not held:
+            return
         passed = state.getCurrentWatermarkMs() + grace * DAY
-        due = sorted(t for t, (ms, _) in waiting.items() if ms <= passed)
-        if due:
-            own, told = advance(own, [(t, waiting.pop(t)[1]) for t in due])
-            out += [(kind, x) for x in told]
-            last = due[-1]
-        left = sorted(waiting)
-        state.update((*own, int(last), left, [waiting[t][0] for t in left], [waiting[t][1] for t in left]))
-        if left:
-            state.setTimeoutTimestamp(max(min(ms for ms, _ in waiting.values()) - grace * DAY - 1, state.getCurrentWatermarkMs() + 1))
+        kept, earliest = [], None
+        for key, (own, last, waiting) in held.items():
+            due = sorted(t for t, (ms, _) in waiting.items() if ms <= passed)
+            if due:
+                own, told = advance(own, [(t, waiting.pop(t)[1]) for t in due])
+                out += [(key, kind, x) for x in told]
+                last = due[-1]
+            left = sorted(waiting)
+            stamps = [waiting[t][0] for t in left]
+            if left:
+                earliest = min(stamps) if earliest is None else min(earliest, *stamps)
+            kept.append((key, *own, int(last), left, stamps, [waiting[t][1] for t in left]))
+        state.update((kept,))
+        if earliest is not None:
+            state.setTimeoutTimestamp(max(earliest - grace * DAY - 1, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame({"key": [key[0]] * len(out), "kind": [k for k, _ in out], "t": pd.Series([t for _, t in out], dtype="int32")})
+            yield pd.DataFrame({"key": [k for k, _, _ in out], "kind": [x for _, x, _ in out], "t": pd.Series([t for _, _, t in out], dtype="int32")})
 
     marked = points.select("key", "ts", "t", "value").withWatermark("ts", f"{delay + grace} days")
-    return marked.groupBy("key").applyInPandasWithState(step, "key string, kind string, t int", f"{own_state}, {WAITING}", "append", "EventTimeTimeout")
+    dealt = marked.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").applyInPandasWithState(
+        step, "key string, kind string, t int", f"series array<struct<key string, {own_state}, {WAITING}>>", "append", "EventTimeTimeout")
 
 
 CUSUM_STATE = "seen int, buffer array<double>, mu double, sigma double, pos double, neg double, alarm int"

@@ -155,3 +155,21 @@ def test_shares_have_zero_months_and_end_where_the_stream_is(spark):
 def test_a_stream_without_points_has_no_heartbeat(spark):
     assert jobs.heartbeat(spark.createDataFrame([], DDL)).count() == 0
     assert jobs.heartbeat(spark.createDataFrame([point("a", 3, 1.0)], DDL)).select(F.col("ts") > F.lit("2001-05-05")).first()[0]
+
+
+def test_many_series_share_few_states(spark):
+    """More series than buckets: each is told as alone, and the state has a row for a bucket, not for a series."""
+    rows = {f"k{k}": {t: 100 + (t % 3) + (50 if k % 3 == 0 and t >= 12 else 0) for t in range(16)} for k in range(jobs.BUCKETS + 476)}
+    points = [point(k, t, v) for k, ts in rows.items() for t, v in ts.items()]
+    path = work_path(spark, "many")
+    frame = spark.createDataFrame(points, DDL)
+    frame.unionByName(jobs.heartbeat(frame)).write.parquet(path + "-source")
+    stream = jobs.online_cusum(jobs.read_stream(spark, path + "-source", frame.schema))
+    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= jobs.BUCKETS
+    found = {(r.key, r.kind, r.t) for r in spark.read.parquet(path).collect()}
+    assert found == {(k, "alarm", cusum_loop(ts)) for k, ts in rows.items() if cusum_loop(ts) is not None}
+    assert found
