@@ -201,3 +201,25 @@ def test_unknown_kernel_penalty_is_refused(spark):
     df, _ = panel(spark, 2)
     with pytest.raises(ValueError):
         B.flag_sets(B.prepared(df.select("series_id", "y"), ["raw"]), ["kernel_rbf"], [1.0])
+
+
+def test_kernel_partitions_only_what_can_have_a_break_near_the_end(monkeypatch):
+    """Where no cut near the end gains the penalty, no partition is asked for; elsewhere flags are those of every prefix."""
+    draw = np.random.default_rng(5)
+    z = np.concatenate([draw.normal(size=(4, 30)), np.r_[np.zeros(15), np.full(15, 9.0)] + draw.normal(size=(4, 30)) / 9])
+    asked, columns = [], D._kernel_columns
+    monkeypatch.setattr(D, "_kernel_columns", lambda gram, size: asked.append(gram.shape[1]) or columns(gram, size))
+    found = D.flags("kernel_rbf", z, [2.5, 3.5], 0)
+    assert sum(asked) < len(z) * (30 - D.MIN_HISTORY) / 3
+    monkeypatch.undo()
+    for t in range(D.MIN_HISTORY, 30):
+        near = D.breaks("kernel_rbf", z[:, : t + 1], [2.5, 3.5])[:, :, t - D.RECENT :].any(2)
+        assert (found[:, :, t] == near).all()
+    assert found.any()
+
+
+def test_flags_are_dealt_out_by_number(spark, sf):
+    from panelwright.plans import break_queries as Q
+
+    plan = Q.flag_months_all(spark, sf)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan or "RepartitionByExpression" in plan
