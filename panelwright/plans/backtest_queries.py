@@ -8,7 +8,7 @@ from panelwright.plans import inputs as I, oracle as O
 from panelwright.plans.oracle import r
 from panelwright.plans.registry import query
 from panelwright.plans.rounding import rnd, rounded
-from panelwright.session import work_path
+from panelwright.session import cut_lineage, work_path
 from panelwright.sources import readers, sinks
 
 S = O.CAT_SCORES
@@ -299,20 +299,26 @@ decomp AS (
 
 
 def _base(spark, sf):
-    rows = backtest.fold_rows(I.category_arrays(spark, sf), I.horizon_folds())
+    rows = backtest.fold_rows(I.stored_category_arrays(spark, sf), I.horizon_folds())
     return rows.select("series_id", "horizon", "fold", F.element_at("train", -1).alias("base")).where(F.col("base").isNotNull())
 
 
+def _decomposed(spark, sf):
+    """The series are made once, for the points and for the last months; both are read several times."""
+    points = cut_lineage(I.points(spark, sf, I.stored_category_arrays(spark, sf)), "points")
+    return compare.error_decomposition(points, _base(spark, sf))
+
+
 @query("met_23_error_decomposition", f"""WITH {FC}, {DECOMP}
 SELECT model, CAST(horizon AS INTEGER) AS horizon, fold, {r('mae')} AS mae, {r('spread')} AS spread, {r('mae - spread')} AS bias, {r('(mae - spread) / mae')} AS bias_share FROM decomp""")
 def decomposition(spark, sf):
-    return rounded(compare.error_decomposition(I.point_table(spark, sf), _base(spark, sf)))
+    return rounded(_decomposed(spark, sf))
 
 
 @query("met_24_decomposition_means", f"""WITH {FC}, {DECOMP}
 SELECT model, CAST(horizon AS INTEGER) AS horizon, {r('avg(mae)')} AS mae, {r('avg(spread)')} AS spread, {r('avg(mae - spread)')} AS bias FROM decomp GROUP BY 1, 2""")
 def decomposition_means(spark, sf):
-    return rounded(compare.decomposition_means(compare.error_decomposition(I.point_table(spark, sf), _base(spark, sf))))
+    return rounded(compare.decomposition_means(_decomposed(spark, sf)))
 
 
 @query("met_25_compare_realisations", f"""WITH {S},

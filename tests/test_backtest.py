@@ -163,3 +163,16 @@ def test_paired_interval(spark):
     r = compare.paired_vs_reference(df, "a").first()
     assert r["diff_mean"] == pytest.approx(-1.0) and r["folds_won"] == 3 and r["pairs_won_share"] == 1.0
     assert r["fold_ci_high"] - r["fold_diff_mean"] == pytest.approx(4.302652729749464 * 0.5 / np.sqrt(3))
+
+
+def test_decomposition_makes_its_series_once(spark, sf, monkeypatch):
+    from panelwright.plans import backtest_queries as Q, inputs as I
+    from panelwright.session import shared_tables
+
+    built, arrays = [], I.category_arrays
+    monkeypatch.setattr(I, "category_arrays", lambda *a, **k: built.append(1) or arrays(*a, **k))
+    with shared_tables():
+        found = Q.decomposition(spark, sf)
+    plan = found._jdf.queryExecution().toString()
+    assert len(built) == 1 and "lineitem" not in plan
+    assert found.count() > 0
