@@ -77,6 +77,13 @@ def test_medians_and_the_factor_are_made_once(ctx, monkeypatch):
     assert len(calls) == 1  # medians don't depend on the origin
 
 
+def test_files_of_vectors_hold_few_rows(ctx, monkeypatch):
+    monkeypatch.setattr(trees, "ROWS_PER_FILE", 10)
+    rows = trees.vectors(*trees.feature_table(ctx, trees.Variant(), 1)).rows
+    sizes = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 6 * (CAL.n_months - 5) and max(sizes) <= 10
+
+
 def test_all_steps_are_read_off_one_scan(ctx):
     table = trees.vectors(*trees.feature_table(ctx, trees.Variant(), 2))
     models = {s: trees.fit_step(table.rows, s, 28, QUICK) for s in (1, 2)}
