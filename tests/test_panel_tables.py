@@ -1,4 +1,5 @@
 """What the panel learner reads is made once, without a shuffle of months, and in files of bounded rows."""
+import json
 import math
 from dataclasses import replace
 from datetime import date
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import factor, features as X, modelstore, prep, trees
 from panelwright.protocol import Calendar, Fold
+from panelwright.session import work_path
 
 CAL = Calendar(date(2020, 1, 1), 30)
 QUICK = trees.TreeConfig(rounds=1, depth=2, min_leaf=2)
@@ -103,3 +105,53 @@ def test_kept_series_are_filled_inside_their_arrays(spark, max_gap):
     found = prep.clean_arrays(panel, ["series_id"], cal, max_gap)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert "Window" not in plan(found)
+
+
+def test_lag_features_of_whole_series_have_no_flags(ctx, spark):
+    """Flags that are 0 in every row are left out, and the trees are the same without them."""
+    slim = trees.panel_vectors(ctx, trees.Variant(categories=True), 1)
+    shares = [c for c in slim.columns if c not in X.LAG_COLUMNS]
+    assert slim.flagged == shares and len(shares) == 4
+    assert slim.rows.first()["features"].size == len(X.LAG_COLUMNS) + 2 * len(shares)
+    full = trees.vectors(*trees.feature_table(ctx, trees.Variant(categories=True), 1))
+    said = [{r.series_id: r.ratio for r in trees.fit_step(v.rows, 1, 28, QUICK).ratios(v.at(27)).collect()} for v in (slim, full)]
+    assert said[0] == said[1] and len(said[0]) == 6
+
+
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf")])
+def test_one_odd_month_brings_the_flags_back(ctx, spark, odd):
+    arrays = spark.createDataFrame([("a", LEVEL), ("b", [odd if t == 9 else y for t, y in enumerate(LEVEL)])], "series_id string, y array<double>")
+    holed = replace(ctx, clean=X.cells(arrays), arrays=arrays)
+    assert trees.panel_vectors(holed, trees.Variant(), 1).flagged == list(X.LAG_COLUMNS)
+    assert trees.flagged_columns(ctx, trees.Variant(), X.LAG_COLUMNS) == []
+    assert trees.flagged_columns(ctx, trees.Variant(pretrain=True), X.LAG_COLUMNS) == list(X.LAG_COLUMNS)
+    parts = ctx.category_clean.withColumn("y", F.transform("y", lambda v, i: F.when(i != 9, v).otherwise(F.lit(odd).cast("double"))))
+    assert trees.flagged_columns(replace(ctx, category_clean=parts), trees.Variant(stack=True), X.LAG_COLUMNS) == list(X.LAG_COLUMNS)
+
+
+def test_fewer_fits_run_side_by_side_on_more_rows(ctx, monkeypatch):
+    table = trees.panel_vectors(ctx, trees.Variant(), 1)  # 150 rows
+    widths = []
+    real = trees.side_by_side
+    monkeypatch.setattr(trees, "side_by_side", lambda spark, tasks, width: widths.append(width) or real(spark, tasks, width))
+    for rows in (1000, 450, 10):
+        monkeypatch.setattr(trees, "ROWS_AT_ONCE", rows)
+        trees.fit_predict(ctx, trees.Variant(), table, [Fold(0, 28, 28, 29)], QUICK)
+    assert widths == [4, 3, 1]
+
+
+def test_stored_models_keep_their_flags_and_share_the_vectors_of_the_origin(ctx, spark, monkeypatch):
+    store = modelstore.ModelStore(spark, work_path(spark, "store"))
+    monkeypatch.setattr(trees, "flagged_columns", lambda ctx, spec, columns: list(columns))
+    modelstore.fit_forward(store, ctx, "panel_trees", [1], QUICK)
+    monkeypatch.undo()
+    modelstore.fit_forward(store, ctx, "panel_trees", [2], QUICK)
+    flags = {r.step: len(json.loads(r.flagged)) for r in store.entries().collect()}
+    assert flags == {1: len(X.LAG_COLUMNS), 2: 0}
+    calls, real = [], trees.vectors
+    monkeypatch.setattr(trees, "vectors", lambda *a: calls.append(a) or real(*a))
+    found = {h: {(r.series_id, r.step): r.forecast for r in modelstore.forecast(store, ctx, "panel_trees", h, QUICK).collect()} for h in (1, 2)}
+    assert len(calls) == 2  # one for each set of flags, not for each horizon
+    direct = trees.fit_predict(ctx, trees.Variant(), trees.panel_vectors(ctx, trees.Variant(), 2), [Fold(0, 30, 30, 32)], QUICK)[0]
+    want = {(r.series_id, r.step): r.forecast for r in direct.collect()}
+    assert found[2] == want and found[1] == {k: v for k, v in want.items() if k[1] == 1} and len(want) == 12
