@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import backtest, models, modelstore, serving, trees
 from panelwright.operators.modelstore import ModelStore
+from panelwright.plans import tree_queries
 from panelwright.protocol import Calendar, Fold, ForwardConfig, fold_array, rolling_origin
 from panelwright.session import work_path
 
@@ -163,3 +164,12 @@ def test_the_registry_knows_its_models():
     rest = models.unconfigured(["drift", "panel_trees"])
     assert "drift" not in rest and "panel_trees_news" in rest and len(rest) == len(models.registered()) - 2
     assert {m for _, m in ForwardConfig().recommended} | {ForwardConfig().comparison, ForwardConfig().known_aggregate} <= set(models.registered())
+
+
+def test_the_registered_forward_forecast_fits_the_protocols_trees(ctx, monkeypatch):
+    asked = []
+    monkeypatch.setattr(tree_queries, "context", lambda spark, sf, national=False: ctx)
+    monkeypatch.setattr(tree_queries, "work_path", lambda spark, name: name)
+    monkeypatch.setattr(serving, "forecast_forward", lambda *args: asked.append(args[-1]))
+    tree_queries.forecast_forward(None, "")
+    assert asked == [trees.TreeConfig()] and (asked[0].rounds, asked[0].depth) == (300, 5)
