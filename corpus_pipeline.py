@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontamination, neardup, packing, pii, quality
-from panelwright.llm.common import table
+from panelwright.llm.common import grown, table
 from panelwright.llm.queries import tokenizer_files
 from panelwright.session import cut_lineage
 
@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     key = ["doc_id", "__mark"]
     kept = neardup.survivors(docs, percent=80).withColumnRenamed("mark", "__mark")
-    once = docs.withColumn("__mark", neardup.text_mark()).join(kept.hint("merge"), key, "left_semi")  # grows with the documents: never broadcast
+    once = docs.withColumn("__mark", neardup.text_mark()).join(grown(kept), key, "left_semi")
     return once.dropDuplicates(key).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

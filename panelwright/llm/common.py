@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: sorted and merged, never broadcast, however small it seems.
+
+    Spark takes a written table for as small as its compressed files, and one after an explode for as small as the
+    table before it; what it then broadcasts passes through the driver.
+    """
+    return df.hint("merge")
+
+
 def lower_ascii(text: str) -> str:
     """A-Z only, so that no text changes its number of code points."""
     return text.encode("utf-8", "replace").lower().decode("utf-8")

@@ -36,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import column, with_batches, words_of
+from panelwright.llm.common import column, grown, with_batches, words_of
 from panelwright.llm.components import components
 from panelwright.session import cut_lineage
 
@@ -148,11 +148,11 @@ def verified(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
 
     one = marks.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
     two = marks.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = pairs.join(grown(one), "a").join(grown(two), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = _filtered(near, "s_a", "s_b", alike)
     x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return _filtered(likely.join(x, "a").join(y, "b"), "x", "y", same)
+    return _filtered(likely.join(grown(x), "a").join(grown(y), "b"), "x", "y", same)
 
 
 def _blocks_linked(key: tuple, table: pa.Table, percent: int) -> pa.Table:
@@ -200,14 +200,14 @@ def cross_links(rest: DataFrame, marks: DataFrame, sets: DataFrame, percent: int
     that fail are never rows.
     """
     families = components(rest.select(F.col("node").alias("u"), F.col("lead").alias("v"))).select("node", F.col("component").alias("family"))
-    members = cut_lineage(rest.select("node", "component").distinct().join(families, "node").join(marks.select("node", "n"), "node"), "members")
+    members = cut_lineage(rest.select("node", "component").distinct().join(grown(families), "node").join(grown(marks.select("node", "n")), "node"), "members")
     parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     largest = F.max(F.struct("docs", "component")).getField("component")
     top = parts.groupBy("family").agg(largest.alias("main"))
-    sized = parts.join(top, "family").groupBy("family").agg(F.first("main").alias("main"), *[
+    sized = parts.join(grown(top), "family").groupBy("family").agg(F.first("main").alias("main"), *[
         F.greatest(F.ceil(F.sum(F.when(side, F.col("docs")).otherwise(0)) / docs_in_block), F.ceil(F.sum(F.when(side, F.col("shingles")).otherwise(0)) / shingles_in_block)).cast("int").alias(name)
         for name, side in (("open_blocks", F.col("component") != F.col("main")), ("main_blocks", F.col("component") == F.col("main")))])
-    placed = members.join(sized, "family").withColumn("left", F.col("component") != F.col("main"))
+    placed = members.join(grown(sized), "family").withColumn("left", F.col("component") != F.col("main"))
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("left"), F.col("open_blocks")).otherwise(F.col("main_blocks"))).cast("int")
     pair = lambda lo, hi, kind: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.lit(kind).alias("kind"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -220,7 +220,7 @@ def cross_links(rest: DataFrame, marks: DataFrame, sets: DataFrame, percent: int
     # in a pair of open blocks the lower block asks the higher one
     asks = F.when(F.col("at.kind") == "s", F.col("at.lo") == F.col("own")).otherwise(F.col("left"))
     rows = spread.select("node", "component", "family", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), F.col("at.kind").alias("kind"), asks.alias("left"))
-    rows = rows.join(sets, "node")
+    rows = rows.join(grown(sets), "node")
 
     def linked(key: tuple, table: pa.Table) -> pa.Table:
         return _blocks_linked(key, table, percent)
@@ -231,9 +231,9 @@ def cross_links(rest: DataFrame, marks: DataFrame, sets: DataFrame, percent: int
 def _relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, component`` after joining the components of linked nodes."""
     at = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    between = links.join(at("a"), "a").join(at("b"), "b").select(F.col("c_a").alias("u"), F.col("c_b").alias("v"))
+    between = links.join(grown(at("a")), "a").join(grown(at("b")), "b").select(F.col("c_a").alias("u"), F.col("c_b").alias("v"))
     merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    return cut_lineage(nodes.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "nodes")
+    return cut_lineage(nodes.join(grown(merged), "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "nodes")
 
 
 def _found(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -247,40 +247,39 @@ def _found(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     bucket: Column = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.substring("bands", k * 8 + 1, F.lit(8)).alias("key")))
     placed = groups.select("node", F.explode(bucket).alias("at")).select("node", F.xxhash64("at.band", "at.key").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("bucket", "centre")
-    met = cut_lineage(placed.join(shared, "bucket"), "buckets")
+    met = cut_lineage(placed.join(grown(shared), "bucket"), "buckets")
 
     met_nodes = met.select("node").distinct()
-    marks = cut_lineage(groups.join(met_nodes, "node", "left_semi").select("node", "n", "signature", "head"), "marks")
+    marks = cut_lineage(groups.join(grown(met_nodes), "node", "left_semi").select("node", "n", "signature", "head"), "marks")
     heads = marks.select("node", F.col("head.doc_id").alias("doc_id"), F.col("head.mark").alias("mark"))
-    # heads grow with the documents: never broadcast, however few they are today
-    texts = docs.withColumn("mark", text_mark()).join(heads.hint("merge"), ["doc_id", "mark"]).select("node", "text")
+    texts = docs.withColumn("mark", text_mark()).join(grown(heads), ["doc_id", "mark"]).select("node", "text")
     sets = cut_lineage(shingle_sets(texts).dropDuplicates(["node"]), "sets")
 
     nodes = met_nodes.select("node", F.col("node").alias("component"))
     first_met = met.where("centre <> node").groupBy("node").agg(F.min("centre").alias("b")).select(F.col("node").alias("a"), "b")
     nodes = _relabelled(nodes, verified(first_met, marks, sets, percent))
 
-    labelled = met.join(nodes, "node")
+    labelled = met.join(grown(nodes), "node")
     centres = nodes.select(F.col("node").alias("centre"), F.col("component").alias("centre_component"))
-    open_stars = labelled.join(centres, "centre").where("component <> centre_component").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    open_stars = labelled.join(grown(centres), "centre").where("component <> centre_component").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     nodes = _relabelled(nodes, verified(open_stars, marks, sets, percent))
 
-    labelled = met.join(nodes, "node")
+    labelled = met.join(grown(nodes), "node")
     torn = labelled.groupBy("bucket").agg(F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "lead")
-    rest = cut_lineage(labelled.join(torn, "bucket").select("node", "component", "lead").distinct(), "open")
+    rest = cut_lineage(labelled.join(grown(torn), "bucket").select("node", "component", "lead").distinct(), "open")
     nodes = _relabelled(nodes, cross_links(rest, marks, sets, percent))
 
     # only components of several nodes need their smallest id
-    sizes = nodes.join(marks.select("node", "head"), "node").groupBy("component").agg(F.min("head").alias("lowest"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    lowest = nodes.join(sizes, "component").select("node", "lowest")
-    named = groups.select("digest", "node", "head").join(lowest, "node", "left").select("digest", F.coalesce("lowest", "head").alias("head"))
+    sizes = nodes.join(grown(marks.select("node", "head")), "node").groupBy("component").agg(F.min("head").alias("lowest"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    lowest = nodes.join(grown(sizes), "component").select("node", "lowest")
+    named = groups.select("digest", "node", "head").join(grown(lowest), "node", "left").select("digest", F.coalesce("lowest", "head").alias("head"))
     return sketches, named
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     sketches, named = _found(docs, percent)
-    out = sketches.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
+    out = sketches.select("doc_id", "digest", "n_shingles").join(grown(named), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("head.doc_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 

@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import column, remainder, with_batches
+from panelwright.llm.common import column, grown, remainder, with_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -139,7 +139,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, folds: int) -
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
         .groupBy("doc_id").agg(F.min("quality").alias("low")).where("low = 1").select("doc_id"))
     order = F.xxhash64("doc_id", F.lit("positive-unlabelled"))
-    positive = trusted.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample)
+    positive = trusted.join(grown(docs.select("doc_id")), "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample)
     free = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(sample)
     chosen = positive.withColumn("positive", F.lit(True)).unionByName(free.withColumn("positive", F.lit(False)))
     # at most 2 * sample ids: the bound makes the hint safe

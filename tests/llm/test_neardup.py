@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from panelwright.llm import neardup, queries
+from panelwright.llm import components as stars, neardup, queries
 from panelwright.llm.common import words_of
 from panelwright.llm.components import components
 
@@ -103,3 +103,27 @@ def test_components(spark, seed):
             if a is not None:
                 low[a] = low[b] = min(low[a], low[b])
     assert got == {x: m for x, m in low.items() if any(x in e and e[0] != e[1] and None not in e for e in edges)}
+
+
+def test_no_table_that_grows_with_the_documents_is_broadcast(spark, monkeypatch):
+    """Tables of any size look small to Spark here, as compressed files and exploded rows do at half a gigabyte."""
+    plans = []
+    real = neardup.cut_lineage
+
+    def note(df, name="cut"):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return real(df, name)
+
+    for module in (neardup, stars):
+        monkeypatch.setattr(module, "cut_lineage", note)
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words[:30], f"x{k % 7}", *words[30:]])) for k in range(20)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for out in (neardup.survivors(docs, 80), neardup.near_duplicates(docs)):
+            plans.append(("out", out._jdf.queryExecution().sparkPlan().toString()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) > 20 and any("SortMergeJoin" in p for _, p in plans)
+    assert not [n for n, p in plans if "Broadcast" in p]
