@@ -173,3 +173,12 @@ def test_the_registered_forward_forecast_fits_the_protocols_trees(ctx, monkeypat
     monkeypatch.setattr(serving, "forecast_forward", lambda *args: asked.append(args[-1]))
     tree_queries.forecast_forward(None, "")
     assert asked == [trees.TreeConfig()] and (asked[0].rounds, asked[0].depth) == (300, 5)
+
+
+def test_the_registered_evaluation_fits_the_protocols_trees(ctx, monkeypatch):
+    asked = []
+    monkeypatch.setattr(tree_queries, "context", lambda spark, sf, national=False: ctx)
+    monkeypatch.setattr(trees, "evaluate_panel", lambda *args: asked.append(args))
+    tree_queries.evaluate_panel(None, "")
+    (_, name, plan, config), = asked
+    assert (name, config) == ("panel_trees", trees.TreeConfig()) and [len(f) for f in plan.values()] == [3]
