@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import backtest, models, modelstore, serving, trees
+from panelwright.operators import backtest, models, modelstore, serving, sweep, trees
 from panelwright.operators.modelstore import ModelStore
 from panelwright.plans import tree_queries
 from panelwright.protocol import Calendar, Fold, ForwardConfig, fold_array, rolling_origin
@@ -182,3 +182,25 @@ def test_the_registered_evaluation_fits_the_protocols_trees(ctx, monkeypatch):
     tree_queries.evaluate_panel(None, "")
     (_, name, plan, config), = asked
     assert (name, config) == ("panel_trees", trees.TreeConfig()) and [len(f) for f in plan.values()] == [3]
+
+
+def test_a_long_plan_is_scored_in_parts(ctx, monkeypatch):
+    plan = {2: rolling_origin(CAL.n_months, 2, 3)}
+    whole = trees.evaluate_panel(ctx, "panel_trees", plan, QUICK)
+    written = []
+    real = trees.cut_lineage
+    monkeypatch.setattr(trees, "cut_lineage", lambda df, name="cut", *a: written.append(name) or real(df, name, *a))
+    monkeypatch.setattr(trees, "FOLDS_AT_ONCE", 2)
+    parts = trees.evaluate_panel(ctx, "panel_trees", plan, QUICK)
+    assert written.count("fold-scores") == 2 and parts.count() == 3 * 12
+    assert sorted(map(str, parts.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_the_registered_sweep_takes_every_origin_and_six_variants(ctx, monkeypatch):
+    asked = []
+    monkeypatch.setattr(tree_queries, "context", lambda spark, sf, national=False: ctx)
+    monkeypatch.setattr(sweep, "length_sweep", lambda *args: asked.append(args))
+    tree_queries.sweep(None, "")
+    (_, names, plan, config), = asked
+    assert len(set(names)) == 6 and set(names) <= set(trees.VARIANTS) and config == trees.TreeConfig()
+    assert [(f.train_end, f.test_end) for f in plan[3]] == [(t, t + 3) for t in range(12, 77)] and list(plan) == [3]
