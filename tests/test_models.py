@@ -204,3 +204,13 @@ def test_the_registered_sweep_takes_every_origin_and_six_variants(ctx, monkeypat
     (_, names, plan, config), = asked
     assert len(set(names)) == 6 and set(names) <= set(trees.VARIANTS) and config == trees.TreeConfig()
     assert [(f.train_end, f.test_end) for f in plan[3]] == [(t, t + 3) for t in range(12, 77)] and list(plan) == [3]
+
+
+def test_the_registered_run_takes_all_models(ctx, monkeypatch):
+    asked = []
+    monkeypatch.setattr(tree_queries, "context", lambda spark, sf, national=False: ctx)
+    monkeypatch.setattr(tree_queries.metrics, "summarise", lambda rows, by: rows)
+    monkeypatch.setattr(models, "run_models", lambda *args: asked.append(args))
+    tree_queries.all_models(None, "")
+    (_, names, _, config), = asked
+    assert models.unconfigured(names) == [] and config == trees.TreeConfig()
