@@ -166,13 +166,18 @@ def test_the_registry_knows_its_models():
     assert {m for _, m in ForwardConfig().recommended} | {ForwardConfig().comparison, ForwardConfig().known_aggregate} <= set(models.registered())
 
 
+def whole_fits(config):
+    """The protocol's settings, however many fits run at once."""
+    return modelstore.settings(config) == modelstore.settings(trees.TreeConfig()) and (config.rounds, config.depth) == (300, 5)
+
+
 def test_the_registered_forward_forecast_fits_the_protocols_trees(ctx, monkeypatch):
     asked = []
     monkeypatch.setattr(tree_queries, "context", lambda spark, sf, national=False: ctx)
     monkeypatch.setattr(tree_queries, "work_path", lambda spark, name: name)
     monkeypatch.setattr(serving, "forecast_forward", lambda *args: asked.append(args[-1]))
     tree_queries.forecast_forward(None, "")
-    assert asked == [trees.TreeConfig()] and (asked[0].rounds, asked[0].depth) == (300, 5)
+    assert whole_fits(asked[0])
 
 
 def test_the_registered_evaluation_fits_the_protocols_trees(ctx, monkeypatch):
@@ -181,7 +186,7 @@ def test_the_registered_evaluation_fits_the_protocols_trees(ctx, monkeypatch):
     monkeypatch.setattr(trees, "evaluate_panel", lambda *args: asked.append(args))
     tree_queries.evaluate_panel(None, "")
     (_, name, plan, config), = asked
-    assert (name, config) == ("panel_trees", trees.TreeConfig()) and [len(f) for f in plan.values()] == [3]
+    assert name == "panel_trees" and whole_fits(config) and [len(f) for f in plan.values()] == [3]
 
 
 def test_a_long_plan_is_scored_in_parts(ctx, monkeypatch):
@@ -202,7 +207,7 @@ def test_the_registered_sweep_takes_every_origin_and_six_variants(ctx, monkeypat
     monkeypatch.setattr(sweep, "length_sweep", lambda *args: asked.append(args))
     tree_queries.sweep(None, "")
     (_, names, plan, config), = asked
-    assert len(set(names)) == 6 and set(names) <= set(trees.VARIANTS) and config == trees.TreeConfig()
+    assert len(set(names)) == 6 and set(names) <= set(trees.VARIANTS) and whole_fits(config)
     assert [(f.train_end, f.test_end) for f in plan[3]] == [(t, t + 3) for t in range(12, 77)] and list(plan) == [3]
 
 
@@ -213,4 +218,4 @@ def test_the_registered_run_takes_all_models(ctx, monkeypatch):
     monkeypatch.setattr(models, "run_models", lambda *args: asked.append(args))
     tree_queries.all_models(None, "")
     (_, names, _, config), = asked
-    assert models.unconfigured(names) == [] and config == trees.TreeConfig()
+    assert models.unconfigured(names) == [] and whole_fits(config)
